@@ -148,8 +148,8 @@ ORACLE["token_price_summary"] = sql(f"""
 
 # The literal definition: one row per token, weighted by its transfers.
 _CAP = f"""
-    SELECT {money("sum(CAST(n * eth_avg AS DECIMAL(38,4)))")} AS market_cap_eth,
-           {money("sum(CAST(n * usd_avg AS DECIMAL(38,4)))")} AS market_cap_usd
+    SELECT {money("sum(CAST(n * eth_avg AS DECIMAL(38,8)))")} AS market_cap_eth,
+           {money("sum(CAST(n * usd_avg AS DECIMAL(38,8)))")} AS market_cap_usd
     FROM weights JOIN prices USING (contract_address)"""
 _PRICES = f"""prices AS (SELECT contract_address, {AVG_ETH} AS eth_avg, {AVG_USD} AS usd_avg
     FROM e GROUP BY contract_address)"""
@@ -328,3 +328,82 @@ ORACLE["scalar_numbers"] = """
            CAST(CAST(CAST(value AS DECIMAL(38,4)) AS DECIMAL(38,1)) AS DOUBLE) AS rounded,
            event_id >= user_id AS not_less, event_id < 5000 AND user_id > 10 AS both
     FROM events"""
+
+
+# -- the weekly report: every figure above in one long table --------------------------------
+
+_KEYS = {"c": "contract_address", "ct": "contract_address, token_id", "m": "market"}
+
+
+def _board(scope: str, metric: str, cte: str, value: str, rank_by: str, keys: str) -> str:
+    contract = "CAST(contract_address AS VARCHAR)" if keys != "m" else "CAST(NULL AS VARCHAR)"
+    token = "CAST(token_id AS VARCHAR)" if keys == "ct" else "CAST(NULL AS VARCHAR)"
+    label = "market" if keys == "m" else "contract_name"
+    return f"""SELECT '{scope}' AS scope, '{metric}' AS metric, rank, {contract} AS contract_address,
+        {token} AS token_id, {label} AS label, CAST({value} AS DOUBLE) AS value
+      FROM (SELECT *, row_number() OVER (ORDER BY {rank_by} DESC NULLS FIRST, {_KEYS[keys]}) AS rank
+            FROM {cte}) WHERE rank <= 10"""
+
+
+def _figure(scope: str, metric: str, value: str, source: str) -> str:
+    null = "CAST(NULL AS VARCHAR)"
+    return f"""SELECT '{scope}', '{metric}', CAST(NULL AS BIGINT), {null}, {null}, {null},
+        CAST({value} AS DOUBLE) FROM {source}"""
+
+
+def _weekly_report() -> str:
+    ctes, parts = [HOLDERS, ACTIVE, _PRICES], []
+    ctes.append("""weights AS (SELECT contract_address, count(*) AS n,
+        count(DISTINCT token_id) AS tokens FROM transfers GROUP BY contract_address)""")
+    for scope, e, t in (("week", "e_week", "t_week"), ("all", "e", "transfers")):
+        for cte, keys in ((f"c_{scope}", "contract_address, contract_name"),
+                          (f"ct_{scope}", "contract_address, token_id, contract_name"),
+                          (f"m_{scope}", "market")):
+            ctes.append(f"""{cte} AS (SELECT {keys}, count(*) AS n, {money(SUM_USD, 4)} AS usd4,
+                {money(SUM_USD)} AS usd, {AVG_ETH} AS mean, max(price_value) AS top,
+                min(price_value) AS low FROM {e} GROUP BY {keys})""")
+        parts.append(_board(scope, "collection_volume_usd", f"c_{scope}", "usd4", "usd4", "c"))
+        parts.append(_board(scope, "market_volume_usd", f"m_{scope}", "usd", "usd", "m"))
+        parts.append(_board(scope, "collection_trades", f"c_{scope}", "n", "n", "c"))
+        parts.append(_board(scope, "token_trades", f"ct_{scope}", "n", "n", "ct"))
+        for level, keys in (("collection", "c"), ("token", "ct")):
+            for stat, column in (("avg", "mean"), ("max", "top"), ("min", "low")):
+                parts.append(_board(
+                    scope, f"{level}_price_{stat}", f"{keys}_{scope}", column, "mean", keys))
+        parts.append(f"""SELECT scope, extreme, CAST(NULL AS BIGINT),
+            CAST(contract_address AS VARCHAR), CAST(token_id AS VARCHAR), contract_name, price
+            FROM ({_extremes(scope, e)})""")
+        parts += [
+            _figure(scope, "volume_eth", money(SUM_ETH), e),
+            _figure(scope, "volume_usd", money(SUM_USD), e),
+            _figure(scope, "collections", "count(DISTINCT contract_address)", e),
+            _figure(scope, "tokens", "count(DISTINCT (contract_address, token_id))", e),
+            _figure(scope, "transfers", "count(*)", t),
+            _figure(scope, "trades", "count(*)", e),
+            _figure(scope, "price_mean", AVG_ETH, e),
+        ]
+    for name, weight in (("market_cap", "n"), ("market_cap_tokens", "tokens")):
+        for unit in ("eth", "usd"):
+            parts.append(_figure(
+                "all", f"{name}_{unit}",
+                money(f"sum(CAST({weight} * {unit}_avg AS DECIMAL(38,8)))"),
+                "weights JOIN prices USING (contract_address)"))
+    parts += [
+        _figure("week", "new_collections", "count(*)", f"({_NEW})"),
+        _figure("week", "new_mints", "count(*)", "contracts, w WHERE init_block >= w.lo"),
+        _figure("week", "new_mints_bounded", "count(*)",
+                "contracts, w WHERE init_block BETWEEN w.lo AND w.hi"),
+        _figure("all", "holders", "count(DISTINCT to_address)", "holders"),
+        _figure("all", "held_tokens", "count(*)", "holders"),
+        _figure("all", "average_holding", "count(*)::DOUBLE / count(DISTINCT to_address)", "holders"),
+        _figure("all", "active_traders", "count(*)", "active"),
+        _figure("all", "active_held_tokens", "count(*)",
+                "holders WHERE to_address IN (SELECT trader FROM active)"),
+        _figure("all", "active_average_holding",
+                "count(*)::DOUBLE / (SELECT count(*) FROM active)",
+                "holders WHERE to_address IN (SELECT trader FROM active)"),
+    ]
+    return sql("\nUNION ALL\n".join(parts), *ctes)
+
+
+ORACLE["weekly_report"] = _weekly_report()

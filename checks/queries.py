@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import dates, numeric, text
 from ledgerlens.operators import aggregates, joins, quality, sets, topk
 from ledgerlens.operators.windows import block_at
-from ledgerlens.plans import cohorts, enrich, leaderboards, totals
+from ledgerlens.plans import cohorts, enrich, leaderboards, report, totals
 from ledgerlens.plans.views import ALL, TOKEN, WEEK, MarketView
 from ledgerlens.session import scratch_path
 from ledgerlens.sources import stats, tables, testdata
@@ -175,6 +175,9 @@ def distinct_holders(spark, sf_dir):
     return aggregates.distinct_count(holders, ["to_address"], "holders")
 
 
+register("weekly_report", report.weekly_report, parties=True)
+
+
 # -- samples, pages, ingest ------------------------------------------------------------------
 
 @query

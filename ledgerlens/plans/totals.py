@@ -11,6 +11,9 @@ from ledgerlens.plans.views import ALL, TOKEN, WEEK, MarketView
 
 SCOPES = (WEEK, ALL)
 
+# Least number of decimals for sums over means.
+MEAN_SCALE = 8
+
 
 def _by_scope(report, view: MarketView) -> DataFrame:
     """One row per scope."""
@@ -34,9 +37,12 @@ def market_cap(view: MarketView, weight: str = "transfers") -> DataFrame:
         mean(F.col("eth"), F.col("eth_prices")).alias("eth_avg"),
         mean(F.col("usd"), F.col("usd_prices")).alias("usd_avg"),
     )
+    # A mean has more digits than the prices it comes from; cutting the products to
+    # the price scale would move the total by some of its cents.
+    scale = max(view.scale, MEAN_SCALE)
     return weights.join(prices, "contract_address").agg(
-        money(exact_sum(F.col("weight") * F.col("eth_avg"), view.scale)).alias("market_cap_eth"),
-        money(exact_sum(F.col("weight") * F.col("usd_avg"), view.scale)).alias("market_cap_usd"),
+        money(exact_sum(F.col("weight") * F.col("eth_avg"), scale)).alias("market_cap_eth"),
+        money(exact_sum(F.col("weight") * F.col("usd_avg"), scale)).alias("market_cap_usd"),
     )
 
 
