@@ -197,13 +197,13 @@ ORACLE["new_mints_bounded"] = sql("""
 HOLDERS = """holders AS (
   SELECT contract_address, token_id, to_address, from_address FROM (
     SELECT *, row_number() OVER (PARTITION BY contract_address, token_id
-      ORDER BY block_number DESC, transaction_hash DESC, to_address DESC, from_address DESC) AS n
+      ORDER BY block_number DESC, to_address DESC, from_address DESC) AS n
     FROM transfers) WHERE n = 1)"""
 ACTIVE = """cutoff AS (SELECT max(block_number) AS block FROM blocks WHERE date <= DATE '1995-03-06'),
 last_sales AS (
   SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY contract_address, token_id
-      ORDER BY block_number DESC, transaction_hash DESC, seller DESC, buyer DESC) AS n
+      ORDER BY block_number DESC, seller DESC, buyer DESC) AS n
     FROM e) WHERE n = 1),
 active AS (
   SELECT seller AS trader FROM last_sales, cutoff WHERE block_number > cutoff.block

@@ -219,11 +219,11 @@ def stream_enrich(spark, sf_dir):
         file_filter="lineitem.parquet",
     )
     trades = tables.where_in(
-        lines.select(
-            F.col("l_returnflag").alias("currency_address"),
-            F.col("l_partkey").alias("contract_address"),
-            F.col("l_extendedprice").alias("price_value"),
-            testdata.day_number(F.col("l_shipdate")).alias("block_number"),
+        lines.selectExpr(
+            "l_returnflag AS currency_address",
+            "l_partkey AS contract_address",
+            "l_extendedprice AS price_value",
+            f"{testdata.day_number('l_shipdate')} AS block_number",
         ),
         "currency_address", snapshot.currencies,
     )
@@ -290,12 +290,11 @@ def dated_rates(spark, sf_dir):
 @query
 def trades_and_orders(spark, sf_dir):
     """A join whose sides share a column name beside the key."""
-    trades = testdata.trades(spark, sf_dir, parties=False).select(
-        F.substring("transaction_hash", 2, 20).cast("bigint").alias("id"), "block_number"
+    trades = testdata.table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey AS id", f"{testdata.day_number('l_shipdate')} AS block_number"
     )
-    orders = testdata.table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("id"),
-        testdata.day_number(F.col("o_orderdate")).alias("block_number"),
+    orders = testdata.table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS id", f"{testdata.day_number('o_orderdate')} AS block_number"
     )
     return joins.join_frames(trades, orders, "id")
 

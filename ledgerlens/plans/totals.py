@@ -41,8 +41,8 @@ def market_cap(view: MarketView, weight: str = "transfers") -> DataFrame:
     # the price scale would move the total by some of its cents.
     scale = max(view.scale, MEAN_SCALE)
     return weights.join(prices, "contract_address").agg(
-        money(exact_sum(F.col("weight") * F.col("eth_avg"), scale)).alias("market_cap_eth"),
-        money(exact_sum(F.col("weight") * F.col("usd_avg"), scale)).alias("market_cap_usd"),
+        money(exact_sum("(weight * eth_avg)", scale)).alias("market_cap_eth"),
+        money(exact_sum("(weight * usd_avg)", scale)).alias("market_cap_usd"),
     )
 
 

@@ -86,7 +86,7 @@ class MarketView:
         """Last sender and last receiver of every token."""
         return latest_per_key(
             self.transfers(), TOKEN,
-            order=["block_number", "transaction_hash"],
+            order=["block_number"],
             values=["to_address", "from_address"],
         )
 
@@ -100,7 +100,7 @@ class MarketView:
         recent = eth_trades(self.snapshot).where(F.col("block_number") > cutoff)
         last = latest_per_key(
             with_usd_price(recent, price_calendar(self.snapshot)), TOKEN,
-            order=["block_number", "transaction_hash"],
+            order=["block_number"],
             values=["seller", "buyer", "block_number"],
         )
         return last.join(self.labels.select("contract_address"), "contract_address")
@@ -128,7 +128,7 @@ class StoredView(MarketView):
         )
         # One row per token and week flag, with the last transfer among its rows.
         flagged = view.transfers().withColumn("in_week", view.window.holds())
-        last = F.struct("block_number", "transaction_hash", "to_address", "from_address")
+        last = F.struct("block_number", "to_address", "from_address")
         transfers = flagged.groupBy(*TOKEN, "in_week").agg(
             F.count(F.lit(1)).alias("transfers"), F.max(last).alias("last")
         )

@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Reports build long plans; recording a call site per column is most of that time.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 _local_scratch: dict[str, str] = {}

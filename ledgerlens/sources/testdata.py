@@ -6,8 +6,7 @@ types of the test data; the operators do not depend on them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.operators.joins import CALENDAR_DAYS
 from ledgerlens.plans.snapshot import Snapshot
@@ -20,89 +19,101 @@ FIRST_BLOCK = 9131  # the day 1995-01-01
 SCALE = 4
 
 
+# Declared, so that building a plan reads no file footers.
+SCHEMAS = {
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, "
+            "p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+              "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, "
+                "l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, "
+                "l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, "
+              "value DOUBLE, props STRING",
+    "pages": "page_id BIGINT, url STRING, html STRING",
+    "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def day_number(column: Column) -> Column:
-    return F.unix_date(column.cast("date")).cast("bigint")
+def day_number(column: str) -> str:
+    """SQL text of the days since 1970-01-01."""
+    return f"CAST(unix_date(CAST({column} AS DATE)) AS BIGINT)"
 
 
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").where(F.col("p_size") > 2).select(
-        F.col("p_partkey").alias("contract_address"),
-        F.col("p_type").alias("contract_type"),
-        F.col("p_name").alias("contract_name"),
-        F.col("p_brand").alias("contract_symbol"),
-        (F.lit(FIRST_BLOCK) + F.col("p_partkey")).cast("bigint").alias("init_block"),
+    return table(spark, sf_dir, "part").where("p_size > 2").selectExpr(
+        "p_partkey AS contract_address",
+        "p_type AS contract_type",
+        "p_name AS contract_name",
+        "p_brand AS contract_symbol",
+        f"{FIRST_BLOCK} + p_partkey AS init_block",
     )
 
 
-def _days_as_blocks(dates: DataFrame) -> DataFrame:
-    days = dates.select(F.col(dates.columns[0]).cast("date").alias("date")).distinct()
-    return days.select(
-        day_number(F.col("date")).alias("block_number"),
-        (day_number(F.col("date")) * 86400).alias("timestamp_of_block"),
-        "date",
+def _days_as_blocks(table_: DataFrame, column: str) -> DataFrame:
+    number = day_number("date")
+    return table_.selectExpr(f"CAST({column} AS DATE) AS date").distinct().selectExpr(
+        f"{number} AS block_number", f"{number} * 86400 AS timestamp_of_block", "date"
     )
 
 
 def ship_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _days_as_blocks(table(spark, sf_dir, "lineitem").select("l_shipdate"))
+    return _days_as_blocks(table(spark, sf_dir, "lineitem"), "l_shipdate")
 
 
 def order_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _days_as_blocks(table(spark, sf_dir, "orders").select("o_orderdate"))
+    return _days_as_blocks(table(spark, sf_dir, "orders"), "o_orderdate")
 
 
 def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_blocks(spark, sf_dir).select(
-        "date", (1000 + F.col("block_number") % 997).cast("double").alias("eth_usd_rate")
+    return order_blocks(spark, sf_dir).selectExpr(
+        "date", "CAST(1000 + block_number % 997 AS DOUBLE) AS eth_usd_rate"
     )
 
 
 def trades(spark: SparkSession, sf_dir: str, parties: bool = True) -> DataFrame:
     """Sales. Buyer and market come from the order, which every line has exactly one of;
     without ``parties`` both columns are left out and the order table is not read."""
-    lines = table(spark, sf_dir, "lineitem")
     columns = [
-        F.concat(F.lit("T"), F.col("l_orderkey")).alias("transaction_hash"),
-        day_number(F.col("l_shipdate")).alias("block_number"),
-        F.col("l_partkey").alias("contract_address"),
-        F.col("l_suppkey").alias("token_id"),
-        F.concat(F.lit("S"), F.col("l_suppkey")).alias("seller"),
-        F.col("l_returnflag").alias("currency_address"),
-        F.col("l_extendedprice").alias("price_value"),
+        "'T' || l_orderkey AS transaction_hash",
+        f"{day_number('l_shipdate')} AS block_number",
+        "l_partkey AS contract_address",
+        "l_suppkey AS token_id",
+        "'S' || l_suppkey AS seller",
+        "l_returnflag AS currency_address",
+        "l_extendedprice AS price_value",
     ]
-    if not parties:
-        return lines.select(*columns)
-    orders = table(spark, sf_dir, "orders")
-    return lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).select(
-        *columns,
-        F.concat(F.lit("C"), F.col("o_custkey")).alias("buyer"),
-        F.col("o_orderpriority").alias("market"),
-    )
+    lines = table(spark, sf_dir, "lineitem")
+    if parties:
+        orders = table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "l_orderkey")
+        lines = lines.join(orders, "l_orderkey")
+        columns += ["'C' || o_custkey AS buyer", "o_orderpriority AS market"]
+    return lines.selectExpr(*columns)
 
 
-def transfers(spark: SparkSession, sf_dir: str, parties: bool = True) -> DataFrame:
+def transfers(sales: DataFrame) -> DataFrame:
     """The same rows as the trades, in any currency."""
-    sales = trades(spark, sf_dir, parties)
-    columns = [
+    receiver = ["buyer AS to_address"] if "buyer" in sales.columns else []
+    return sales.selectExpr(
         "transaction_hash", "contract_address", "token_id", "block_number",
-        F.col("seller").alias("from_address"),
-    ]
-    return sales.select(*columns, *([F.col("buyer").alias("to_address")] if parties else []))
+        "seller AS from_address", *receiver,
+    )
 
 
 def snapshot(
     spark: SparkSession, sf_dir: str, parties: bool = False, blocks: DataFrame | None = None
 ) -> Snapshot:
+    sales = trades(spark, sf_dir, parties)
     return Snapshot(
         contracts=contracts(spark, sf_dir),
         blocks=ship_blocks(spark, sf_dir) if blocks is None else blocks,
         rates=rates(spark, sf_dir),
-        trades=trades(spark, sf_dir, parties),
-        transfers=transfers(spark, sf_dir, parties),
+        trades=sales,
+        transfers=transfers(sales),
         currencies=CURRENCIES,
         scale=SCALE,
         # Distinct dates, so both are bounded by the calendar.
