@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.sets import concat
+from ledgerlens.operators.topk import descending
 from ledgerlens.plans import cohorts, leaderboards, totals
 from ledgerlens.plans.views import ALL, TOKEN, WEEK, MarketView, StoredView
 from ledgerlens.sources.tables import row_count
@@ -15,18 +16,14 @@ COLUMNS = ("scope", "metric", "rank", "contract_address", "token_id", "label", "
 
 def _figures(df: DataFrame, scope: str | None = None) -> DataFrame:
     """Figures of one or more rows; every column but the identifying ones is a metric."""
-    identity = [c for c in ("scope", "rank", "contract_address", "token_id", "label") if c in df.columns]
-    metrics = [c for c in df.columns if c not in identity]
-    long = df.select(*identity, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(
-        identity, metrics, "metric", "value"
+    identity = {"rank": "BIGINT", **dict.fromkeys(["contract_address", "token_id", "label"], "STRING")}
+    metrics = [c for c in df.columns if c not in identity and c != "scope"]
+    cells = ", ".join(f"'{m}', CAST(`{m}` AS DOUBLE)" for m in metrics)
+    return df.selectExpr(
+        "scope" if scope is None else f"'{scope}' AS scope",
+        *[f"CAST({c if c in df.columns else 'NULL'} AS {kind}) AS {c}" for c, kind in identity.items()],
+        f"stack({len(metrics)}, {cells}) AS (metric, value)",
     )
-    filled = {"scope": F.lit(scope)} if scope else {}
-    for column in ("rank", "contract_address", "token_id", "label"):
-        if column not in identity:
-            filled[column] = F.lit(None)
-    long = long.withColumns(filled)
-    kinds = {"rank": "bigint", "value": "double"}
-    return long.select(*[F.col(c).cast(kinds.get(c, "string")).alias(c) for c in COLUMNS])
 
 
 def _board(
@@ -34,15 +31,21 @@ def _board(
 ) -> DataFrame:
     """A leaderboard with ranks; ``metrics`` maps its columns to metric names, first one ranked by."""
     keys = [c for c in TOKEN if c in df.columns]
-    first = next(iter(metrics))
-    order = [F.desc_nulls_first(first), *[F.asc_nulls_first(c) for c in (keys or [label])]]
+    order = descending(next(iter(metrics)), keys or [label])
     # The window sees only the few rows of a finished leaderboard.
     rank = F.row_number().over(Window.partitionBy(F.lit(scope)).orderBy(*order))
-    ranked = df.select(
+    return _figures(df.select(
         rank.alias("rank"), *keys, F.col(label).alias("label"),
         *[F.col(c).alias(name) for c, name in metrics.items()],
+    ), scope)
+
+
+def _extremes(view: MarketView, scope: str) -> DataFrame:
+    return leaderboards.price_extremes(view, scope).selectExpr(
+        "scope", "CAST(NULL AS BIGINT) AS rank", "CAST(contract_address AS STRING) AS contract_address",
+        "CAST(token_id AS STRING) AS token_id", "contract_name AS label",
+        "extreme AS metric", "price AS value",
     )
-    return _figures(ranked, scope)
 
 
 def _price_names(level: str) -> dict[str, str]:
@@ -59,13 +62,7 @@ def _leaderboards(view: MarketView, scope: str) -> list[DataFrame]:
         _board(boards.token_trades(view, scope), scope, {"count": "token_trades"}),
         _board(boards.collection_prices(view, scope), scope, _price_names("collection")),
         _board(boards.token_prices(view, scope), scope, _price_names("token")),
-        _figures(
-            boards.price_extremes(view, scope)
-            .withColumnRenamed("contract_name", "label")
-            .groupBy("scope", *TOKEN, "label")
-            .pivot("extreme", ["highest_max", "lowest_max", "highest_avg", "lowest_avg"])
-            .agg(F.first("price"))
-        ).where(F.col("value").isNotNull()),
+        _extremes(view, scope),
     ]
 
 
@@ -103,10 +100,10 @@ def _cohorts(view: MarketView) -> list[DataFrame]:
 def weekly_report(view: MarketView) -> DataFrame:
     """All reports as rows of (scope, metric, rank, keys, label, value).
 
-    Trades and transfers are scanned once into token rollups, from which nearly all
-    figures come; see :class:`StoredView`. The result has a few hundred rows.
+    Nearly all figures come from stored rollups, see :class:`StoredView`. The result
+    has a few hundred rows.
     """
     stored = StoredView.store(view)
     frames = [*_leaderboards(stored, WEEK), *_leaderboards(stored, ALL), *_totals(stored),
               *_cohorts(stored)]
-    return concat(*frames)
+    return concat(*frames).select(*COLUMNS)

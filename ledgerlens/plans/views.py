@@ -107,61 +107,61 @@ class MarketView:
 
 
 class StoredView(MarketView):
-    """The same answers from two stored rollups, for reports that ask many questions.
+    """The same answers from stored rollups, for reports that ask many questions.
 
-    ``store`` scans trades and transfers once each, at token grain with the week
-    as part of the key, and writes the result under the shared scratch folder:
-    lineage ends there, and a lost executor costs no second scan.
+    ``store`` aggregates trades to tokens and to markets and transfers to tokens,
+    and writes the results under the shared scratch folder: lineage ends there,
+    and a lost executor costs no second scan. Collections are rolled up from tokens.
     """
 
-    def __init__(self, view: MarketView, trades: DataFrame, transfers: DataFrame) -> None:
+    def __init__(
+        self, view: MarketView, measured: dict[tuple, DataFrame], tokens: DataFrame
+    ) -> None:
         self.__dict__.update(view.__dict__)
-        self._trade_rollup = trades
-        self._transfer_rollup = transfers
+        self._measured = measured
+        self._tokens = tokens
 
     @classmethod
     def store(cls, view: MarketView) -> "StoredView":
         spark = view.snapshot.trades.sparkSession
-        priced = view.trades().withColumn("in_week", view.window.holds())
-        trades = trade_rollup(priced, [*TOKEN, "market", "in_week"], view.scale).join(
-            view.labels, "contract_address"
-        )
-        # One row per token and week flag, with the last transfer among its rows.
-        flagged = view.transfers().withColumn("in_week", view.window.holds())
+
+        def stored(name: str, df: DataFrame) -> DataFrame:
+            path = scratch_path(spark, name)
+            df.write.parquet(path)
+            return spark.read.schema(df.schema).parquet(path)
+
+        measured = {}
+        for scope in (WEEK, ALL):
+            tokens = stored(f"tokens-{scope}", view.measures(TOKEN, scope))
+            collections = merge_rollup(tokens, ["contract_address", "contract_name"])
+            measured[scope, "token_id"] = tokens
+            measured[scope, "contract_address"] = stored(f"collections-{scope}", collections)
+            measured[scope, "market"] = stored(
+                f"markets-{scope}", view.measures(["market"], scope)
+            )
         last = F.struct("block_number", "to_address", "from_address")
-        transfers = flagged.groupBy(*TOKEN, "in_week").agg(
+        transferred = view.transfers().groupBy(*TOKEN).agg(
             F.count(F.lit(1)).alias("transfers"), F.max(last).alias("last")
         )
-        stored = []
-        for name, rollup in (("trades", trades), ("transfers", transfers)):
-            path = scratch_path(spark, f"rollup-{name}")
-            rollup.write.parquet(path)
-            stored.append(spark.read.parquet(path))
-        return cls(view, *stored)
-
-    def _scoped(self, rollup: DataFrame, scope: str) -> DataFrame:
-        return rollup.where("in_week") if scope == WEEK else rollup
+        return cls(view, measured, stored("holdings", transferred))
 
     def measures(self, keys: Sequence[str], scope: str = ALL) -> DataFrame:
-        rollup = self._scoped(self._trade_rollup, scope)
-        if "contract_address" in keys:
-            keys = [*keys, "contract_name"]
-        return merge_rollup(rollup, keys)
+        if not keys:
+            return merge_rollup(self._measured[scope, "market"], [])
+        return self._measured[scope, keys[-1]]
 
     def first_trades(self) -> DataFrame:
         return self.measures(["contract_address"])
 
     def transfers_by(self, keys: Sequence[str], scope: str = ALL) -> DataFrame:
-        return self._scoped(self._transfer_rollup, scope).groupBy(*keys).agg(
+        if scope == WEEK:
+            return super().transfers_by(keys, scope)
+        return self._tokens.groupBy(*keys).agg(
             F.coalesce(F.sum("transfers"), F.lit(0)).alias("transfers")
         )
 
     def tokens_by_contract(self) -> DataFrame:
-        tokens = self.transfers_by(TOKEN)
-        return tokens.groupBy("contract_address").agg(F.count(F.lit(1)).alias("tokens"))
+        return self._tokens.groupBy("contract_address").agg(F.count(F.lit(1)).alias("tokens"))
 
     def holders(self) -> DataFrame:
-        return (
-            self._transfer_rollup.groupBy(*TOKEN).agg(F.max("last").alias("last"))
-            .select(*TOKEN, "last.to_address", "last.from_address")
-        )
+        return self._tokens.select(*TOKEN, "last.to_address", "last.from_address")
