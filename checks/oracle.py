@@ -132,14 +132,16 @@ for _function in ("max", "min"):
     ORACLE[f"token_{_function}_all_columns"] = sql(
         "SELECT contract_address, token_id, " + ", ".join(
             f"{_function}({c}) AS {c}" for c in (
-                "contract_name", "block_number", "price_value", "price_usd", "seller", "buyer", "market"
+                "contract_name", "block_number", "transaction_hash", "currency_address",
+                "price_value", "eth_usd_rate", "price_usd", "seller", "buyer", "market",
             )
         ) + f""", {_function}(CAST(date AS VARCHAR)) AS date
         FROM e GROUP BY contract_address, token_id"""
     )
 ORACLE["token_sum_all_columns"] = sql(f"""
     SELECT contract_address, token_id, CAST(sum(block_number) AS BIGINT) AS block_number,
-           CAST({SUM_ETH} AS DOUBLE) AS price_value, CAST({SUM_USD} AS DOUBLE) AS price_usd
+           CAST({SUM_ETH} AS DOUBLE) AS price_value, CAST({SUM_USD} AS DOUBLE) AS price_usd,
+           CAST(sum(CAST(eth_usd_rate AS DECIMAL(38,4))) AS DOUBLE) AS eth_usd_rate
     FROM e GROUP BY contract_address, token_id""")
 ORACLE["token_price_summary"] = sql(f"""
     SELECT contract_address, token_id, min(price_value) AS min_price_value,
@@ -309,8 +311,8 @@ ORACLE["invalid_turns"] = f"""
 ORACLE["scalar_dates"] = """
     SELECT event_id, strftime(ts, '%Y-%m-%d') AS day,
            strftime(ts, '%Y-%m-%d %H:%M:%S') AS second,
-           strftime(to_timestamp(floor(epoch(ts))) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S')
-             AS from_epoch,
+           strftime(make_timestamp(CAST(floor(epoch(ts)) AS BIGINT) * 1000000),
+             '%Y-%m-%d %H:%M:%S') AS from_epoch,
            strftime(CAST(ts AS DATE) - 7, '%Y-%m-%d') AS week_before,
            strftime(CAST(ts AS DATE) + 6, '%Y-%m-%d') AS week_end,
            date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS days_in

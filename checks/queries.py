@@ -91,35 +91,31 @@ def price_extremes(spark, sf_dir):
     return sets.concat(*[leaderboards.price_extremes(market, s) for s in (WEEK, ALL)])
 
 
-def _token_frame(spark, sf_dir) -> DataFrame:
-    traded = iso(view(spark, sf_dir, parties=True).enriched())
-    return traded.select(
-        *TOKEN, "contract_name", "block_number", "price_value", "price_usd",
-        "seller", "buyer", "market", "date",
-    )
+def _as_text(df: DataFrame) -> DataFrame:
+    """Without the columns that only repeat the collection."""
+    return iso(df.drop("contract_type", "contract_symbol", "init_block"))
 
 
 @query
 def token_max_all_columns(spark, sf_dir):
-    highest = aggregates.aggregate_all(_token_frame(spark, sf_dir), TOKEN, F.max)
-    return highest.orderBy("price_value", *TOKEN)
+    return _as_text(leaderboards.token_columns(view(spark, sf_dir, parties=True), F.max))
 
 
 @query
 def token_min_all_columns(spark, sf_dir):
-    lowest = aggregates.aggregate_all(_token_frame(spark, sf_dir), TOKEN, F.min)
-    return lowest.orderBy("price_value", *TOKEN)
+    return _as_text(leaderboards.token_columns(view(spark, sf_dir, parties=True), F.min))
 
 
 @query
 def token_sum_all_columns(spark, sf_dir):
-    return aggregates.sum_all(_token_frame(spark, sf_dir), TOKEN, testdata.SCALE)
+    return leaderboards.token_sums(view(spark, sf_dir)).drop("contract_name")
 
 
 @query
 def token_price_summary(spark, sf_dir):
-    traded = view(spark, sf_dir).enriched()
-    return aggregates.price_stats(traded, TOKEN, "price_value", testdata.SCALE)
+    market = view(spark, sf_dir)
+    prices = aggregates.price_stats(market.trades(), TOKEN, "price_value", testdata.SCALE)
+    return prices.join(market.labels, "contract_address").drop("contract_name")
 
 
 # -- totals ------------------------------------------------------------------------------
@@ -148,11 +144,10 @@ register("active_holding", cohorts.active_holding, parties=True)
 def new_collections_by_sets(spark, sf_dir):
     """The same collections as the difference of two value sets."""
     market = view(spark, sf_dir)
-    earlier = market.enriched().where(F.col("block_number") < market.window.lo)
-    return sets.difference_values(
-        sets.distinct_values(market.enriched(WEEK), "contract_address"),
-        sets.distinct_values(earlier, "contract_address"),
-    )
+    week = sets.distinct_values(market.trades(WEEK), "contract_address")
+    earlier = market.trades().where(F.col("block_number") < market.window.lo)
+    fresh = sets.difference_values(week, sets.distinct_values(earlier, "contract_address"))
+    return joins.members(fresh, "contract_address", market.labels.select("contract_address"))
 
 
 @query

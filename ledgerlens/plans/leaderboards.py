@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.numeric import mean, money
+from ledgerlens.operators.aggregates import aggregate_all, sum_all
 from ledgerlens.operators.topk import top_k
 from ledgerlens.plans.views import ALL, TOKEN, MarketView
 
@@ -101,3 +104,21 @@ def price_extremes(view: MarketView, scope: str = ALL) -> DataFrame:
         .where(F.col("contract_address").isNotNull())
         .select(F.lit(scope).alias("scope"), "*")
     )
+
+
+def token_columns(view: MarketView, function: Callable[[str], Column], scope: str = ALL) -> DataFrame:
+    """``function`` (such as ``F.max``) of every trade column by token, cheapest token first.
+
+    Tokens are formed before the collection's columns are joined on. The other way
+    round the grouping would reuse the join's partitioning, with all trades of a hot
+    collection in one task.
+    """
+    tokens = aggregate_all(view.trades(scope), TOKEN, function)
+    named = tokens.join(view.snapshot.contracts, "contract_address")
+    return named.orderBy(F.asc_nulls_first("price_value"), *TOKEN)
+
+
+def token_sums(view: MarketView, scope: str = ALL) -> DataFrame:
+    """Sum of every numeric trade column by token of a known collection."""
+    tokens = sum_all(view.trades(scope), TOKEN, view.scale)
+    return tokens.join(view.labels, "contract_address")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.numeric import exact_sum, mean, money
 from ledgerlens.operators.sets import concat
-from ledgerlens.plans.views import ALL, TOKEN, WEEK, MarketView
+from ledgerlens.plans.views import ALL, WEEK, MarketView
 
 SCOPES = (WEEK, ALL)
 
@@ -60,12 +60,9 @@ def volume_totals(view: MarketView) -> DataFrame:
 
 
 def _contributors(view: MarketView, scope: str) -> DataFrame:
-    tokens = view.measures(TOKEN, scope).groupBy("contract_address").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    return tokens.agg(
+    return view.traded_tokens(scope).agg(
         F.count(F.lit(1)).alias("collections"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"),
+        F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"),
     )
 
 

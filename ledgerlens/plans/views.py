@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import datetime
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +68,12 @@ class MarketView:
         )
         return labelled if set(fine) == set(keys) else merge_rollup(labelled, keys)
 
+    def traded_tokens(self, scope: str = ALL) -> DataFrame:
+        """Number of traded tokens by known collection."""
+        tokens = self.trades(scope).select(*TOKEN).distinct()
+        counted = tokens.groupBy("contract_address").agg(F.count(F.lit(1)).alias("tokens"))
+        return counted.join(self.labels, "contract_address")
+
     def first_trades(self) -> DataFrame:
         """Block of the first trade of every collection traded up to the window's end."""
         trades = eth_trades(self.snapshot).where(F.col("block_number") <= self.window.hi)
@@ -130,26 +138,45 @@ class StoredView(MarketView):
             df.write.parquet(path)
             return spark.read.schema(df.schema).parquet(path)
 
-        measured = {}
-        for scope in (WEEK, ALL):
+        def tokens_and_collections(scope: str) -> dict[tuple, DataFrame]:
             tokens = stored(f"tokens-{scope}", view.measures(TOKEN, scope))
             collections = merge_rollup(tokens, ["contract_address", "contract_name"])
-            measured[scope, "token_id"] = tokens
-            measured[scope, "contract_address"] = stored(f"collections-{scope}", collections)
-            measured[scope, "market"] = stored(
-                f"markets-{scope}", view.measures(["market"], scope)
-            )
-        last = F.struct("block_number", "to_address", "from_address")
-        transferred = view.transfers().groupBy(*TOKEN).agg(
-            F.count(F.lit(1)).alias("transfers"), F.max(last).alias("last")
-        )
-        return cls(view, measured, stored("holdings", transferred))
+            return {
+                (scope, "token_id"): tokens,
+                (scope, "contract_address"): stored(f"collections-{scope}", collections),
+            }
+
+        def markets(scope: str) -> dict[tuple, DataFrame]:
+            return {(scope, "market"): stored(f"markets-{scope}", view.measures(["market"], scope))}
+
+        def holdings() -> DataFrame:
+            last = F.struct("block_number", "to_address", "from_address")
+            return stored("holdings", view.transfers().groupBy(*TOKEN).agg(
+                F.count(F.lit(1)).alias("transfers"), F.max(last).alias("last")
+            ))
+
+        # The writes do not depend on each other; run together they share the executors.
+        with ThreadPoolExecutor(max_workers=5) as pool:
+            def start(task, *arguments):
+                return pool.submit(inheritable_thread_target(spark)(task), *arguments)
+
+            held = start(holdings)
+            parts = [
+                start(task, scope) for scope in (ALL, WEEK)
+                for task in (tokens_and_collections, markets)
+            ]
+            measured = {key: df for part in parts for key, df in part.result().items()}
+            return cls(view, measured, held.result())
 
     def measures(self, keys: Sequence[str], scope: str = ALL) -> DataFrame:
         if not keys:
             return merge_rollup(self._measured[scope, "market"], [])
         return self._measured[scope, keys[-1]]
 
+    def traded_tokens(self, scope: str = ALL) -> DataFrame:
+        tokens = self.measures(TOKEN, scope)
+        return tokens.groupBy("contract_address").agg(F.count(F.lit(1)).alias("tokens"))
+
     def first_trades(self) -> DataFrame:
         return self.measures(["contract_address"])
 

@@ -21,8 +21,13 @@ def write_report(df: DataFrame, path: str, format: str = "json") -> None:
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Write a table as parquet. Trades partitioned by date let weekly reports skip files."""
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    """Write a table as parquet. Trades partitioned by date let weekly reports skip files.
+
+    Rows of one value are brought together to avoid many small files; the rebalance
+    hint still splits a hot value over several tasks and files.
+    """
+    if not partition_by:
+        df.write.mode("overwrite").parquet(path)
+        return
+    balanced = df.hint("rebalance", *partition_by)
+    balanced.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
