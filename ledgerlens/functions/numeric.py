@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 # Digits of one part of an exact sum.
 DIGITS = 6
-STEP = 10**DIGITS
 
 
 def exact(column: Column, scale: int) -> Column:
@@ -21,20 +20,23 @@ def exact_sum(number: str, scale: int) -> Column:
     Values count with ``scale`` decimals, at least one. They are cut into whole
     numbers of six decimal digits each, and these are added as BIGINT: a decimal
     cast of every row would cost more than the rest of a report. Nine trillion
-    rows fit in one group; beyond, ANSI mode raises.
+    rows fit in one group; beyond, ANSI mode raises. It does so too for infinite
+    values, NaN and values whose millions do not fit in a BIGINT.
     """
     if scale < 1:
         raise ValueError("an exact sum needs at least one decimal")
-    whole = f"floor({number})"
-    millions = f"floor({number} / {STEP})"
-    parts = [(millions, f"{STEP}"), (f"{whole} - {millions} * {STEP}", "1")]
-    rest, done = f"({number} - {whole})", 0
+    millions = f"CAST({number} / 1e{DIGITS}D AS BIGINT)"
+    rest = f"({number} - {millions} * 1e{DIGITS}D)"
+    ones = f"CAST({rest} AS BIGINT)"
+    parts = [(millions, str(10**DIGITS)), (ones, "1")]
+    rest, done = f"({rest} - {ones})", 0
     for digits in _steps(scale):
         done += digits
-        scaled = f"({rest} * 1e{digits})"
-        cut = "rint" if done == scale else "floor"
-        parts.append((f"CAST({cut}({scaled}) AS BIGINT)", f"0.{1:0{done}d}"))
-        rest = f"({scaled} - floor({scaled}))"
+        scaled = f"({rest} * 1e{digits}D)"
+        # The casts cut towards zero, so what is left is exact for either sign.
+        part = f"CAST(rint({scaled}) AS BIGINT)" if done == scale else f"CAST({scaled} AS BIGINT)"
+        parts.append((part, f"0.{1:0{done}d}"))
+        rest = f"({scaled} - {part})"
     # 37 digits, so that adding two of them keeps every decimal.
     kind = f"DECIMAL(37,{scale})"
     total = f"CAST(0 AS {kind})"

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+FETCH_ROWS = "10000"
+
+
 @dataclass(frozen=True)
 class Source:
     """Where a table lives. Connection options come from the caller's configuration.
@@ -33,7 +36,8 @@ def jdbc_options(source: Source) -> dict[str, str]:
     """Reader options of a JDBC source, with the range split when one is asked for."""
     if not source.table:
         raise ValueError("a JDBC source needs a table")
-    options = {**source.options, "dbtable": source.table}
+    # Without a fetch size some drivers load a whole partition into memory at once.
+    options = {"fetchsize": FETCH_ROWS, **source.options, "dbtable": source.table}
     if source.partition_column:
         if source.lower is None or source.upper is None:
             raise ValueError("a split JDBC read needs a lower and an upper bound")

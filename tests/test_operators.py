@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -128,6 +129,11 @@ def test_exact_sum_edges(spark):
     assert values(spark, [None], "DOUBLE").agg(numeric.exact_sum("v", 18)).first()[0] is None
     tiny = values(spark, [1e-15, 2e-15], "DOUBLE").agg(numeric.exact_sum("v", 18).cast("double"))
     assert tiny.first()[0] == 3e-15
+    huge = values(spark, [1e20, -3e19, 0.25], "DOUBLE").agg(numeric.exact_sum("v", 4)).first()[0]
+    assert huge == Decimal("70000000000000000000.25")
+    for bad in (float("nan"), float("inf"), 1e25):
+        with pytest.raises(Exception, match="CAST_OVERFLOW"):
+            values(spark, [1.0, bad], "DOUBLE").agg(numeric.exact_sum("v", 4)).collect()
     with pytest.raises(ValueError):
         numeric.exact_sum("v", 0)
 

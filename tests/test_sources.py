@@ -25,7 +25,7 @@ def test_jdbc_options():
     assert tables.jdbc_options(source) == {
         "url": "jdbc:x", "user": "u", "dbtable": "trade_record",
         "partitionColumn": "block_number", "lowerBound": "0", "upperBound": "100",
-        "numPartitions": "4",
+        "numPartitions": "4", "fetchsize": "10000",
     }
     assert "partitionColumn" not in tables.jdbc_options(Source("jdbc", table="t"))
     with pytest.raises(ValueError):
