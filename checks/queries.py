@@ -209,9 +209,9 @@ def chunked_enrich(spark, sf_dir):
 @query
 def stream_enrich(spark, sf_dir):
     snapshot = testdata.snapshot(spark, sf_dir)
+    # A glob, since the table may be one file or a folder of files.
     lines = ingest.trade_stream(
-        spark, sf_dir, testdata.table(spark, sf_dir, "lineitem").schema,
-        file_filter="lineitem.parquet",
+        spark, f"{sf_dir}/lineitem.parquet*", testdata.table(spark, sf_dir, "lineitem").schema
     )
     trades = tables.where_in(
         lines.selectExpr(

@@ -11,14 +11,12 @@ from ledgerlens.plans.enrich import with_usd_price
 
 def trade_stream(
     spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None,
-    file_filter: str | None = None, format: str = "parquet",
+    format: str = "parquet",
 ) -> DataFrame:
-    """A stream over the files of a folder, ``files_per_batch`` of them at a time."""
+    """A stream over the files of a folder or glob, ``files_per_batch`` of them at a time."""
     reader = spark.readStream.schema(schema).format(format)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    if file_filter:
-        reader = reader.option("pathGlobFilter", file_filter)
     return reader.load(path)
 
 
@@ -42,4 +40,5 @@ def append_priced(
 def ingest(trades: DataFrame, calendar: DataFrame, output: str, checkpoint: str) -> DataFrame:
     """Run :func:`append_priced` to its end and read the whole output."""
     append_priced(trades, calendar, output, checkpoint).awaitTermination()
-    return trades.sparkSession.read.parquet(output)
+    schema = with_usd_price(trades, calendar).schema
+    return trades.sparkSession.read.schema(schema).parquet(output)

@@ -36,6 +36,27 @@ def test_incremental_ingest_equals_one_batch(spark, tmp_path):
     assert again.count() == expected.count()
 
 
+def test_nothing_to_ingest(spark, tmp_path):
+    snapshot = Market(4).snapshot(spark)
+    source, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    snapshot.trades.limit(0).write.parquet(source)
+    stream = ingest.trade_stream(spark, source, TRADES)
+    done = ingest.ingest(stream, enrich.price_calendar(snapshot), out, progress)
+    assert done.count() == 0 and "price_usd" in done.columns
+
+
+def test_registered_query_reads_a_table_of_many_files(spark, tmp_path):
+    from checks.queries import QUERIES
+
+    small = "/root/testdata/sf0.001"
+    for name, files in (("lineitem", 3), ("orders", 2), ("part", 1)):
+        table = spark.read.parquet(f"{small}/{name}.parquet")
+        table.repartition(files).write.parquet(str(tmp_path / f"{name}.parquet"))
+    query = QUERIES["stream_enrich"]
+    one, many = query(spark, small), query(spark, str(tmp_path))
+    assert bag(many, one.columns) == bag(one, one.columns)
+
+
 def test_pages_equal_the_whole_scan(spark):
     market = Market(5)
     snapshot = market.snapshot(spark)
