@@ -183,6 +183,21 @@ ORACLE["market_mean"] = both(f"""
     SELECT '{{scope}}' AS scope, {AVG_ETH} AS price_mean, {money(SUM_ETH)} AS price_sum
     FROM {{e}}""")
 
+ORACLE["summary_lines"] = sql(
+    "\nUNION ALL\n".join(f"""
+        SELECT printf('{scope}: traded %.2f ETH / %.2f USD in %d collections',
+                 coalesce({money(SUM_ETH)}, 0), coalesce({money(SUM_USD)}, 0),
+                 count(DISTINCT contract_address)) AS line FROM {e}
+        UNION ALL
+        SELECT printf('{scope}: %d transfers', count(*)) FROM {t}"""
+        for scope, e, t in (("week", "e_week", "t_week"), ("all", "e", "transfers")))
+    + f"""
+    UNION ALL
+    SELECT printf('all: market cap %.2f ETH / %.2f USD', market_cap_eth, market_cap_usd)
+    FROM ({_CAP})""",
+    _PRICES, """weights AS (
+    SELECT contract_address, count(*) AS n FROM transfers GROUP BY contract_address)""")
+
 _NEW = """
     SELECT contract_address FROM e_week
     EXCEPT

@@ -127,6 +127,7 @@ register("contributors", totals.contributors)
 register("transfer_totals", totals.transfer_totals)
 register("trade_totals", totals.trade_totals)
 register("market_mean", totals.market_mean)
+register("summary_lines", totals.summary_lines)
 
 
 # -- cohorts ---------------------------------------------------------------------------------

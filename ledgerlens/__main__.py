@@ -13,7 +13,8 @@ import json
 from ledgerlens.functions.dates import as_date
 from ledgerlens.plans.report import weekly_report
 from ledgerlens.plans.snapshot import load_snapshot
-from ledgerlens.plans.views import MarketView
+from ledgerlens.plans.totals import summary_lines
+from ledgerlens.plans.views import MarketView, StoredView
 from ledgerlens.session import build_session
 from ledgerlens.sources.sinks import show, write_report
 from ledgerlens.sources.tables import Source
@@ -34,8 +35,9 @@ def main(argv: list[str] | None = None) -> None:
     spark = build_session("ledgerlens")
     snapshot = load_snapshot(spark, sources)
     cutoff = as_date(options.cutoff) if options.cutoff else None
-    report = weekly_report(MarketView(snapshot, options.start, options.days, cutoff))
-    write_report(report, options.output, options.format)
+    view = StoredView.store(MarketView(snapshot, options.start, options.days, cutoff))
+    show(summary_lines(view))
+    write_report(weekly_report(view), options.output, options.format)
     show(spark.read.format(options.format).load(options.output))
 
 

@@ -100,10 +100,10 @@ def _cohorts(view: MarketView) -> list[DataFrame]:
 def weekly_report(view: MarketView) -> DataFrame:
     """All reports as rows of (scope, metric, rank, keys, label, value).
 
-    Nearly all figures come from stored rollups, see :class:`StoredView`. The result
-    has a few hundred rows.
+    Nearly all figures come from stored rollups, see :class:`StoredView`; they are
+    written first unless the view already has them. The result has a few hundred rows.
     """
-    stored = StoredView.store(view)
+    stored = view if isinstance(view, StoredView) else StoredView.store(view)
     frames = [*_leaderboards(stored, WEEK), *_leaderboards(stored, ALL), *_totals(stored),
               *_cohorts(stored)]
     return concat(*frames).select(*COLUMNS)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.numeric import exact_sum, mean, money
+from ledgerlens.functions.text import report_line
 from ledgerlens.operators.sets import concat
 from ledgerlens.plans.views import ALL, WEEK, MarketView
 
@@ -99,3 +100,20 @@ def _mean(view: MarketView, scope: str) -> DataFrame:
 def market_mean(view: MarketView) -> DataFrame:
     """Mean trade price and total ETH volume of the whole market."""
     return _by_scope(_mean, view)
+
+
+def summary_lines(view: MarketView) -> DataFrame:
+    """The headline figures as sentences, one per line."""
+    volume = volume_totals(view).select(report_line(
+        "%s: traded %.2f ETH / %.2f USD in %d collections",
+        F.col("scope"), F.coalesce("volume_eth", F.lit(0.0)), F.coalesce("volume_usd", F.lit(0.0)),
+        F.col("collections"),
+    ).alias("line"))
+    cap = market_cap(view).select(report_line(
+        "all: market cap %.2f ETH / %.2f USD",
+        F.coalesce("market_cap_eth", F.lit(0.0)), F.coalesce("market_cap_usd", F.lit(0.0)),
+    ).alias("line"))
+    moved = transfer_totals(view).select(
+        report_line("%s: %d transfers", F.col("scope"), F.col("transfers")).alias("line")
+    )
+    return concat(volume, cap, moved)

@@ -169,6 +169,15 @@ def test_totals(view, market):
         )
 
 
+def test_summary_lines(view, market):
+    lines = [r[0] for r in rows(totals.summary_lines(view))]
+    moved = len(market.transfers)
+    assert f"all: {moved} transfers" in lines
+    assert any(line.startswith("week: traded ") for line in lines)
+    assert any(line.startswith("all: market cap ") for line in lines)
+    assert len(lines) == 5
+
+
 def test_new_collections(view, market):
     lo, _ = market.window()
     before = {t["contract"] for t in market.enriched() if t["block"] < lo}

@@ -134,7 +134,8 @@ def test_report_job(spark, stored_market, tmp_path, capsys):
     (tmp_path / "sources.json").write_text(json.dumps(config))
     out = str(tmp_path / "report")
     job.main([START.isoformat(), "--sources", str(tmp_path / "sources.json"), "--output", out])
-    assert "collection_volume_usd" in capsys.readouterr().out
+    printed = capsys.readouterr().out
+    assert "collection_volume_usd" in printed and "market cap" in printed
     written = spark.read.json(out)
     assert set(written.columns) <= set(COLUMNS)
     direct = weekly_report(MarketView(market.snapshot(spark), START))
