@@ -35,7 +35,9 @@ def main(argv: list[str] | None = None) -> None:
     spark = build_session("ledgerlens")
     snapshot = load_snapshot(spark, sources)
     cutoff = as_date(options.cutoff) if options.cutoff else None
-    view = StoredView.store(MarketView(snapshot, options.start, options.days, cutoff))
+    remote = any(source.format == "jdbc" for source in sources.values())
+    market = MarketView(snapshot, options.start, options.days, cutoff, resolve=remote)
+    view = StoredView.store(market)
     show(summary_lines(view))
     write_report(weekly_report(view), options.output, options.format)
     show(spark.read.format(options.format).load(options.output))

@@ -51,7 +51,32 @@ class BlockWindow:
     def holds(self, column: str = "block_number") -> Column:
         return F.col(column).between(self.lo, self.hi)
 
+    def resolved(self) -> "FixedWindow":
+        """The window with its two bounds looked up now; see :class:`FixedWindow`."""
+        return FixedWindow(self)
 
-def block_at(blocks: DataFrame, day: str | datetime.date | Column) -> Column:
-    """Last block dated on or before ``day``, as a scalar subquery."""
-    return blocks.where(F.col("date") <= as_date(day)).agg(F.max("block_number")).scalar()
+
+class FixedWindow(BlockWindow):
+    """A window whose bounds are literals, read back to the driver as one row.
+
+    For sources that only take filters known when the query is planned, such as
+    JDBC: the range then becomes part of the query the database runs.
+    """
+
+    def __init__(self, window: BlockWindow) -> None:
+        self.__dict__.update(window.__dict__)
+        self._lo, self._hi = window.frame().first()
+
+    @property
+    def lo(self) -> Column:
+        return F.lit(self._lo).cast("bigint")
+
+    @property
+    def hi(self) -> Column:
+        return F.lit(self._hi).cast("bigint")
+
+
+def block_at(blocks: DataFrame, day: str | datetime.date | Column, resolve: bool = False) -> Column:
+    """Last block dated on or before ``day``: a scalar subquery, or with ``resolve`` a literal."""
+    last = blocks.where(F.col("date") <= as_date(day)).agg(F.max("block_number"))
+    return F.lit(last.first()[0]).cast("bigint") if resolve else last.scalar()

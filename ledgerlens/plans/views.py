@@ -35,10 +35,14 @@ class MarketView:
         start: str | datetime.date | None = None,
         days: int = 7,
         cutoff: str | datetime.date | None = None,
+        resolve: bool = False,
     ) -> None:
+        """``resolve`` looks the block bounds up at once, for JDBC sources."""
         self.snapshot = snapshot
         self.scale = snapshot.scale
-        self.window = BlockWindow(snapshot.blocks, start, days)
+        self.resolve = resolve
+        window = BlockWindow(snapshot.blocks, start, days)
+        self.window = window.resolved() if resolve else window
         self.cutoff = self.window.first_day if cutoff is None else cutoff
         self.labels = snapshot.contracts.select("contract_address", "contract_name")
 
@@ -104,7 +108,7 @@ class MarketView:
         A token is last sold after the cutoff exactly when it has a sale after it,
         so the older sales need not be read.
         """
-        cutoff = block_at(self.snapshot.blocks, self.cutoff)
+        cutoff = block_at(self.snapshot.blocks, self.cutoff, self.resolve)
         recent = eth_trades(self.snapshot).where(F.col("block_number") > cutoff)
         last = latest_per_key(
             with_usd_price(recent, price_calendar(self.snapshot)), TOKEN,

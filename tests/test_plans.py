@@ -95,6 +95,16 @@ def test_window_bounds_skip_row_groups(chain):
     assert read < 800_000 / 4
 
 
+def test_resolved_bounds_are_literals_in_the_scan(chain):
+    """What a source without runtime filters, such as JDBC, gets to see."""
+    lazy = MarketView(chain, FIRST + datetime.timedelta(200))
+    fixed = MarketView(chain, FIRST + datetime.timedelta(200), resolve=True)
+    pushed = plan(fixed.transfers("week")) + plan(fixed.trades("week"))
+    assert "GreaterThanOrEqual(block_number,20000), LessThanOrEqual(block_number,20699)" in pushed
+    assert "GreaterThan(block_number,20099)" in plan(fixed.active_tokens())
+    assert fixed.trades("week").count() == lazy.trades("week").count() == 14_000
+
+
 def test_week_report_reads_few_columns_and_filters_early(chain):
     view = MarketView(chain, FIRST + datetime.timedelta(200))
     text = plan(view.measures(["contract_address"], "week").select("contract_address", "usd"))

@@ -14,15 +14,15 @@ from ledgerlens.plans.views import MarketView, StoredView
 SCOPES = ("week", "all")
 
 
-@pytest.fixture(scope="module", params=[1, 2])
-def market(request):
-    return Market(request.param)
+@pytest.fixture(scope="module")
+def market():
+    return Market(1)
 
 
-@pytest.fixture(scope="module", params=["direct", "stored"])
+@pytest.fixture(scope="module", params=["direct", "resolved", "stored"])
 def view(request, spark, market):
-    direct = MarketView(market.snapshot(spark), START)
-    return direct if request.param == "direct" else StoredView.store(direct)
+    view = MarketView(market.snapshot(spark), START, resolve=request.param == "resolved")
+    return StoredView.store(view) if request.param == "stored" else view
 
 
 def rows(df):
@@ -246,8 +246,9 @@ def test_volumes_add_up(view):
     assert sum(r.price_usd for r in boards if r.price_usd is not None) == pytest.approx(whole, abs=0.01)
 
 
-def test_empty_window(spark, market):
-    view = MarketView(market.snapshot(spark), "2030-01-01")
+@pytest.mark.parametrize("resolve", [False, True])
+def test_empty_window(spark, market, resolve):
+    view = MarketView(market.snapshot(spark), "2030-01-01", resolve=resolve)
     assert rows(view.window.frame()) == [(None, None)]
     assert view.enriched("week").count() == 0
     assert rows(leaderboards.collection_volume(view, "week")) == []
