@@ -39,9 +39,10 @@ QUERY_BATCH = 8192
 TOGETHER = 256
 #: Share of the windows a vector must collide in.
 THRESHOLD = 0.56
-#: Windows grow until this share of a block's vectors (k at least) is verified.
-VERIFIED = 0.35
-FIRST_WINDOW = 0.55
+#: Windows grow until this share of a block's vectors, and ``LEAST`` times k, are verified.
+VERIFIED = 0.45
+LEAST = 16
+FIRST_WINDOW = 0.6
 GROWTH = 1.15
 
 
@@ -80,7 +81,7 @@ class SortedProjections:
     def _search(self, query_ids, queries, k, threshold, verified) -> pd.DataFrame:
         n, hashes = self.order.shape[::-1]
         need = int(np.ceil(threshold * hashes))
-        wanted = min(n, max(k + 1, int(verified * n)))
+        wanted = min(n, max(LEAST * k, int(verified * n)))
         lengths = np.sqrt((queries**2).sum(1))
         projected = (queries * (self.norm / lengths)[:, None]) @ self.directions[:-1]
         counts = np.zeros((len(queries), n), np.int16)

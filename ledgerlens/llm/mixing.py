@@ -3,10 +3,11 @@
 Every document is wanted ``target / source_size`` times. The whole part is certain;
 the fraction is a mass in words (fraction times size). Two documents of a source meet
 and one gives mass to the other, in a random direction whose odds keep both
-expectations, until one holds none or a whole copy. Mass moves but is never lost, so
-a source's taken words miss its target by less than one document. Chunks of about
-``FANIN`` documents fold in this way to one residual each; residuals fold again, a
-reduction tree of shuffles, until a source has one left, which is drawn.
+expectations, until one holds none or a whole copy. Mass moves but is never lost.
+Chunks of about ``FANIN`` documents fold in this way to one residual each; residuals
+fold again, a reduction tree of shuffles, until a source has one left. That one is
+rounded, and one document of the last chunk is turned over if this brings the source
+nearer its target; what is missed is less than half a document.
 
 Only DataFrame and SQL functions are used. Chunks are dealt by hashes, so a hot
 source is as many chunks as it needs. All draws are hashes of the documents' keys:
@@ -54,6 +55,25 @@ aggregate(
     END)[0])
 """
 
+# A source's last chunk: the residual is rounded to the nearer side, and then the one
+# document whose turning over brings the source nearest to its target is turned.
+_LAST = """
+transform(
+  array(named_struct('up', cur.mass * 2 >= cur.size)),
+  t -> transform(
+    array(named_struct(
+      'rows', concat(done, array(named_struct('doc_id', cur.doc_id, 'size', cur.size, 'k', cur.k,
+        'copies', cur.whole + IF(t.up, 1L, 0L)))),
+      'owed', cur.mass - IF(t.up, cur.size, 0L))),
+    u -> transform(
+      array(array_min(transform(u.rows, (r, i) -> named_struct(
+        'miss', abs(u.owed - IF(r.copies > cur.whole, -r.size, r.size)), 'i', i)))),
+      best -> transform(u.rows, (r, i) -> IF(i = best.i AND best.miss < abs(u.owed),
+        named_struct('doc_id', r.doc_id, 'size', r.size, 'k', r.k,
+          'copies', IF(r.copies > cur.whole, r.copies - 1L, r.copies + 1L)),
+        r)))[0])[0])[0]
+"""
+
 
 def _with_mass(row: str, mass: str) -> str:
     return (f"named_struct('h', {row}.h, 'doc_id', {row}.doc_id, 'size', {row}.size, "
@@ -157,17 +177,14 @@ def mix(
             .select(*labels, "parts", "fold.cur", "fold.done"),
             "mix-fold",
         )
-        decided.append(folded.select(*labels, F.inline("done")).select(shape))
-        left = folded.select(*labels, "cur", "parts")
+        # The last chunk of a source is settled by _LAST, below.
+        decided.append(folded.where("parts > 1").select(*labels, F.inline("done")).select(shape))
+        last = folded.where("parts = 1")
+        decided.append(last.select(*labels, F.inline(F.expr(_LAST))).select(shape))
+        left = folded.where("parts > 1").select(*labels, "cur", "parts")
         most_in_one, level = -(-most_in_one // FANIN), level + 1
         if most_in_one <= 1:
             break
-    draw = F.pmod(F.xxhash64(F.lit("last"), "h"), F.lit(1 << 30)) / float(1 << 30)
-    decided.append(left.select(*labels, "cur.*").select(
-        *labels, "doc_id", "size", "k",
-        (F.col("whole") + F.when(draw * F.col("size") < F.col("mass"), 1).otherwise(0))
-        .alias("copies"),
-    ))
     result = decided[0]
     for part in decided[1:]:
         result = result.unionByName(part)
