@@ -38,15 +38,17 @@ MOST_RANGES = 65_536
 ROUNDS = 4
 
 
-def weighted_sample(rows: DataFrame, most: int) -> np.ndarray:
-    """Keys of ``most`` rows drawn with odds that follow their sizes, in order.
+def weighted_sample(rows: DataFrame, most: int, total: int) -> np.ndarray:
+    """Keys of up to ``most`` rows drawn with odds that follow their sizes, in order.
 
     Each row draws an exponential time with its size as rate; the earliest are
-    taken. The draw is a hash of the row, so reruns agree.
+    taken. About twice as many rows as needed come before the time limit, so tasks
+    send few, whatever their number. The draw is a hash of the row, so reruns agree.
     """
     u = (F.pmod(F.xxhash64(F.lit(11), "key", "doc_id", "row"), F.lit(1 << 52)) + 1) / float(1 << 52)
     drawn = rows.select("key", (-F.log(u) / F.col("size")).alias("at"), "row")
-    taken = drawn.orderBy("at", "key", "row").limit(most).select("key").collect()
+    early = drawn.where(F.col("at") <= 2 * most / max(total, 1))
+    taken = early.orderBy("at", "key", "row").limit(most).select("key").collect()
     return np.sort(np.array([r.key for r in taken], dtype=np.int64))
 
 
@@ -70,7 +72,7 @@ def in_range(rows: DataFrame, splitters: np.ndarray) -> DataFrame:
 def splitters_of(rows: DataFrame, total: int, ranges: int, sample: int) -> tuple[np.ndarray, set]:
     """Splitters, and the keys that have a range of their own."""
     goal = total / ranges
-    splitters, alone = quantiles(weighted_sample(rows, sample), ranges), set()
+    splitters, alone = quantiles(weighted_sample(rows, sample, total), ranges), set()
     for _ in range(ROUNDS):
         measured = in_range(rows, splitters)
         full = measured.groupBy("range").agg(F.sum("size").alias("bytes")).where(
@@ -88,7 +90,8 @@ def splitters_of(rows: DataFrame, total: int, ranges: int, sample: int) -> tuple
         parts = sum(math.ceil(b / goal) for b in full.values())
         edges = [k for h in heavy for k in (max(h - 1, -(1 << 63)), h)]
         splitters = np.unique(np.concatenate([
-            splitters, np.array(edges, np.int64), quantiles(weighted_sample(rest, sample), 2 * parts),
+            splitters, np.array(edges, np.int64), quantiles(
+                weighted_sample(rest, sample, sum(full.values())), 2 * parts),
         ]))
     return splitters, alone
 
