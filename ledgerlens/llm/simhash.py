@@ -217,7 +217,9 @@ def links(points: DataFrame) -> DataFrame:
     """Pairs (a, b) of the distinct fingerprints in ``fp`` whose closure is all links."""
     count = points.count()
     levels = min(MOST_LEVELS, max(0, int(np.ceil(np.log2(max(1, count / SHARD_POINTS))))))
-    chosen = points.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect() if levels else []
+    # About two samples pass the first filter, so tasks send few points each.
+    early = F.pmod(F.xxhash64("fp"), F.lit(1 << 40)) < (2 * SAMPLE << 40) // max(1, count)
+    chosen = points.where(early).orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect() if levels else []
     sample = np.array([r.fp for r in chosen], np.int64).view(np.uint64)
     trees = [upper_levels(sample, levels, mask) for mask in BANDS]
 

@@ -1,0 +1,55 @@
+from __future__ import annotations
+
+import hashlib
+from collections import Counter, defaultdict
+
+from ledgerlens.llm import exact_dedup
+from tests.llm.conftest import NASTY
+
+
+def expected(pairs):
+    groups = defaultdict(list)
+    for doc_id, text in pairs:
+        groups[text or ""].append(doc_id)
+    rows = Counter()
+    for text, ids in groups.items():
+        best = max((i for i in ids if i is not None), default=None)
+        sha = hashlib.sha256(text.encode()).hexdigest()
+        for n, i in enumerate(sorted(ids, key=lambda i: (i is not None, i or 0))):
+            rows[i, best, len(ids), n == len(ids) - 1, sha] += 1
+    return rows
+
+
+def test_groups_of_nasty_rows(nasty):
+    got = exact_dedup.exact_groups(nasty, digests=True).collect()
+    assert Counter(tuple(r) for r in got) == expected((i, t) for i, t, _ in NASTY)
+
+
+def test_only_doubtful_texts_are_hashed_without_digests(documents):
+    rows = exact_dedup.exact_groups(documents).collect()
+    assert {r.sha is None for r in rows if r.group_size > 1} == {False}
+    assert all(r.kept and r.keep_id == r.id for r in rows if r.group_size == 1)
+    assert any(r.sha is None for r in rows)
+
+
+def test_same_length_and_prefix_but_other_text(spark):
+    texts = ["p" * 500 + "a", "p" * 500 + "b", "q" * 501, "p" * 500 + "a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    got = {r.id: (r.keep_id, r.group_size) for r in exact_dedup.exact_groups(docs).collect()}
+    assert got == {0: (3, 2), 3: (3, 2), 1: (1, 1), 2: (2, 1)}
+
+
+def test_keep_one_returns_rows_as_they_came(nasty):
+    kept = exact_dedup.keep_one(nasty)
+    assert kept.columns == nasty.columns
+    rows = Counter((r.doc_id, r.text or "") for r in kept.collect())
+    groups = defaultdict(list)
+    for i, t, _ in NASTY:
+        groups[t or ""].append(-1 if i is None else i)
+    want = Counter((None if max(ids) < 0 else max(ids), t) for t, ids in groups.items())
+    assert rows == want
+
+
+def test_empty_table(nothing):
+    assert exact_dedup.exact_groups(nothing, digests=True).count() == 0
+    assert exact_dedup.keep_one(nothing).collect() == []

@@ -1,0 +1,72 @@
+from __future__ import annotations
+
+from collections import Counter, defaultdict
+
+import numpy as np
+from tokenizers import Tokenizer
+
+from ledgerlens.llm import packing
+from ledgerlens.llm.queries import vocabulary
+from tests.llm.conftest import NASTY
+
+PATH = vocabulary("byte_bpe_50k.json")
+
+
+def ids_of(text):
+    return Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids + [1]
+
+
+def check_sequences(rows, length):
+    by = defaultdict(list)
+    for r in rows:
+        by[r.sequence_id].append((r.offset, r.length))
+    for parts in by.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at and n > 0
+            at += n
+        assert at <= length
+    return by
+
+
+def test_nasty_rows(nasty):
+    rows = packing.place(packing.pieces(nasty, PATH)).collect()
+    whole = {t: ids_of(t) for t in {t for _, t, _ in NASTY}}
+    want = Counter()
+    for i, t, _ in NASTY:
+        ids = np.array(whole[t], "<u4")
+        for a in range(0, len(ids), 2048):
+            want[i, a, ids[a:a + 2048].tobytes(), len(ids)] += 1
+    assert Counter((r.doc_id, r.start, bytes(r.ids), r.doc_tokens) for r in rows) == want
+    check_sequences(rows, 2048)
+
+
+def test_sequences_hold_the_ids(documents):
+    placed = packing.place(packing.pieces(documents, PATH, length=512), 512)
+    for r in packing.sequences(placed).collect():
+        assert len(r.ids) == 4 * r.length <= 2048 and len(r.doc_ids) >= 1
+
+
+def test_first_fit_decreasing_equals_a_linear_search():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 2, 5, 300):
+        lengths = rng.integers(1, 100, n)
+        bins, offsets = packing.first_fit_decreasing(lengths, 100)
+        room, want = [100] * n, np.zeros(n, int)
+        for i in np.argsort(-lengths, kind="stable"):
+            want[i] = next(b for b in range(n) if room[b] >= lengths[i])
+            assert offsets[i] == 100 - room[want[i]]
+            room[want[i]] -= lengths[i]
+        assert (bins == want).all()
+
+
+def test_groups_leave_little_padding(spark):
+    rng = np.random.default_rng(1)
+    frame = spark.createDataFrame([(i, int(n)) for i, n in enumerate(rng.integers(1, 2049, 9000))], "id INT, length BIGINT")
+    rows = packing.place(frame, group=2000).collect()
+    by = check_sequences(rows, 2048)
+    assert len(rows) == 9000 and sum(r.length for r in rows) / (len(by) * 2048) > 0.98
+
+
+def test_empty_table(nothing):
+    assert packing.place(packing.pieces(nothing, PATH)).collect() == []

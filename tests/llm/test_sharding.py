@@ -1,0 +1,55 @@
+from __future__ import annotations
+
+import zlib
+from collections import Counter, defaultdict
+
+from ledgerlens.llm import sharding
+from tests.llm.conftest import NASTY
+
+
+def test_nasty_rows(nasty):
+    rows = sharding.shard(nasty, 4).collect()
+    want = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _ in NASTY)
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == want
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(4))
+
+
+def test_shards_are_even_and_copies_stay_together(spark):
+    docs = [(i, f"text {i % 1500} " * (1 + i * 31 % 40)) for i in range(6000)]
+    docs = [(i, t if i % 4 else "the one text of many copies " * 9) for i, t in docs]
+    rows = sharding.shard(spark.createDataFrame(docs, "doc_id BIGINT, text STRING"), 8).collect()
+    load, where = Counter(), defaultdict(set)
+    texts = dict(docs)
+    for r in rows:
+        load[r.shard] += r.size
+        where[texts[r.doc_id]].add(r.shard)
+    mean = sum(load.values()) / 8
+    assert max(load.values()) < 1.03 * mean and min(load.values()) > 0.97 * mean
+    # Only the text that outweighs a shard is divided.
+    assert [t[:8] for t, s in where.items() if len(s) > 1] == ["the one "]
+
+
+def test_overfull_ranges_are_divided(spark):
+    # Keys in a narrow interval which a sample of 20 can hardly see.
+    rows = spark.range(3000).selectExpr(
+        "id AS doc_id", "id AS row", "IF(id % 10 = 0, id * 1000000, 5000 + id) AS key",
+        "CAST(IF(id % 10 = 0, 50, 10) AS BIGINT) AS size")
+    total = rows.agg({"size": "sum"}).first()[0]
+    splitters, alone = sharding.splitters_of(rows, total, 64, 20)
+    loads = [r[1] for r in sharding.in_range(rows, splitters).groupBy("range").sum("size").collect()]
+    assert max(loads) <= 2.5 * total / 64 and not alone
+
+
+def test_files_hold_every_row_once(documents, tmp_path):
+    sharding.write_shards(documents, sharding.shard(documents, 3), str(tmp_path / "out"))
+    read = documents.sparkSession.read.parquet(str(tmp_path / "out"))
+    assert sorted(r.doc_id for r in read.select("doc_id").collect()) == sorted(
+        r.doc_id for r in documents.select("doc_id").collect())
+    assert {r.shard for r in read.select("shard").distinct().collect()} == {0, 1, 2}
+
+
+def test_empty_table(nothing):
+    assert sharding.shard(nothing, 4).collect() == []

@@ -1,0 +1,137 @@
+from __future__ import annotations
+
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import xxhash
+
+from ledgerlens.llm import simhash
+from tests.llm.conftest import LONG, NASTY
+
+
+def fingerprint(text: str) -> int:
+    """Bit by bit, as the contract words it."""
+    lower = re.sub("[A-Z]", lambda m: m[0].lower(), text)
+    words = re.findall(r"[^\x20\x09-\x0D]+", lower)
+    if not words:
+        return 0
+    shingles = [" ".join(words[i:i + 4]) for i in range(max(1, len(words) - 3))]
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def groups(points):
+    """Smallest member by point, comparing all pairs."""
+    root = {p: p for p in points}
+
+    def find(p):
+        while root[p] != p:
+            p = root[p]
+        return p
+
+    for a in points:
+        for b in points:
+            if (a ^ b).bit_count() <= 4:
+                root[find(a)] = find(b)
+    members = defaultdict(list)
+    for p in points:
+        members[find(p)].append(p)
+    return {p: frozenset(m) for m in members.values() for p in m}
+
+
+def test_fingerprints_of_all_kinds_of_text():
+    texts = ["", " \n", "A", "a B c", "a b c d", "A B C d e", "é É\x0bfoo  bar\tbaz", "q " * 50, LONG[:3000]]
+    for text in texts:
+        assert simhash.fingerprint(text.encode()) == fingerprint(text)
+
+
+def test_nasty_rows(nasty):
+    rows = simhash.near_groups(nasty).collect()
+    prints = {t: fingerprint(t or "") for _, t, _ in NASTY if t != LONG} | {LONG: simhash.fingerprint(LONG.encode())}
+    same = groups(set(prints.values()))
+    want = Counter()
+    for i, t, _ in NASTY:
+        ids = [j for j, u, _ in NASTY if j is not None and prints[u] in same[prints[t]]]
+        want[i, prints[t], min(ids, default=None)] += 1
+    assert Counter((r.doc_id, r.fp % (1 << 64), r.component_id) for r in rows) == want
+
+
+def clustered(n, seed):
+    rng = random.Random(seed)
+    centres = [rng.getrandbits(64) for _ in range(n // 6)]
+    out = set()
+    while len(out) < n:
+        p = rng.choice(centres)
+        for _ in range(rng.randrange(9)):
+            p ^= 1 << rng.randrange(64)
+        out.add(p)
+    return sorted(out)
+
+
+def linked(points, pairs):
+    root = {p: p for p in points}
+
+    def find(p):
+        while root[p] != p:
+            p = root[p]
+        return p
+
+    for a, b in pairs:
+        root[find(a)] = find(b)
+    members = defaultdict(set)
+    for p in points:
+        members[find(p)].add(p)
+    return {p: frozenset(m) for m in members.values() for p in m}
+
+
+def test_trees_find_every_link(monkeypatch):
+    monkeypatch.setattr(simhash, "LEAF", 4)
+    points = np.array(clustered(700, 5), np.uint64)
+    found = Counter()
+    for band in range(3):
+        for q, p in simhash.links_within(points, points, band):
+            found.update((a, b) for a, b in zip(q.tolist(), p.tolist()) if a < b)
+    apart = np.bitwise_count(points[:, None] ^ points[None, :])
+    want = {(a, b) for a, b in np.argwhere(apart <= 4).tolist() if a < b}
+    assert set(found) == want and set(found.values()) == {1}
+
+
+def test_shards_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD_POINTS", 60)
+    monkeypatch.setattr(simhash, "SAMPLE", 200)
+    points = clustered(1500, 8)
+    frame = spark.createDataFrame([(int(np.uint64(p).view(np.int64)),) for p in points], "fp BIGINT")
+    pairs = [(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash.links(frame).collect()]
+    assert all((a ^ b).bit_count() for a, b in pairs)
+    assert linked(points, pairs) == groups(points)
+
+
+def test_components_of_chains_hubs_and_rings(spark):
+    rng = random.Random(2)
+    edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 300)]
+    edges += [(5000 + i, 5000 + (i + 1) % 40) for i in range(40)] + [(7, 7), (9001, 9000)]
+    rng.shuffle(edges)
+    got = {r.fp: r.root for r in simhash.components(spark.createDataFrame(edges, "a BIGINT, b BIGINT")).collect()}
+    want = {p: min(m) for p, m in linked({p for e in edges for p in e}, edges).items() if p != min(m)}
+    assert got == want
+
+
+def test_one_document_of_each_group_stays(nasty, spark):
+    kept = simhash.keep_one(nasty)
+    assert kept.columns == nasty.columns
+    found = simhash.near_groups(nasty).collect()
+    assert kept.count() == len({r.component_id for r in found})
+    base = [f"w{i} v{i % 7} u{i % 11}" for i in range(300)]
+    docs = [(i, " ".join(base[:299] + [str(i)] if i < 5 else base[i:])) for i in range(9)]
+    left = simhash.keep_one(spark.createDataFrame(docs, "doc_id BIGINT, text STRING"))
+    prints = {i: fingerprint(t) for i, t in docs}
+    same = groups(set(prints.values()))
+    assert sorted(r.doc_id for r in left.collect()) == sorted(
+        {min(j for j in prints if prints[j] in same[p]) for p in prints.values()})
+
+
+def test_empty_table(nothing):
+    assert simhash.near_groups(nothing).collect() == []
+    assert simhash.keep_one(nothing).collect() == []
