@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ledgerlens.functions.text import URL_PATTERN
+from ledgerlens.sources.testdata import LATE_CUTOFF
 
 DAY = "date_diff('day', DATE '1970-01-01', CAST({0} AS DATE))"
 
@@ -183,21 +184,6 @@ ORACLE["market_mean"] = both(f"""
     SELECT '{{scope}}' AS scope, {AVG_ETH} AS price_mean, {money(SUM_ETH)} AS price_sum
     FROM {{e}}""")
 
-ORACLE["summary_lines"] = sql(
-    "\nUNION ALL\n".join(f"""
-        SELECT printf('{scope}: traded %.2f ETH / %.2f USD in %d collections',
-                 coalesce({money(SUM_ETH)}, 0), coalesce({money(SUM_USD)}, 0),
-                 count(DISTINCT contract_address)) AS line FROM {e}
-        UNION ALL
-        SELECT printf('{scope}: %d transfers', count(*)) FROM {t}"""
-        for scope, e, t in (("week", "e_week", "t_week"), ("all", "e", "transfers")))
-    + f"""
-    UNION ALL
-    SELECT printf('all: market cap %.2f ETH / %.2f USD', market_cap_eth, market_cap_usd)
-    FROM ({_CAP})""",
-    _PRICES, """weights AS (
-    SELECT contract_address, count(*) AS n FROM transfers GROUP BY contract_address)""")
-
 _NEW = """
     SELECT contract_address FROM e_week
     EXCEPT
@@ -216,7 +202,9 @@ HOLDERS = """holders AS (
     SELECT *, row_number() OVER (PARTITION BY contract_address, token_id
       ORDER BY block_number DESC, to_address DESC, from_address DESC) AS n
     FROM transfers) WHERE n = 1)"""
-ACTIVE = """cutoff AS (SELECT max(block_number) AS block FROM blocks WHERE date <= DATE '1995-03-06'),
+def active_sql(cutoff: str) -> str:
+    return f"""cutoff AS (
+  SELECT max(block_number) AS block FROM blocks WHERE date <= DATE '{cutoff}'),
 last_sales AS (
   SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY contract_address, token_id
@@ -227,23 +215,62 @@ active AS (
   UNION
   SELECT buyer FROM last_sales, cutoff WHERE block_number > cutoff.block)"""
 
+
+# The window's start, and a day so late that most holders have not traded since.
+ACTIVE = active_sql("1995-03-06")
+LATE = active_sql(LATE_CUTOFF)
+
 ORACLE["holders"] = sql("SELECT * FROM holders", HOLDERS)
 ORACLE["holder_summary"] = sql("""
     SELECT count(DISTINCT to_address) AS holders, count(*) AS tokens,
            count(*)::DOUBLE / count(DISTINCT to_address) AS average_holding FROM holders""", HOLDERS)
 ORACLE["distinct_holders"] = sql(
     "SELECT count(*) AS holders FROM (SELECT DISTINCT to_address FROM holders)", HOLDERS)
-ORACLE["active_traders"] = sql("SELECT trader FROM active", ACTIVE)
+ORACLE["active_traders"] = sql("SELECT trader FROM active", LATE)
 ORACLE["active_holding"] = sql("""
     SELECT n AS active_traders, held AS held_tokens, held::DOUBLE / n AS average_holding
     FROM (SELECT (SELECT count(*) FROM active) AS n,
                  (SELECT count(*) FROM holders WHERE to_address IN (SELECT trader FROM active))
-                   AS held)""", HOLDERS, ACTIVE)
+                   AS held)""", HOLDERS, LATE)
 ORACLE["active_held_tokens"] = sql("""
-    SELECT * FROM holders WHERE to_address IN (SELECT trader FROM active)""", HOLDERS, ACTIVE)
+    SELECT * FROM holders WHERE to_address IN (SELECT trader FROM active)""", HOLDERS, LATE)
 ORACLE["idle_held_tokens"] = sql("""
     SELECT * FROM holders h WHERE NOT EXISTS (
-      SELECT 1 FROM active a WHERE a.trader = h.to_address)""", HOLDERS, ACTIVE)
+      SELECT 1 FROM active a WHERE a.trader = h.to_address)""", HOLDERS, LATE)
+
+ORACLE["summary_lines"] = sql(
+    "\nUNION ALL\n".join(f"""
+        SELECT printf('{scope}: traded %.2f ETH / %.2f USD in %d collections',
+                 coalesce({money(SUM_ETH)}, 0), coalesce({money(SUM_USD)}, 0),
+                 count(DISTINCT contract_address)) AS line FROM {e}
+        UNION ALL
+        SELECT printf('{scope}: %d transfers', count(*)) FROM {t}
+        UNION ALL
+        SELECT printf('{scope}: %d tokens traded', count(DISTINCT (contract_address, token_id)))
+        FROM {e}
+        UNION ALL
+        SELECT printf('{scope}: %d trades', count(*)) FROM {e}
+        UNION ALL
+        SELECT printf('{scope}: mean price %.4f ETH, %.2f ETH in total',
+                 coalesce({AVG_ETH}, 0), coalesce({money(SUM_ETH)}, 0)) FROM {e}"""
+        for scope, e, t in (("week", "e_week", "t_week"), ("all", "e", "transfers")))
+    + f"""
+    UNION ALL
+    SELECT printf('all: market cap %.2f ETH / %.2f USD', market_cap_eth, market_cap_usd)
+    FROM ({_CAP})
+    UNION ALL
+    SELECT printf('week: %d new collections', count(*)) FROM ({_NEW})
+    UNION ALL
+    SELECT printf('week: %d collections minted', count(*)) FROM contracts, w
+    WHERE init_block >= w.lo
+    UNION ALL
+    SELECT printf('all: %d holders with %.2f tokens each', count(DISTINCT to_address),
+             count(*)::DOUBLE / count(DISTINCT to_address)) FROM holders
+    UNION ALL
+    SELECT printf('all: %d active traders', count(*)) FROM active""",
+    _PRICES, """weights AS (
+    SELECT contract_address, count(*) AS n FROM transfers GROUP BY contract_address)""",
+    HOLDERS, ACTIVE)
 
 ORACLE["latest_blocks_inner"] = sql("""
     SELECT b.block_number, CAST(b.date AS VARCHAR) AS date, b.timestamp_of_block
@@ -264,7 +291,11 @@ ORACLE["page_at_offset"] = sql("""
     LIMIT 1000 OFFSET 2000""")
 ORACLE["chunked_enrich"] = sql("""
     SELECT transaction_hash, block_number, contract_address, token_id, seller, currency_address,
-           price_value, CAST(date AS VARCHAR) AS date, eth_usd_rate, price_usd FROM priced""")
+           price_value, CAST(date AS VARCHAR) AS date, eth_usd_rate, price_usd,
+           CAST(block_number >= 9496 AS INT) + CAST(block_number >= 9862 AS INT)
+           + CAST(block_number >= 10227 AS INT) + CAST(block_number >= 10592 AS INT)
+           + CAST(block_number >= 10957 AS INT) + CAST(block_number >= 11323 AS INT) AS page
+    FROM priced""")
 ORACLE["stream_enrich"] = sql("""
     SELECT currency_address, contract_address, price_value, block_number,
            CAST(date AS VARCHAR) AS date, eth_usd_rate, price_usd FROM priced""")
@@ -272,6 +303,10 @@ ORACLE["stream_enrich"] = sql("""
 ORACLE["table_row_counts"] = sql("\nUNION ALL\n".join(
     f"SELECT '{name}' AS table_name, count(*) AS rows FROM {name}"
     for name in ("contracts", "blocks", "rates", "trades", "transfers")))
+ORACLE["table_pages"] = "\nUNION ALL\n".join(
+    f"""SELECT '{name}' AS table_name, count(*) AS rows, CAST(1388 AS BIGINT) AS rows_per_page,
+        CAST(ceil(count(*) / 1388.0) AS BIGINT) AS pages FROM {name}"""
+    for name in ("lineitem", "orders", "part"))
 ORACLE["where_in_currency"] = """
     SELECT l_orderkey, l_partkey, l_extendedprice, l_returnflag FROM lineitem
     WHERE l_returnflag = 'A' OR l_returnflag = 'N'"""
@@ -293,34 +328,39 @@ ORACLE["trades_without_block"] = sql("""
       (SELECT block_number, count(*) AS trades FROM trades GROUP BY block_number) t
       ON b.block_number = t.block_number""")
 
+# The parts of page addresses and turns that ``checks.queries`` validates.
+_PAGES = """WITH parts AS (SELECT page_id, regexp_replace(url, '^https://', '') AS url,
+    nullif(regexp_extract(url, '[?]([^#]*)', 1), '') AS parameters,
+    regexp_extract(url, '/([^/]*)$', 1) AS number FROM pages)"""
 _URL = f"regexp_matches(url, '{URL_PATTERN}')"
+_NOT_URL = f"(url IS NOT NULL AND NOT {_URL})"
+_NOT_NUMBER = "(number IS NOT NULL AND TRY_CAST(number AS BIGINT) IS NULL)"
 ORACLE["validate_pages"] = f"""
-    WITH n AS (SELECT count(*) AS checked,
-        count(*) FILTER (WHERE url IS NULL) AS a,
-        count(*) FILTER (WHERE url IS NOT NULL AND NOT {_URL}) AS b,
-        count(*) FILTER (WHERE html IS NULL) AS c FROM pages)
-    SELECT checked, 'url_required' AS rule, a AS violations FROM n
-    UNION ALL SELECT checked, 'url_url', b FROM n
-    UNION ALL SELECT checked, 'html_required', c FROM n"""
+    {_PAGES}, n AS (SELECT count(*) AS checked,
+        count(*) FILTER (WHERE {_NOT_URL}) AS a,
+        count(*) FILTER (WHERE parameters IS NULL) AS b,
+        count(*) FILTER (WHERE {_NOT_NUMBER}) AS c FROM parts)
+    SELECT checked, 'url_url' AS rule, a AS violations FROM n
+    UNION ALL SELECT checked, 'parameters_required', b FROM n
+    UNION ALL SELECT checked, 'number_integer', c FROM n"""
 ORACLE["valid_pages"] = f"""
-    SELECT page_id, url FROM pages WHERE url IS NOT NULL AND {_URL} AND html IS NOT NULL"""
-_NOT_INTEGER = "(text IS NOT NULL AND TRY_CAST(text AS BIGINT) IS NULL)"
+    {_PAGES} SELECT page_id, url FROM parts
+    WHERE NOT {_NOT_URL} AND NOT {_NOT_NUMBER}"""
+_TURNS = """WITH parts AS (SELECT conv_id, turn, role,
+    nullif(regexp_extract(text, '\n([^\n]*)', 1), '') AS second_line FROM conversations)"""
 _NOT_ROLE = "(role IS NULL OR role NOT IN ('user', 'assistant'))"
 ORACLE["validate_conversations"] = f"""
-    WITH n AS (SELECT count(*) AS checked,
-        count(*) FILTER (WHERE text IS NULL) AS a,
-        count(*) FILTER (WHERE {_NOT_INTEGER}) AS b,
-        count(*) FILTER (WHERE {_NOT_ROLE}) AS c FROM conversations)
-    SELECT checked, 'text_required' AS rule, a AS violations FROM n
-    UNION ALL SELECT checked, 'text_integer', b FROM n
-    UNION ALL SELECT checked, 'role_choice', c FROM n"""
+    {_TURNS}, n AS (SELECT count(*) AS checked,
+        count(*) FILTER (WHERE second_line IS NULL) AS a,
+        count(*) FILTER (WHERE {_NOT_ROLE}) AS b FROM parts)
+    SELECT checked, 'second_line_required' AS rule, a AS violations FROM n
+    UNION ALL SELECT checked, 'role_choice', b FROM n"""
 ORACLE["invalid_turns"] = f"""
-    SELECT * FROM (
+    {_TURNS} SELECT * FROM (
       SELECT conv_id, turn, role, concat_ws(',',
-        CASE WHEN text IS NULL THEN 'text_required' END,
-        CASE WHEN {_NOT_INTEGER} THEN 'text_integer' END,
+        CASE WHEN second_line IS NULL THEN 'second_line_required' END,
         CASE WHEN {_NOT_ROLE} THEN 'role_choice' END) AS violations
-      FROM conversations)
+      FROM parts)
     WHERE violations <> ''"""
 
 ORACLE["scalar_dates"] = """
@@ -352,14 +392,16 @@ ORACLE["scalar_numbers"] = """
 _KEYS = {"c": "contract_address", "ct": "contract_address, token_id", "m": "market"}
 
 
-def _board(scope: str, metric: str, cte: str, value: str, rank_by: str, keys: str) -> str:
+def _board(
+    scope: str, metric: str, cte: str, value: str, rank_by: str, keys: str, limit: str = "rank <= 10"
+) -> str:
     contract = "CAST(contract_address AS VARCHAR)" if keys != "m" else "CAST(NULL AS VARCHAR)"
     token = "CAST(token_id AS VARCHAR)" if keys == "ct" else "CAST(NULL AS VARCHAR)"
     label = "market" if keys == "m" else "contract_name"
     return f"""SELECT '{scope}' AS scope, '{metric}' AS metric, rank, {contract} AS contract_address,
         {token} AS token_id, {label} AS label, CAST({value} AS DOUBLE) AS value
       FROM (SELECT *, row_number() OVER (ORDER BY {rank_by} DESC NULLS FIRST, {_KEYS[keys]}) AS rank
-            FROM {cte}) WHERE rank <= 10"""
+            FROM {cte}) WHERE {limit}"""
 
 
 def _figure(scope: str, metric: str, value: str, source: str) -> str:
@@ -380,7 +422,7 @@ def _weekly_report() -> str:
                 {money(SUM_USD)} AS usd, {AVG_ETH} AS mean, max(price_value) AS top,
                 min(price_value) AS low FROM {e} GROUP BY {keys})""")
         parts.append(_board(scope, "collection_volume_usd", f"c_{scope}", "usd4", "usd4", "c"))
-        parts.append(_board(scope, "market_volume_usd", f"m_{scope}", "usd", "usd", "m"))
+        parts.append(_board(scope, "market_volume_usd", f"m_{scope}", "usd", "usd", "m", "true"))
         parts.append(_board(scope, "collection_trades", f"c_{scope}", "n", "n", "c"))
         parts.append(_board(scope, "token_trades", f"ct_{scope}", "n", "n", "ct"))
         for level, keys in (("collection", "c"), ("token", "ct")):
@@ -405,7 +447,9 @@ def _weekly_report() -> str:
                 "all", f"{name}_{unit}",
                 money(f"sum(CAST({weight} * {unit}_avg AS DECIMAL(38,8)))"),
                 "weights JOIN prices USING (contract_address)"))
+    malformed = "trades WHERE currency_address IN ('A', 'N') AND NOT abs(price_value) <= 1e12"
     parts += [
+        _figure("all", "malformed_trades", "count(*)", malformed),
         _figure("week", "new_collections", "count(*)", f"({_NEW})"),
         _figure("week", "new_mints", "count(*)", "contracts, w WHERE init_block >= w.lo"),
         _figure("week", "new_mints_bounded", "count(*)",

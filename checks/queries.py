@@ -26,14 +26,16 @@ def query(function: Query) -> Query:
     return function
 
 
-def view(spark: SparkSession, sf_dir: str, parties: bool = False) -> MarketView:
+def view(
+    spark: SparkSession, sf_dir: str, parties: bool = False, cutoff: str | None = None
+) -> MarketView:
     snapshot = testdata.snapshot(spark, sf_dir, parties)
-    return MarketView(snapshot, testdata.WEEK_START, testdata.WEEK_DAYS)
+    return MarketView(snapshot, testdata.WEEK_START, testdata.WEEK_DAYS, cutoff)
 
 
-def register(name: str, report, parties: bool = False, **options) -> None:
+def register(name: str, report, parties: bool = False, cutoff: str | None = None, **options) -> None:
     """A report on the market view as a query."""
-    QUERIES[name] = lambda spark, sf_dir: report(view(spark, sf_dir, parties), **options)
+    QUERIES[name] = lambda spark, sf_dir: report(view(spark, sf_dir, parties, cutoff), **options)
 
 
 def iso(df: DataFrame) -> DataFrame:
@@ -87,8 +89,7 @@ register("volume_collections_ranked", leaderboards.collection_volume, scope=ALL,
 
 @query
 def price_extremes(spark, sf_dir):
-    market = view(spark, sf_dir)
-    return sets.concat(*[leaderboards.price_extremes(market, s) for s in (WEEK, ALL)])
+    return leaderboards.price_extremes(view(spark, sf_dir))
 
 
 def _as_text(df: DataFrame) -> DataFrame:
@@ -127,7 +128,7 @@ register("contributors", totals.contributors)
 register("transfer_totals", totals.transfer_totals)
 register("trade_totals", totals.trade_totals)
 register("market_mean", totals.market_mean)
-register("summary_lines", totals.summary_lines)
+register("summary_lines", totals.summary_lines, parties=True)
 
 
 # -- cohorts ---------------------------------------------------------------------------------
@@ -137,8 +138,9 @@ register("new_mints", cohorts.new_mints)
 register("new_mints_bounded", cohorts.new_mints, bounded=True)
 register("holders", MarketView.holders, parties=True)
 register("holder_summary", cohorts.holder_summary, parties=True)
-register("active_traders", cohorts.active_traders, parties=True)
-register("active_holding", cohorts.active_holding, parties=True)
+# A late cutoff, so that only some holders count as active.
+register("active_traders", cohorts.active_traders, parties=True, cutoff=testdata.LATE_CUTOFF)
+register("active_holding", cohorts.active_holding, parties=True, cutoff=testdata.LATE_CUTOFF)
 
 
 @query
@@ -154,14 +156,14 @@ def new_collections_by_sets(spark, sf_dir):
 @query
 def active_held_tokens(spark, sf_dir):
     """Tokens held by an active trader, as a semi-join."""
-    market = view(spark, sf_dir, parties=True)
+    market = view(spark, sf_dir, True, testdata.LATE_CUTOFF)
     return joins.members(market.holders(), "to_address", cohorts.active_traders(market))
 
 
 @query
 def idle_held_tokens(spark, sf_dir):
     """Tokens whose holder is not an active trader, as an anti-join."""
-    market = view(spark, sf_dir, parties=True)
+    market = view(spark, sf_dir, True, testdata.LATE_CUTOFF)
     return joins.non_members(market.holders(), "to_address", cohorts.active_traders(market))
 
 
@@ -209,13 +211,17 @@ def chunked_enrich(spark, sf_dir):
 
 @query
 def stream_enrich(spark, sf_dir):
+    """Trades arriving as several files, two of them a micro-batch."""
     snapshot = testdata.snapshot(spark, sf_dir)
-    # A glob, since the table may be one file or a folder of files.
-    lines = ingest.trade_stream(
-        spark, f"{sf_dir}/lineitem.parquet*", testdata.table(spark, sf_dir, "lineitem").schema
+    arrived = scratch_path(spark, "arrived")
+    lines = testdata.table(spark, sf_dir, "lineitem")
+    lines.select("l_returnflag", "l_partkey", "l_extendedprice", "l_shipdate").repartition(6).write.parquet(arrived)
+    stream = ingest.trade_stream(
+        spark, arrived, lines.select("l_returnflag", "l_partkey", "l_extendedprice", "l_shipdate").schema,
+        files_per_batch=2,
     )
     trades = tables.where_in(
-        lines.selectExpr(
+        stream.selectExpr(
             "l_returnflag AS currency_address",
             "l_partkey AS contract_address",
             "l_extendedprice AS price_value",
@@ -246,13 +252,25 @@ def table_row_counts(spark, sf_dir):
     ])
 
 
+STAT_TABLES = ("lineitem", "orders", "part")
+
+
 @query
 def table_stats(spark, sf_dir):
-    names = ("lineitem", "orders", "part")
     return sets.concat(*[
-        stats.table_stats(testdata.table(spark, sf_dir, name), 4 * 1024 * 1024)
+        stats.table_stats(spark, f"{sf_dir}/{name}.parquet", target_bytes=4 * 1024 * 1024)
+        .select(F.lit(name).alias("table_name"), "*")
+        for name in STAT_TABLES
+    ])
+
+
+@query
+def table_pages(spark, sf_dir):
+    """Rows of tables cut into pages."""
+    return sets.concat(*[
+        stats.table_pages(testdata.table(spark, sf_dir, name), 1388)
         .select(F.lit(name).alias("table_name"), "*")
-        for name in names
+        for name in STAT_TABLES
     ])
 
 
@@ -307,37 +325,54 @@ def trades_without_block(spark, sf_dir):
 
 # -- validation and scalar functions ----------------------------------------------------------------
 
-PAGE_RULES = [quality.required_text("url"), quality.url("url"), quality.required_text("html")]
+# Parts of page addresses and turns, such that each rule holds for some rows only.
+
+def _page_parts(spark, sf_dir) -> DataFrame:
+    return testdata.table(spark, sf_dir, "pages").selectExpr(
+        "page_id",
+        "regexp_replace(url, '^https://', '') AS url",
+        "nullif(regexp_extract(url, '[?]([^#]*)', 1), '') AS parameters",
+        "regexp_extract(url, '/([^/]*)$', 1) AS number",
+    )
+
+
+def _turn_parts(spark, sf_dir) -> DataFrame:
+    return testdata.table(spark, sf_dir, "conversations").selectExpr(
+        "conv_id", "turn", "role",
+        r"nullif(regexp_extract(text, '\\n([^\\n]*)', 1), '') AS second_line",
+    )
+
+
+PAGE_RULES = [quality.url("url"), quality.required_text("parameters"), quality.integer("number")]
 
 TURN_RULES = [
-    quality.required_text("text"),
-    quality.integer("text"),
+    quality.required_text("second_line"),
     quality.choice("role", ["user", "assistant"], required=True),
 ]
 
 
 @query
 def validate_pages(spark, sf_dir):
-    return quality.violation_counts(testdata.table(spark, sf_dir, "pages"), PAGE_RULES)
+    return quality.violation_counts(_page_parts(spark, sf_dir), PAGE_RULES)
 
 
 @query
 def valid_pages(spark, sf_dir):
-    return quality.valid_rows(testdata.table(spark, sf_dir, "pages"), PAGE_RULES).select(
-        "page_id", "url"
-    )
+    """Addresses that are one and end in a number."""
+    rules = [quality.url("url"), quality.integer("number")]
+    return quality.valid_rows(_page_parts(spark, sf_dir), rules).select("page_id", "url")
 
 
 @query
 def validate_conversations(spark, sf_dir):
-    return quality.violation_counts(testdata.table(spark, sf_dir, "conversations"), TURN_RULES)
+    return quality.violation_counts(_turn_parts(spark, sf_dir), TURN_RULES)
 
 
 @query
 def invalid_turns(spark, sf_dir):
-    return quality.invalid_rows(
-        testdata.table(spark, sf_dir, "conversations"), TURN_RULES
-    ).select("conv_id", "turn", "role", "violations")
+    return quality.invalid_rows(_turn_parts(spark, sf_dir), TURN_RULES).select(
+        "conv_id", "turn", "role", "violations"
+    )
 
 
 def _events(spark, sf_dir) -> DataFrame:

@@ -37,10 +37,12 @@ def main(argv: list[str] | None = None) -> None:
     cutoff = as_date(options.cutoff) if options.cutoff else None
     remote = any(source.format == "jdbc" for source in sources.values())
     market = MarketView(snapshot, options.start, options.days, cutoff, resolve=remote)
-    view = StoredView.store(market)
-    show(summary_lines(view))
-    write_report(weekly_report(view), options.output, options.format)
-    show(spark.read.format(options.format).load(options.output))
+    with StoredView.store(market) as view:
+        show(summary_lines(view))
+        write_report(weekly_report(view), options.output, options.format)
+    written = spark.read.format(options.format).load(options.output)
+    # The totals and the first places.
+    show(written.where("rank IS NULL OR rank = 1").orderBy("scope", "metric"))
 
 
 if __name__ == "__main__":

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,15 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.dates import as_date, date_span
 
 
+def _fitted(block: Column, kind: str) -> Column:
+    """A block number as ``kind``; beyond its range the nearest number that it has."""
+    digits = re.match(r"decimal\((\d+),0\)", kind)
+    most = {"int": 2**31 - 1}.get(kind, 10 ** int(digits[1]) - 1 if digits else 2**63 - 1)
+    if most < 2**63 - 1:
+        block = F.greatest(F.least(block, F.lit(most).cast("bigint")), F.lit(-most).cast("bigint"))
+    return block.cast(kind)
+
+
 class BlockWindow:
     """Blocks dated within ``days`` days from ``start``, both ends included.
 
@@ -33,13 +43,21 @@ class BlockWindow:
             F.col("date").between(first, last) & F.col("block_number").isNotNull()
         ).select("block_number")
 
+    def low(self, kind: str = "bigint") -> Column:
+        """The first block as ``kind``; cast within the subquery, so that it is pushed down."""
+        return self.blocks.agg(_fitted(F.min("block_number"), kind)).scalar()
+
+    def high(self, kind: str = "bigint") -> Column:
+        last = self.blocks.orderBy(F.desc("block_number")).limit(1)
+        return last.select(_fitted(F.col("block_number"), kind)).scalar()
+
     @property
     def lo(self) -> Column:
-        return self.blocks.agg(F.min("block_number")).scalar()
+        return self.low()
 
     @property
     def hi(self) -> Column:
-        return self.blocks.orderBy(F.desc("block_number")).limit(1).scalar()
+        return self.high()
 
     def frame(self) -> DataFrame:
         """The bounds as a one-row DataFrame."""
@@ -67,13 +85,11 @@ class FixedWindow(BlockWindow):
         self.__dict__.update(window.__dict__)
         self._lo, self._hi = window.frame().first()
 
-    @property
-    def lo(self) -> Column:
-        return F.lit(self._lo).cast("bigint")
+    def low(self, kind: str = "bigint") -> Column:
+        return _fitted(F.lit(self._lo).cast("bigint"), kind)
 
-    @property
-    def hi(self) -> Column:
-        return F.lit(self._hi).cast("bigint")
+    def high(self, kind: str = "bigint") -> Column:
+        return _fitted(F.lit(self._hi).cast("bigint"), kind)
 
 
 def block_at(blocks: DataFrame, day: str | datetime.date | Column, resolve: bool = False) -> Column:

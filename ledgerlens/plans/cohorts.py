@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.numeric import ratio
-from ledgerlens.operators.sets import distinct_values, union_values
 from ledgerlens.plans.views import MarketView
 
 
@@ -43,10 +42,8 @@ def holder_summary(view: MarketView) -> DataFrame:
 
 def active_traders(view: MarketView) -> DataFrame:
     """Sellers and buyers of the last sales after the cutoff."""
-    tokens = view.active_tokens()
-    return union_values(
-        distinct_values(tokens, "seller", "trader"), distinct_values(tokens, "buyer", "trader")
-    )
+    both = F.explode(F.array("seller", "buyer")).alias("trader")
+    return view.active_tokens().select(both).distinct()
 
 
 def active_holding(view: MarketView) -> DataFrame:

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.joins import broadcast_bounded
-from ledgerlens.operators.sets import concat
 from ledgerlens.plans.snapshot import Snapshot
 
 
@@ -21,19 +20,41 @@ def price_calendar(snapshot: Snapshot) -> DataFrame:
         snapshot.blocks.select("block_number", "date").join(rates, "date")
         .select("block_number", "date", F.col("eth_usd_rate").cast("double").alias("eth_usd_rate"))
     )
-    # One rate per day, so the calendar has no more rows than there are blocks.
-    return broadcast_bounded(calendar, snapshot.block_bound)
+    return broadcast_bounded(calendar, snapshot.calendar_bound)
 
 
-def eth_trades(snapshot: Snapshot) -> DataFrame:
-    """Trades paid in one of the accepted currencies."""
-    return snapshot.trades.where(F.col("currency_address").isin(*snapshot.currencies))
+# A price beyond this many ETH, more than there are, or no number at all is malformed.
+MOST_PRICE = 1e12
 
 
-def with_usd_price(trades: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Trades with date, rate and USD price; those without block or rate drop out."""
+def _well_formed() -> Column:
+    # NaN is larger than any number in comparisons.
+    return F.col("price_value").isNull() | (F.abs(F.col("price_value").cast("double")) <= MOST_PRICE)
+
+
+def eth_trades(snapshot: Snapshot, trades: DataFrame | None = None) -> DataFrame:
+    """Trades paid in one of the accepted currencies, but for malformed prices.
+
+    One such price would raise in the exact sums of its whole group; the rows left out
+    are those of :func:`malformed_trades`, and their number is part of the report.
+    """
+    rows = snapshot.trades if trades is None else trades
+    return rows.where(F.col("currency_address").isin(*snapshot.currencies) & _well_formed())
+
+
+def malformed_trades(snapshot: Snapshot) -> DataFrame:
+    """Trades in an accepted currency whose price is NaN, infinite or beyond ``MOST_PRICE``."""
+    paid = snapshot.trades.where(F.col("currency_address").isin(*snapshot.currencies))
+    return paid.where(~_well_formed())
+
+
+def with_usd_price(trades: DataFrame, calendar: DataFrame, how: str = "inner") -> DataFrame:
+    """Trades with date, rate and USD price; those without block or rate drop out.
+
+    With ``how="left"`` they stay, with nulls.
+    """
     return (
-        trades.join(calendar, "block_number")
+        trades.join(calendar, "block_number", how)
         .withColumn("price_value", F.col("price_value").cast("double"))
         .withColumn("price_usd", F.col("price_value") * F.col("eth_usd_rate"))
     )
@@ -66,7 +87,7 @@ def latest_trades(snapshot: Snapshot, k: int = 500) -> DataFrame:
 
     Every block of a trade holds at least one, so the ``k`` newest blocks hold the
     answer. They are found from counts; the second scan keeps only their trades.
-    No full trade row is shuffled and the broadcast has at most ``k`` rows.
+    No full trade row is shuffled; the blocks are broadcast if ``k`` rows may be.
     """
     trades = snapshot.trades
     used = trades.groupBy("block_number").agg(F.count(F.lit(1)).alias("n")).drop("n")
@@ -75,31 +96,31 @@ def latest_trades(snapshot: Snapshot, k: int = 500) -> DataFrame:
     newest = dated.orderBy(*order).limit(k).withColumnRenamed("block_number", "newest_block")
     rest = [name for name in trades.columns if name != "block_number"]
     return (
-        trades.join(F.broadcast(newest), F.col("block_number").eqNullSafe(F.col("newest_block")))
+        trades.join(broadcast_bounded(newest, k), F.col("block_number").eqNullSafe(F.col("newest_block")))
         .orderBy(*order, *rest).limit(k)
         .select(*trades.columns)
     )
 
 
-def trade_pages(snapshot: Snapshot, bounds: list[int]) -> list[DataFrame]:
-    """Priced trades cut into block ranges at ``bounds``: each a pruned, disjoint scan.
+def paged_trades(snapshot: Snapshot, bounds: list[int]) -> DataFrame:
+    """Priced trades with ``page``, the number of ``bounds`` up to their block.
 
-    The first and the last page are open-ended, so the pages together hold every
-    trade exactly once.
+    One scan for all pages. The first and the last page are open-ended, so the pages
+    together hold every trade exactly once.
     """
-    calendar = price_calendar(snapshot)
-    edges = [None, *sorted(set(bounds)), None]
-    pages = []
-    for lo, hi in zip(edges, edges[1:]):
-        trades = eth_trades(snapshot)
-        if lo is not None:
-            trades = trades.where(F.col("block_number") >= lo)
-        if hi is not None:
-            trades = trades.where(F.col("block_number") < hi)
-        pages.append(with_usd_price(trades, calendar))
-    return pages
+    page = sum((F.col("block_number") >= b).cast("int") for b in sorted(set(bounds)))
+    priced = with_usd_price(eth_trades(snapshot), price_calendar(snapshot))
+    return priced.withColumn("page", page if bounds else F.lit(0))
 
 
-def paged_trades(snapshot: Snapshot, bounds: list[int]) -> DataFrame:
-    """The pages put together again; equal to one unpaged scan."""
-    return concat(*trade_pages(snapshot, bounds))
+def trade_page(snapshot: Snapshot, lo: int | None, hi: int | None) -> DataFrame:
+    """One page by itself: priced trades of blocks from ``lo`` to before ``hi``.
+
+    The bounds reach the scan where the block number is a stored column.
+    """
+    trades = eth_trades(snapshot)
+    if lo is not None:
+        trades = trades.where(F.col("block_number") >= lo)
+    if hi is not None:
+        trades = trades.where(F.col("block_number") < hi)
+    return with_usd_price(trades, price_calendar(snapshot))

@@ -48,8 +48,11 @@ def token_trades(view: MarketView, scope: str = ALL, k: int | None = TOP) -> Dat
     return top_k(measured, "count", TOKEN, k)
 
 
-def _price_stats(view: MarketView, keys: list[str], scope: str) -> DataFrame:
-    return view.measures(keys, scope).select(
+def _price_stats(view: MarketView, keys: list[str], scope: str | None) -> DataFrame:
+    """Price statistics of one scope, or with None of both (then with their ``scope``)."""
+    measured = view.scoped(keys) if scope is None else view.measures(keys, scope)
+    return measured.select(
+        *["scope"] * (scope is None),
         *keys,
         "contract_name",
         mean(F.col("eth"), F.col("eth_prices")).alias("price_value_avg"),
@@ -69,14 +72,14 @@ def token_prices(view: MarketView, scope: str = ALL, k: int | None = TOP) -> Dat
     return top_k(_price_stats(view, TOKEN, scope), "price_value_avg", TOKEN, k)
 
 
-def price_extremes(view: MarketView, scope: str = ALL) -> DataFrame:
-    """Highest and lowest token by maximum price and by mean price, in one pass.
+def price_extremes(view: MarketView) -> DataFrame:
+    """Highest and lowest token of each scope by maximum and by mean price, in one pass.
 
     "Lowest maximum" looks at positive prices only. As in a descending sort with
     nulls first, a token without any price is the highest, and never the lowest
     while another has one.
     """
-    tokens = _price_stats(view, TOKEN, scope)
+    tokens = _price_stats(view, TOKEN, None)
     named = [*TOKEN, "contract_name"]
 
     def candidate(metric: str):
@@ -93,17 +96,14 @@ def price_extremes(view: MarketView, scope: str = ALL) -> DataFrame:
         "highest_avg": F.min_by(candidate(mean_price), place(mean_price)),
         "lowest_avg": F.max_by(candidate(mean_price), place(mean_price)),
     }
-    found = tokens.agg(*[pick.alias(name) for name, pick in picks.items()])
+    found = tokens.groupBy("scope").agg(*[pick.alias(name) for name, pick in picks.items()])
     rows = [
         F.struct(F.lit(name).alias("extreme"), *[F.col(name)[c].alias(c) for c in [*named, "price"]])
         for name in picks
     ]
-    # Without trades there is no row to pick.
-    return (
-        found.select(F.inline(F.array(*rows)))
-        .where(F.col("contract_address").isNotNull())
-        .select(F.lit(scope).alias("scope"), "*")
-    )
+    # Without such a token there is no row to pick.
+    return found.select("scope", F.inline(F.array(*rows))).where(
+        F.col("contract_address").isNotNull())
 
 
 def token_columns(view: MarketView, function: Callable[[str], Column], scope: str = ALL) -> DataFrame:

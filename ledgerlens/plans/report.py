@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ledgerlens.operators.sets import concat
 from ledgerlens.operators.topk import descending
 from ledgerlens.plans import cohorts, leaderboards, totals
+from ledgerlens.plans.enrich import malformed_trades
 from ledgerlens.plans.views import ALL, TOKEN, WEEK, MarketView, StoredView
+from ledgerlens.session import scratch_path
 from ledgerlens.sources.tables import row_count
 
 COLUMNS = ("scope", "metric", "rank", "contract_address", "token_id", "label", "value")
@@ -40,8 +42,8 @@ def _board(
     ), scope)
 
 
-def _extremes(view: MarketView, scope: str) -> DataFrame:
-    return leaderboards.price_extremes(view, scope).selectExpr(
+def _extremes(view: MarketView) -> DataFrame:
+    return leaderboards.price_extremes(view).selectExpr(
         "scope", "CAST(NULL AS BIGINT) AS rank", "CAST(contract_address AS STRING) AS contract_address",
         "CAST(token_id AS STRING) AS token_id", "contract_name AS label",
         "extreme AS metric", "price AS value",
@@ -56,13 +58,12 @@ def _leaderboards(view: MarketView, scope: str) -> list[DataFrame]:
     boards = leaderboards
     return [
         _board(boards.collection_volume(view, scope), scope, {"price_usd": "collection_volume_usd"}),
-        _board(boards.market_volume(view, scope, boards.TOP), scope,
+        _board(boards.market_volume(view, scope), scope,
                {"price_usd": "market_volume_usd"}, label="market"),
         _board(boards.collection_trades(view, scope), scope, {"count": "collection_trades"}),
         _board(boards.token_trades(view, scope), scope, {"count": "token_trades"}),
         _board(boards.collection_prices(view, scope), scope, _price_names("collection")),
         _board(boards.token_prices(view, scope), scope, _price_names("token")),
-        _extremes(view, scope),
     ]
 
 
@@ -80,6 +81,7 @@ def _totals(view: MarketView) -> list[DataFrame]:
         _figures(totals.transfer_totals(view)),
         _figures(totals.trade_totals(view)),
         _figures(totals.market_mean(view).drop("price_sum")),
+        _figures(row_count(malformed_trades(view.snapshot), "malformed_trades"), ALL),
     ]
 
 
@@ -100,10 +102,21 @@ def _cohorts(view: MarketView) -> list[DataFrame]:
 def weekly_report(view: MarketView) -> DataFrame:
     """All reports as rows of (scope, metric, rank, keys, label, value).
 
-    Nearly all figures come from stored rollups, see :class:`StoredView`; they are
-    written first unless the view already has them. The result has a few hundred rows.
+    Nearly all figures come from stored rollups, see :class:`StoredView`. For a plain
+    view they are written first and removed afterwards, also when the report fails;
+    what stays is the report itself, some hundred rows in the scratch folder.
     """
-    stored = view if isinstance(view, StoredView) else StoredView.store(view)
-    frames = [*_leaderboards(stored, WEEK), *_leaderboards(stored, ALL), *_totals(stored),
-              *_cohorts(stored)]
+    if isinstance(view, StoredView):
+        return _report(view)
+    with StoredView.store(view) as stored:
+        spark = view.snapshot.trades.sparkSession
+        path = scratch_path(spark, "report")
+        report = _report(stored)
+        report.coalesce(1).write.parquet(path)
+        return spark.read.schema(report.schema).parquet(path)
+
+
+def _report(view: StoredView) -> DataFrame:
+    frames = [*_leaderboards(view, WEEK), *_leaderboards(view, ALL), _extremes(view),
+              *_totals(view), *_cohorts(view)]
     return concat(*frames).select(*COLUMNS)

@@ -8,17 +8,19 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.numeric import exact_sum, mean, money
 from ledgerlens.functions.text import report_line
 from ledgerlens.operators.sets import concat
-from ledgerlens.plans.views import ALL, WEEK, MarketView
-
-SCOPES = (WEEK, ALL)
+from ledgerlens.plans import cohorts
+from ledgerlens.plans.views import SCOPES, MarketView
+from ledgerlens.sources.tables import row_count
 
 # Least number of decimals for sums over means.
 MEAN_SCALE = 8
 
 
-def _by_scope(report, view: MarketView) -> DataFrame:
-    """One row per scope."""
-    return concat(*[report(view, s).select(F.lit(s).alias("scope"), "*") for s in SCOPES])
+def _every_scope(view: MarketView, figures: DataFrame, counts: list[str]) -> DataFrame:
+    """``figures`` with a row for each scope; where there were no trades, counts are 0."""
+    scopes = view.snapshot.trades.sparkSession.createDataFrame([(s,) for s in SCOPES], "scope STRING")
+    filled = scopes.join(figures, "scope", "left")
+    return filled.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
 
 
 def market_cap(view: MarketView, weight: str = "transfers") -> DataFrame:
@@ -47,73 +49,66 @@ def market_cap(view: MarketView, weight: str = "transfers") -> DataFrame:
     )
 
 
-def _volume(view: MarketView, scope: str) -> DataFrame:
-    return view.measures(["contract_address"], scope).agg(
-        money(F.sum("eth")).alias("volume_eth"),
-        money(F.sum("usd")).alias("volume_usd"),
-        F.count(F.lit(1)).alias("collections"),
-    )
-
-
 def volume_totals(view: MarketView) -> DataFrame:
     """Volume in ETH and USD and the number of collections behind it."""
-    return _by_scope(_volume, view)
-
-
-def _contributors(view: MarketView, scope: str) -> DataFrame:
-    return view.traded_tokens(scope).agg(
+    figures = view.scoped(["contract_address"]).groupBy("scope").agg(
+        money(F.sum("eth")).alias("volume_eth"),
+        money(F.sum("usd")).alias("volume_usd"),
         F.count(F.lit(1)).alias("collections"),
-        F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"),
     )
+    return _every_scope(view, figures, ["collections"])
 
 
 def contributors(view: MarketView) -> DataFrame:
     """Traded collections and traded tokens."""
-    return _by_scope(_contributors, view)
-
-
-def _transfers(view: MarketView, scope: str) -> DataFrame:
-    return view.transfers_by([], scope)
+    figures = view.scoped_tokens().groupBy("scope").agg(
+        F.count(F.lit(1)).alias("collections"), F.sum("tokens").alias("tokens")
+    )
+    return _every_scope(view, figures, ["collections", "tokens"])
 
 
 def transfer_totals(view: MarketView) -> DataFrame:
     """Number of transfers."""
-    return _by_scope(_transfers, view)
-
-
-def _trades(view: MarketView, scope: str) -> DataFrame:
-    return view.measures([], scope).select("trades")
+    return view.scoped_transfers()
 
 
 def trade_totals(view: MarketView) -> DataFrame:
     """Number of enriched trades."""
-    return _by_scope(_trades, view)
+    return _every_scope(view, view.scoped([]).select("scope", "trades"), ["trades"])
 
 
-def _mean(view: MarketView, scope: str) -> DataFrame:
-    return view.measures([], scope).select(
-        mean(F.col("eth"), F.col("eth_prices")).alias("price_mean"),
+def market_mean(view: MarketView) -> DataFrame:
+    """Mean trade price and total ETH volume of the whole market."""
+    figures = view.scoped([]).select(
+        "scope", mean(F.col("eth"), F.col("eth_prices")).alias("price_mean"),
         money("eth").alias("price_sum"),
     )
+    return _every_scope(view, figures, [])
 
 
-def market_mean(view: MarketView) -> DataFrame:
-    """Mean trade price and total ETH volume of the whole market."""
-    return _by_scope(_mean, view)
+def _line(df: DataFrame, template: str, *columns: str) -> DataFrame:
+    """The rows of ``df`` as sentences; figures that are null read as 0."""
+    kinds = dict(df.dtypes)
+    shown = [F.col(c) if kinds[c] == "string" else F.coalesce(F.col(c), F.lit(0).cast(kinds[c]))
+             for c in columns]
+    return df.select(report_line(template, *shown).alias("line"))
 
 
 def summary_lines(view: MarketView) -> DataFrame:
     """The headline figures as sentences, one per line."""
-    volume = volume_totals(view).select(report_line(
-        "%s: traded %.2f ETH / %.2f USD in %d collections",
-        F.col("scope"), F.coalesce("volume_eth", F.lit(0.0)), F.coalesce("volume_usd", F.lit(0.0)),
-        F.col("collections"),
-    ).alias("line"))
-    cap = market_cap(view).select(report_line(
-        "all: market cap %.2f ETH / %.2f USD",
-        F.coalesce("market_cap_eth", F.lit(0.0)), F.coalesce("market_cap_usd", F.lit(0.0)),
-    ).alias("line"))
-    moved = transfer_totals(view).select(
-        report_line("%s: %d transfers", F.col("scope"), F.col("transfers")).alias("line")
+    return concat(
+        _line(volume_totals(view), "%s: traded %.2f ETH / %.2f USD in %d collections",
+              "scope", "volume_eth", "volume_usd", "collections"),
+        _line(market_cap(view), "all: market cap %.2f ETH / %.2f USD",
+              "market_cap_eth", "market_cap_usd"),
+        _line(transfer_totals(view), "%s: %d transfers", "scope", "transfers"),
+        _line(contributors(view), "%s: %d tokens traded", "scope", "tokens"),
+        _line(trade_totals(view), "%s: %d trades", "scope", "trades"),
+        _line(market_mean(view), "%s: mean price %.4f ETH, %.2f ETH in total",
+              "scope", "price_mean", "price_sum"),
+        _line(row_count(cohorts.new_collections(view), "n"), "week: %d new collections", "n"),
+        _line(row_count(cohorts.new_mints(view), "n"), "week: %d collections minted", "n"),
+        _line(cohorts.holder_summary(view), "all: %d holders with %.2f tokens each",
+              "holders", "average_holding"),
+        _line(row_count(cohorts.active_traders(view), "n"), "all: %d active traders", "n"),
     )
-    return concat(volume, cap, moved)

@@ -7,20 +7,34 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.aggregates import latest_per_key, merge_rollup, trade_rollup
 from ledgerlens.operators.windows import BlockWindow, block_at
 from ledgerlens.plans.enrich import eth_trades, price_calendar, with_usd_price
 from ledgerlens.plans.snapshot import Snapshot
-from ledgerlens.session import scratch_path
+from ledgerlens.session import remove_path, scratch_path
 
 WEEK = "week"
 ALL = "all"
+SCOPES = (WEEK, ALL)
 TOKEN = ["contract_address", "token_id"]
 
 
+def named(keys: Sequence[str]) -> list[str]:
+    """``keys``, with the collection's name where they include the collection."""
+    return [*keys, "contract_name"] if "contract_address" in keys else list(keys)
+
+
+def by_scope(flagged: DataFrame) -> DataFrame:
+    """Rows of all time, and those with ``in_week`` once more for the week."""
+    both = F.array(*[F.lit(s) for s in SCOPES])
+    return flagged.withColumn(
+        "scope", F.explode(F.when(F.col("in_week"), both).otherwise(F.array(F.lit(ALL))))
+    )
+
+
 class MarketView:
     """Measures computed straight from the tables, one scan per question.
 
@@ -50,17 +64,19 @@ class MarketView:
 
     def trades(self, scope: str = ALL) -> DataFrame:
         """Priced trades of a scope, collections not checked yet."""
-        trades = eth_trades(self.snapshot)
+        rows = self._rows("trades", scope)
+        return with_usd_price(eth_trades(self.snapshot, rows), price_calendar(self.snapshot))
+
+    def _rows(self, name: str, scope: str) -> DataFrame:
         if scope == WEEK:
-            trades = trades.where(self.window.holds())
-        return with_usd_price(trades, price_calendar(self.snapshot))
+            return self.snapshot.within(name, self.window.low, self.window.high)
+        return getattr(self.snapshot, name)
 
     def enriched(self, scope: str = ALL) -> DataFrame:
         return self.trades(scope).join(self.snapshot.contracts, "contract_address")
 
     def transfers(self, scope: str = ALL) -> DataFrame:
-        transfers = self.snapshot.transfers
-        return transfers.where(self.window.holds()) if scope == WEEK else transfers
+        return self._rows("transfers", scope)
 
     # -- measures ----------------------------------------------------------------
 
@@ -72,12 +88,31 @@ class MarketView:
         )
         return labelled if set(fine) == set(keys) else merge_rollup(labelled, keys)
 
-    def traded_tokens(self, scope: str = ALL) -> DataFrame:
-        """Number of traded tokens by known collection."""
-        tokens = self.trades(scope).select(*TOKEN).distinct()
-        counted = tokens.groupBy("contract_address").agg(F.count(F.lit(1)).alias("tokens"))
+    def in_week(self) -> Column:
+        return F.coalesce(self.window.holds(), F.lit(False))
+
+    def scoped(self, keys: Sequence[str]) -> DataFrame:
+        """Measures of both scopes (column ``scope``) from one pass over all trades."""
+        fine = list(dict.fromkeys([*keys, "contract_address"]))
+        trades = self.trades().withColumn("in_week", self.in_week())
+        labelled = trade_rollup(trades, [*fine, "in_week"], self.scale).join(
+            self.labels, "contract_address"
+        )
+        return merge_rollup(by_scope(labelled), ["scope", *named(keys)])
+
+    def scoped_tokens(self) -> DataFrame:
+        """Number of traded tokens by scope and known collection, from one pass."""
+        tokens = self.trades().groupBy(*TOKEN).agg(F.max(self.in_week()).alias("in_week"))
+        counted = by_scope(tokens).groupBy("scope", "contract_address").agg(
+            F.count(F.lit(1)).alias("tokens"))
         return counted.join(self.labels, "contract_address")
 
+    def scoped_transfers(self) -> DataFrame:
+        """Number of transfers of both scopes, from one pass."""
+        counts = self.transfers().agg(
+            F.count_if(self.in_week()).alias(WEEK), F.count(F.lit(1)).alias(ALL))
+        return counts.unpivot([], list(SCOPES), "scope", "transfers")
+
     def first_trades(self) -> DataFrame:
         """Block of the first trade of every collection traded up to the window's end."""
         trades = eth_trades(self.snapshot).where(F.col("block_number") <= self.window.hi)
@@ -121,65 +156,85 @@ class MarketView:
 class StoredView(MarketView):
     """The same answers from stored rollups, for reports that ask many questions.
 
-    ``store`` aggregates trades to tokens and to markets and transfers to tokens,
-    and writes the results under the shared scratch folder: lineage ends there,
-    and a lost executor costs no second scan. Collections are rolled up from tokens.
+    ``store`` reads all trades once and rolls them up by token and market, and transfers
+    by token; tokens, collections and markets of both scopes are rolled up from there.
+    All are written under the shared scratch folder: lineage ends there, and a lost
+    executor costs no second scan. As a context manager it removes them at the end.
     """
 
     def __init__(
-        self, view: MarketView, measured: dict[tuple, DataFrame], tokens: DataFrame
+        self, view: MarketView, measured: dict[str, DataFrame], tokens: DataFrame, paths: list[str]
     ) -> None:
         self.__dict__.update(view.__dict__)
         self._measured = measured
         self._tokens = tokens
+        self._paths = paths
 
     @classmethod
     def store(cls, view: MarketView) -> "StoredView":
         spark = view.snapshot.trades.sparkSession
+        paths: list[str] = []
 
         def stored(name: str, df: DataFrame) -> DataFrame:
             path = scratch_path(spark, name)
+            paths.append(path)
             df.write.parquet(path)
             return spark.read.schema(df.schema).parquet(path)
 
-        def tokens_and_collections(scope: str) -> dict[tuple, DataFrame]:
-            tokens = stored(f"tokens-{scope}", view.measures(TOKEN, scope))
-            collections = merge_rollup(tokens, ["contract_address", "contract_name"])
+        def trades() -> dict[str, DataFrame]:
+            keys = [*TOKEN, "market"]
+            flagged = view.trades().withColumn("in_week", view.in_week())
+            finest = stored("trades", trade_rollup(flagged, [*keys, "in_week"], view.scale).join(
+                view.labels, "contract_address"))
+            tokens = stored("tokens", merge_rollup(by_scope(finest), ["scope", *TOKEN, "contract_name"]))
             return {
-                (scope, "token_id"): tokens,
-                (scope, "contract_address"): stored(f"collections-{scope}", collections),
+                "token_id": tokens,
+                "contract_address": stored("collections", merge_rollup(
+                    tokens, ["scope", "contract_address", "contract_name"])),
+                "market": stored("markets", merge_rollup(by_scope(finest), ["scope", "market"])),
             }
 
-        def markets(scope: str) -> dict[tuple, DataFrame]:
-            return {(scope, "market"): stored(f"markets-{scope}", view.measures(["market"], scope))}
-
         def holdings() -> DataFrame:
             last = F.struct("block_number", "to_address", "from_address")
             return stored("holdings", view.transfers().groupBy(*TOKEN).agg(
                 F.count(F.lit(1)).alias("transfers"), F.max(last).alias("last")
             ))
 
-        # The writes do not depend on each other; run together they share the executors.
-        with ThreadPoolExecutor(max_workers=5) as pool:
-            def start(task, *arguments):
-                return pool.submit(inheritable_thread_target(spark)(task), *arguments)
-
-            held = start(holdings)
-            parts = [
-                start(task, scope) for scope in (ALL, WEEK)
-                for task in (tokens_and_collections, markets)
-            ]
-            measured = {key: df for part in parts for key, df in part.result().items()}
-            return cls(view, measured, held.result())
+        try:
+            # The two do not depend on each other; run together they share the executors.
+            with ThreadPoolExecutor(max_workers=2) as pool:
+                held = pool.submit(inheritable_thread_target(spark)(holdings))
+                measured = pool.submit(inheritable_thread_target(spark)(trades))
+                return cls(view, measured.result(), held.result(), paths)
+        except BaseException:
+            for path in paths:
+                remove_path(spark, path)
+            raise
+
+    def drop(self) -> None:
+        """Remove the stored rollups; frames computed from them cannot be read any more."""
+        spark = self._tokens.sparkSession
+        while self._paths:
+            remove_path(spark, self._paths.pop())
+
+    def __enter__(self) -> "StoredView":
+        return self
+
+    def __exit__(self, *failure) -> None:
+        self.drop()
+
+    def scoped(self, keys: Sequence[str]) -> DataFrame:
+        if not keys:
+            return merge_rollup(self._measured["market"], ["scope"])
+        return self._measured[keys[-1]]
 
     def measures(self, keys: Sequence[str], scope: str = ALL) -> DataFrame:
-        if not keys:
-            return merge_rollup(self._measured[scope, "market"], [])
-        return self._measured[scope, keys[-1]]
+        rows = self._measured[keys[-1] if keys else "market"].where(F.col("scope") == scope).drop("scope")
+        return rows if keys else merge_rollup(rows, [])
 
-    def traded_tokens(self, scope: str = ALL) -> DataFrame:
-        tokens = self.measures(TOKEN, scope)
-        return tokens.groupBy("contract_address").agg(F.count(F.lit(1)).alias("tokens"))
+    def scoped_tokens(self) -> DataFrame:
+        return self.scoped(TOKEN).groupBy("scope", "contract_address").agg(
+            F.count(F.lit(1)).alias("tokens"))
 
     def first_trades(self) -> DataFrame:
         return self.measures(["contract_address"])

@@ -47,3 +47,9 @@ def scratch_path(spark: SparkSession, label: str) -> str:
             _local_scratch[app_id] = tempfile.mkdtemp(prefix="ledgerlens-")
         base = _local_scratch[app_id]
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder, on whatever file system it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -1,8 +1,8 @@
-"""Table statistics from file metadata."""
+"""Table statistics from file listings and row counts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.numeric import page_count
@@ -10,19 +10,29 @@ from ledgerlens.functions.numeric import page_count
 TARGET_BYTES = 128 * 1024 * 1024
 
 
-def table_stats(df: DataFrame, target_bytes: int = TARGET_BYTES) -> DataFrame:
+def table_stats(
+    spark: SparkSession, path: str, format: str = "parquet", target_bytes: int = TARGET_BYTES
+) -> DataFrame:
     """Rows, files, bytes and a suggested partition count of a file-based table.
 
-    Reads no data columns. Files without rows are not counted.
+    Files and bytes come from the listing, so files without rows count; rows from one
+    count, which columnar formats answer from their footers.
     """
-    files = df.select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")
-    ).groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
-    totals = files.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-        F.count(F.lit(1)).alias("files"),
-        F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"),
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "[!._]*").load(path)
+    files = listed.select("length").agg(
+        F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+    rows = spark.read.format(format).load(path).agg(F.count(F.lit(1)).alias("rows"))
+    # Two rows of one line each, put side by side.
+    totals = rows.select("rows", F.lit(1).alias("one")).join(files.withColumn("one", F.lit(1)), "one")
+    return totals.select(
+        "rows", "files", "bytes",
+        page_count(F.col("bytes"), F.lit(target_bytes)).alias("suggested_partitions"),
     )
-    return totals.withColumn(
-        "suggested_partitions", page_count(F.col("bytes"), F.lit(target_bytes))
+
+
+def table_pages(df: DataFrame, rows_per_page: int) -> DataFrame:
+    """Rows, rows per page and the number of pages that hold them."""
+    return df.agg(F.count(F.lit(1)).alias("rows")).select(
+        "rows", F.lit(rows_per_page).cast("bigint").alias("rows_per_page"),
+        page_count(F.col("rows"), F.lit(rows_per_page)).alias("pages"),
     )

@@ -14,6 +14,7 @@ from ledgerlens.plans.snapshot import Snapshot
 # Fixed values of the fixtures.
 WEEK_START = "1995-03-06"
 WEEK_DAYS = 7
+LATE_CUTOFF = "1998-11-15"
 CURRENCIES = ("A", "N")
 FIRST_BLOCK = 9131  # the day 1995-01-01
 SCALE = 4
@@ -119,4 +120,5 @@ def snapshot(
         # Distinct dates, so both are bounded by the calendar.
         block_bound=CALENDAR_DAYS,
         rate_bound=CALENDAR_DAYS,
+        rates_per_day=1,
     )

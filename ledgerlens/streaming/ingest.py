@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -20,25 +21,46 @@ def trade_stream(
     return reader.load(path)
 
 
-def append_priced(
+def append_trades(
     trades: DataFrame, calendar: DataFrame, output: str, checkpoint: str
 ) -> StreamingQuery:
-    """Price the waiting trades and append them to ``output``, then stop.
+    """Append the waiting trades to ``output``, priced if the calendar can, then stop.
 
-    A stateless join with the static calendar. ``checkpoint`` records which files
-    are done, so a rerun continues and a failed batch is neither lost nor doubled.
+    A stateless left join with the static calendar. The folder ``priced=false`` holds
+    the trades whose block or rate is not there yet, so none is lost. ``checkpoint``
+    records which files are done: a rerun continues, and a failed batch is neither
+    lost nor doubled.
     """
+    joined = with_usd_price(trades, calendar, how="left")
     return (
-        with_usd_price(trades, calendar).writeStream
-        .format("parquet").outputMode("append")
+        joined.withColumn("priced", F.col("date").isNotNull()).writeStream
+        .format("parquet").outputMode("append").partitionBy("priced")
         .option("path", output).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def ingest(trades: DataFrame, calendar: DataFrame, output: str, checkpoint: str) -> DataFrame:
-    """Run :func:`append_priced` to its end and read the whole output."""
-    append_priced(trades, calendar, output, checkpoint).awaitTermination()
+def priced_output(trades: DataFrame, calendar: DataFrame, output: str) -> DataFrame:
+    """All priced trades in ``output``: those stored, and those that ``calendar`` prices by now."""
     schema = with_usd_price(trades, calendar).schema
-    return trades.sparkSession.read.schema(schema).parquet(output)
+    stored = trades.sparkSession.read.schema(schema.add("priced", "boolean")).parquet(output)
+    waiting = stored.where("NOT priced").select(*trades.columns)
+    return stored.where("priced").drop("priced").unionByName(with_usd_price(waiting, calendar))
+
+
+def pending(trades: DataFrame, calendar: DataFrame, output: str) -> DataFrame:
+    """Trades in ``output`` that still lack a block or a rate."""
+    schema = with_usd_price(trades, calendar).schema
+    stored = trades.sparkSession.read.schema(schema.add("priced", "boolean")).parquet(output)
+    waiting = stored.where("NOT priced").select(*trades.columns)
+    return waiting.join(calendar, "block_number", "left_anti")
+
+
+def ingest(trades: DataFrame, calendar: DataFrame, output: str, checkpoint: str) -> DataFrame:
+    """Run :func:`append_trades` to its end and read everything that has a price.
+
+    Trades appended earlier without a price are priced by the calendar as it is now.
+    """
+    append_trades(trades, calendar, output, checkpoint).awaitTermination()
+    return priced_output(trades, calendar, output)

@@ -8,13 +8,16 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from checks.queries import QUERIES
+from checks.compare import difference, oracle_connection
+from checks.queries import QUERIES, view
+from ledgerlens.operators import joins
 from ledgerlens.operators.joins import broadcast_bounded
 from ledgerlens.operators.windows import BlockWindow
-from ledgerlens.plans import enrich
+from ledgerlens.plans import enrich, leaderboards, report, totals
 from ledgerlens.plans.snapshot import Snapshot
-from ledgerlens.plans.views import MarketView
-from ledgerlens.schemas import CONTRACTS, CURRENCIES, TRANSFERS
+from ledgerlens.plans.views import MarketView, StoredView
+from ledgerlens.schemas import CURRENCIES, TRANSFERS
+from ledgerlens.sources.tables import conform
 
 SF = "/root/testdata/sf0.001"
 FIRST = datetime.date(2020, 1, 1)
@@ -105,9 +108,11 @@ def test_resolved_bounds_are_literals_in_the_scan(chain):
     assert fixed.trades("week").count() == lazy.trades("week").count() == 14_000
 
 
-def test_week_report_reads_few_columns_and_filters_early(chain):
+def test_week_report_reads_few_columns_and_filters_early(spark, chain):
     view = MarketView(chain, FIRST + datetime.timedelta(200))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     text = plan(view.measures(["contract_address"], "week").select("contract_address", "usd"))
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
     trade_scans = [s for s in re.findall(r"ReadSchema: (struct<[^>]*>)", text) if "price_value" in s]
     assert trade_scans
     for schema in trade_scans:
@@ -161,7 +166,96 @@ EXPENSIVE = re.compile(
 )
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"stream_enrich", "weekly_report"}))
+def test_calendar_bound_holds_with_several_rates_a_day(spark):
+    day = datetime.date(2021, 5, 1)
+    blocks = spark.createDataFrame([(i, 0, day) for i in range(10)],
+                                   "block_number BIGINT, timestamp_of_block BIGINT, date DATE")
+    rates = spark.createDataFrame([(day, float(i)) for i in range(5)], "date DATE, eth_usd_rate DOUBLE")
+    empty = spark.createDataFrame([], TRANSFERS)
+    bounded = Snapshot(rates, blocks, rates, empty, empty, block_bound=10, rate_bound=5, rates_per_day=5)
+    assert enrich.price_calendar(bounded).count() == bounded.calendar_bound == 50
+    unknown = Snapshot(rates, blocks, rates, empty, empty, block_bound=10, rate_bound=5)
+    assert unknown.calendar_bound is None
+
+
+@pytest.mark.parametrize("kind", ["int", "bigint", "decimal(20,0)", "string"])
+@pytest.mark.parametrize("resolve", [False, True])
+def test_window_reaches_scans_of_other_types(spark, chain, tmp_path, kind, resolve):
+    """Numbers of any type prune; text is compared as numbers, after the scan."""
+    path = str(tmp_path / "transfers")
+    spark.range(0, 90_000, 1, 1).selectExpr(
+        "'t' AS transaction_hash", "'c' AS contract_address", "'a' AS from_address",
+        "'b' AS to_address", "'1' AS token_id", f"CAST(id DIV 10 AS {kind}) AS block_number",
+    ).write.option("parquet.block.size", 20_000).parquet(path)
+    raw = spark.read.parquet(path)
+    shape = (TRANSFERS, ("value",), True)
+    stored = Snapshot(
+        chain.contracts, chain.blocks, chain.rates, chain.trades, conform(raw, *shape),
+        raw={"transfers": raw}, shapes={"transfers": shape},
+    )
+    view = MarketView(stored, FIRST + datetime.timedelta(20), resolve=resolve)
+    week = view.transfers("week").select("block_number")
+    assert sorted({r.block_number for r in week.collect()}) == list(range(2000, 2700))
+    read = max(scanned_rows(week))
+    assert read == 90_000 if kind == "string" else read < 45_000
+
+
+def test_pages_take_one_scan(spark, chain):
+    paged = enrich.paged_trades(chain, [5_000, 10_000, 20_000])
+    read = scanned_rows(paged.agg(F.count(F.lit(1)), F.count_if(F.col("page") == 1)))
+    assert sorted(read)[-1] == 800_000 and sum(n == 800_000 for n in read) == 1
+
+
+def test_both_scopes_take_one_scan(chain):
+    view = MarketView(chain, FIRST + datetime.timedelta(200))
+    for report in (leaderboards.price_extremes, totals.volume_totals, totals.contributors,
+                   totals.trade_totals, totals.market_mean):
+        assert sum(n == 800_000 for n in scanned_rows(report(view))) == 1, report
+
+
+def test_queries_agree_without_broadcast(spark):
+    """The shuffle plan, which large tables get, against SQL too."""
+    connection = oracle_connection(SF)
+    names = ["enrich_trades", "volume_collections_week", "market_cap", "price_extremes", "volume_totals",
+             "active_traders", "week_trades"]
+    settings = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    limit = joins.BROADCAST_ROWS
+    try:
+        joins.broadcast_bounded.__defaults__ = (-1,)
+        for setting in settings:
+            spark.conf.set(setting, "-1")
+        for name in names:
+            assert difference(spark, connection, name, SF) is None
+            text = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in text
+    finally:
+        joins.broadcast_bounded.__defaults__ = (limit,)
+        for setting in settings:
+            spark.conf.unset(setting)
+
+
+def test_checks_can_tell_right_from_wrong(spark):
+    """Filters keep some rows and drop some, so that a broken one would show."""
+    def count(name):
+        return QUERIES[name](spark, SF).count()
+
+    held, active, idle = count("holders"), count("active_held_tokens"), count("idle_held_tokens")
+    assert 0 < active < held and 0 < idle < held and active + idle == held
+    (figures,) = QUERIES["active_holding"](spark, SF).collect()
+    assert 0 < figures.held_tokens < held
+    assert 0 < count("valid_pages") < 50 and 0 < count("invalid_turns") < 87
+    for name in ("validate_pages", "validate_conversations"):
+        assert all(0 < r.violations < r.checked for r in QUERIES[name](spark, SF).collect())
+
+
+# weekly_report and stream_enrich write first; theirs is the plan of what they return.
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cross_join_no_python_in_any_plan(spark, name):
     text = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not EXPENSIVE.search(text), text
+
+
+def test_no_cross_join_in_the_report_from_rollups(spark):
+    with StoredView.store(view(spark, SF, parties=True)) as stored:
+        text = report._report(stored)._jdf.queryExecution().executedPlan().toString()
+    assert not EXPENSIVE.search(text), text

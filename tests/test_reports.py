@@ -10,6 +10,7 @@ from market import START, Market, average, total
 from ledgerlens.plans import cohorts, enrich, leaderboards, totals
 from ledgerlens.plans.report import weekly_report
 from ledgerlens.plans.views import MarketView, StoredView
+from ledgerlens.schemas import CURRENCIES
 
 SCOPES = ("week", "all")
 
@@ -124,7 +125,7 @@ def test_price_extremes(view, market, scope):
     positive = [t for t in ranked(1) if (t[1] or 0) > 0]
     picks = {"highest_max": (ranked(1)[0], 1), "lowest_max": (positive[-1], 1),
              "highest_avg": (ranked(2)[0], 2), "lowest_avg": (ranked(2)[-1], 2)}
-    got = rows(leaderboards.price_extremes(view, scope))
+    got = [r for r in rows(leaderboards.price_extremes(view)) if r[0] == scope]
     assert {r[1] for r in got} == set(picks)
     for row in got:
         token, i = picks[row[1]]
@@ -175,7 +176,16 @@ def test_summary_lines(view, market):
     assert f"all: {moved} transfers" in lines
     assert any(line.startswith("week: traded ") for line in lines)
     assert any(line.startswith("all: market cap ") for line in lines)
-    assert len(lines) == 5
+    trades, week = market.enriched(), market.enriched("week")
+    assert f"all: {len(trades)} trades" in lines and f"week: {len(week)} trades" in lines
+    assert f"week: {len({(t['contract'], t['token']) for t in week})} tokens traded" in lines
+    assert f"all: {len(market.active_traders(START))} active traders" in lines
+    assert f"week: {cohorts.new_collections(view).count()} new collections" in lines
+    assert f"week: {cohorts.new_mints(view).count()} collections minted" in lines
+    assert any(line.startswith("all: mean price ") for line in lines)
+    holders = len({to for to, _ in market.holders().values()})
+    assert any(line.startswith(f"all: {holders} holders with ") for line in lines)
+    assert len(lines) == 15
 
 
 def test_new_collections(view, market):
@@ -228,7 +238,7 @@ def test_row_order_and_partitioning_do_not_matter(spark, market):
 
 
 def test_broadcast_bound_does_not_change_results(spark, market):
-    hinted = market.snapshot(spark, block_bound=100, rate_bound=100)
+    hinted = market.snapshot(spark, block_bound=100, rate_bound=100, rates_per_day=1)
     plain = market.snapshot(spark)
     assert sorted(rows(enrich.enriched_trades(hinted)), key=repr) == sorted(
         rows(enrich.enriched_trades(plain)), key=repr
@@ -252,7 +262,7 @@ def test_empty_window(spark, market, resolve):
     assert rows(view.window.frame()) == [(None, None)]
     assert view.enriched("week").count() == 0
     assert rows(leaderboards.collection_volume(view, "week")) == []
-    assert rows(leaderboards.price_extremes(view, "week")) == []
+    assert [r for r in rows(leaderboards.price_extremes(view)) if r[0] == "week"] == []
     assert ("week", 0) in rows(totals.trade_totals(view))
     assert ("week", None, None, 0) in rows(totals.volume_totals(view))
     assert cohorts.new_collections(view).count() == 0
@@ -272,3 +282,43 @@ def test_default_window_is_the_days_up_to_today(spark):
     blocks = spark.createDataFrame(days, "block_number BIGINT, date DATE")
     from ledgerlens.operators.windows import BlockWindow
     assert rows(BlockWindow(blocks, days=8).frame()) == [(13, 20)]
+
+
+def test_report_lists_every_venue(spark, market):
+    many = Market(8)
+    many.trades = [(*t[:8], f"venue{i % 12}") for i, t in enumerate(many.trades)]
+    report = weekly_report(MarketView(many.snapshot(spark), START))
+    listed = report.where("scope = 'all' AND metric = 'market_volume_usd'").collect()
+    assert sorted(r.label for r in listed) == sorted({t["market"] for t in many.enriched()})
+    assert len(listed) == 12 and sorted(r.rank for r in listed) == list(range(1, 13))
+
+
+def test_malformed_prices_are_set_apart_and_counted(spark, market):
+    other = Market(1)
+    bad = [float("nan"), float("inf"), -float("inf"), 1e13]
+    template = next(t for t in other.trades if t[6] == CURRENCIES[0])
+    other.trades += [(*template[:7], price, template[8]) for price in bad]
+    view = MarketView(other.snapshot(spark), START)
+    same = MarketView(market.snapshot(spark), START)
+    assert enrich.malformed_trades(view.snapshot).count() == len(bad)
+    assert rows(totals.volume_totals(view)) == rows(totals.volume_totals(same))
+    counted = weekly_report(view).where("metric = 'malformed_trades'").collect()
+    assert [r.value for r in counted] == [len(bad)]
+
+
+def test_report_leaves_no_rollups(spark, market, tmp_path):
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        report = weekly_report(MarketView(market.snapshot(spark), START))
+        assert report.count() > 50
+        assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["report"]
+
+        class Broken(MarketView):
+            def transfers(self, scope="all"):
+                raise RuntimeError("no transfers")
+
+        with pytest.raises(RuntimeError):
+            weekly_report(Broken(market.snapshot(spark), START))
+        assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["report"]
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")

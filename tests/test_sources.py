@@ -64,11 +64,18 @@ def test_row_count_and_columns(spark, tmp_path):
 def test_table_stats(spark, tmp_path):
     path = tmp_path / "t"
     spark.range(0, 1000, 1, 5).write.parquet(str(path))
-    size = sum(f.stat().st_size for f in path.glob("*.parquet"))
-    got = stats.table_stats(spark.read.parquet(str(path)), target_bytes=1000).first()
-    assert tuple(got) == (1000, 5, size, -(-size // 1000))
-    assert "ReadSchema: struct<>" in stats.table_stats(
-        spark.read.parquet(str(path)))._jdf.queryExecution().toString()
+    spark.range(0).coalesce(1).write.mode("append").parquet(str(path))
+    files = [f.stat().st_size for f in path.glob("*.parquet")]
+    assert len(files) == 6  # the one without rows counts
+    got = stats.table_stats(spark, str(path), target_bytes=1000)
+    assert tuple(got.first()) == (1000, 6, sum(files), -(-sum(files) // 1000))
+    assert "ReadSchema: struct<>" in got._jdf.queryExecution().toString()
+    assert tuple(stats.table_stats(spark, str(next(path.glob("*.parquet")))).first())[1] == 1
+
+
+def test_table_pages(spark):
+    for n, pages in ((0, 0), (1, 1), (10, 1), (11, 2)):
+        assert tuple(stats.table_pages(spark.range(n), 10).first()) == (n, 10, pages)
 
 
 def test_sinks(spark, tmp_path, capsys):
@@ -124,6 +131,7 @@ def test_load_snapshot(spark, stored_market):
         spark, {name: Source("parquet", path=str(base / name)) for name in TABLES}
     )
     assert loaded.block_bound == len(market.blocks) and loaded.rate_bound == len(market.rates)
+    assert loaded.rates_per_day == 1 and loaded.calendar_bound == len(market.blocks)
     assert "id" not in enrich.enriched_trades(loaded).columns
     assert enrich.enriched_trades(loaded).count() == len(market.enriched())
 
