@@ -306,19 +306,18 @@ def test_malformed_prices_are_set_apart_and_counted(spark, market):
     assert [r.value for r in counted] == [len(bad)]
 
 
-def test_report_leaves_no_rollups(spark, market, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        report = weekly_report(MarketView(market.snapshot(spark), START))
-        assert report.count() > 50
-        assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["report"]
-
-        class Broken(MarketView):
-            def transfers(self, scope="all"):
-                raise RuntimeError("no transfers")
-
-        with pytest.raises(RuntimeError):
-            weekly_report(Broken(market.snapshot(spark), START))
-        assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["report"]
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def test_report_leaves_no_rollups(spark, market, tmp_path, monkeypatch):
+    for module in ("views", "report"):
+        monkeypatch.setattr(
+            f"ledgerlens.plans.{module}.scratch_path", lambda _, label: str(tmp_path / label))
+
+    class Broken(MarketView):
+        def transfers(self, scope="all"):
+            raise RuntimeError("no transfers")
+
+    with pytest.raises(RuntimeError):
+        weekly_report(Broken(market.snapshot(spark), START))
+    assert list(tmp_path.iterdir()) == []
+    report = weekly_report(MarketView(market.snapshot(spark), START))
+    assert report.count() > 50
+    assert [p.name for p in tmp_path.iterdir()] == ["report"]
