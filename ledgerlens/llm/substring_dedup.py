@@ -37,11 +37,11 @@ from ledgerlens.llm.common import cut, staged
 from ledgerlens.llm.suffix_array import repeated_windows
 
 WINDOW = 400
-GRAM = 32
+GRAM = 160
 CHUNK = 1 << 19
 BATCH_BYTES = 4 << 20
-SHARD_BYTES = 1 << 20
-HOT_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
+HOT_BYTES = 4 << 20
 #: Widths of the places in which a hot hash's windows are dealt again.
 WIDTHS = (24, 1)
 
@@ -258,9 +258,14 @@ def removed_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     texts = outlines(docs, id_col, text_col, window, gram)
     copies = staged(texts.where(F.col("n_bytes") >= window).groupBy("sha").agg(
         F.min("row").alias("row"), F.count(F.lit(1)).alias("copies")), "passage-texts")
-    single = texts.select("row", F.inline(F.arrays_zip("h", "at", "first", "last"))).join(
-        copies.select("row"), "row", "left_semi")
-    single = staged(single, "passage-hashes")
+    # One row stands for equal texts. The list of the others is short where copies are few.
+    spare = texts.select("row", "sha").join(
+        copies.where("copies > 1").select("sha", F.col("row").alias("kept")), "sha"
+    ).where(F.col("row") != F.col("kept")).select("row")
+    single = texts.select("row", "h", "at", "first", "last").join(
+        staged(spare, "passage-copies"), "row", "left_anti")
+    single = staged(single.select("row", F.inline(F.arrays_zip("h", "at", "first", "last"))),
+                    "passage-hashes")
     shared = staged(single.groupBy("h").count().where("count > 1").select("h"), "passage-shared")
     live = single.join(shared, "h", "left_semi")
     parts = staged(_cut_out(live, texts, window), "passage-segments")
