@@ -58,46 +58,59 @@ def _block_ends(n: int, block: int) -> np.ndarray:
     return np.minimum(np.arange(0, n, block) + block, n)
 
 
+def _choices(ids: np.ndarray, block: int) -> np.ndarray:
+    """The densest selector that fits from each id on, within its block."""
+    n = len(ids)
+    # Bits of each id; a float may round up to one more, which then takes a wider selector.
+    bits = np.frexp(ids.astype(np.float64))[1].astype(np.uint8)
+    need = np.zeros((-(-n // block), block), np.uint8)
+    need.ravel()[:n] = bits
+    choice = np.full(need.shape, ESCAPE, np.uint8)
+    widest, held = need.copy(), 1  # the widest of ``held`` ids from each place on
+    for selector in range(len(LAYOUT) - 1, 0, -1):
+        count, width = LAYOUT[selector]
+        while held < min(count, block):
+            step = min(count - held, held, block - held)
+            np.maximum(widest[:, :-step], widest[:, step:].copy(), out=widest[:, :-step])
+            held += step
+        choice[widest <= width] = selector
+    return choice.ravel()[:n]
+
+
 def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     """The words and the word offset of each block (and the end)."""
     ids = np.ascontiguousarray(ids, np.uint64)
     n = len(ids)
     if not n:
         return np.empty(0, np.uint64), np.zeros(1, np.uint64)
-    ends = _block_ends(n, block)
-    last = np.repeat(ends, np.diff(np.concatenate([[0], ends])))
-    at = np.arange(n)
-    choice = np.full(n, ESCAPE, np.uint8)
-    for selector in range(len(LAYOUT) - 1, 0, -1):  # the densest that fits wins
-        count, bits = LAYOUT[selector]
-        wide = np.where(ids >> np.uint64(bits) != 0, at, n)
-        next_wide = np.minimum.accumulate(wide[::-1])[::-1]
-        choice[next_wide >= np.minimum(at + count, last)] = selector
+    choice = _choices(ids, block)
     counts = np.array([c for c, _ in LAYOUT], np.int64)
-    begins, steps = np.arange(0, n, block), []
+    firsts = np.arange(0, n, block)
+    begins, ends, is_start = firsts, _block_ends(n, block), np.zeros(n, bool)
     while len(begins):  # one word of every unfinished block
-        steps.append(begins)
+        is_start[begins] = True
         begins = begins + counts[choice[begins]]
-        begins = begins[begins < last[steps[-1]]]
-    # A word's start lies in its block, so sorting puts blocks and words in order.
-    starts = np.sort(np.concatenate(steps))
+        inside = begins < ends
+        begins, ends = begins[inside], ends[inside]
+    starts = np.flatnonzero(is_start)
     used = choice[starts]
     width = 1 + (used == ESCAPE)
     slot = np.cumsum(width) - width
     words = np.zeros(int(width.sum()), np.uint64)
+    limit = np.minimum((starts // block + 1) * block, n)
     for selector in np.unique(used):
         count, bits = LAYOUT[selector]
-        mine = used == selector
-        where, first = slot[mine], starts[mine]
+        mine = np.flatnonzero(used == selector)
+        where, first, end = slot[mine], starts[mine], limit[mine]
         if selector == ESCAPE:
             words[where + 1] = ids[first]
             continue
         word = np.full(len(first), np.uint64(selector) << np.uint64(60))
         for i in range(count if bits else 0):
-            inside = first + i < last[first]
-            word[inside] |= ids[first[inside] + i] << np.uint64(i * bits)
+            part = ids[np.minimum(first + i, n - 1)] << np.uint64(i * bits)
+            word |= np.where(first + i < end, part, np.uint64(0))
         words[where] = word
-    offsets = np.append(slot[np.searchsorted(starts, np.arange(0, n, block))], len(words))
+    offsets = np.append(slot[np.searchsorted(starts, firsts)], len(words))
     return words, offsets.astype(np.uint64)
 
 

@@ -15,7 +15,7 @@ TEXTS = [
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_ids_are_those_of_the_tokenizer(name, documents, monkeypatch):
-    monkeypatch.setattr(encoding, "MOST_WORDS", 900)  # the store is emptied on the way
+    monkeypatch.setattr(encoding, "MOST_PARTS", 900)  # the store is emptied on the way
     words, plain = encoding.WordEncoder(vocabulary(name)), Tokenizer.from_file(vocabulary(name))
     texts = TEXTS + [r.text for r in documents.select("text").collect()]
     for first in range(0, len(texts), 30):
