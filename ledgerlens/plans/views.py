@@ -195,9 +195,9 @@ class StoredView(MarketView):
             }
 
         def holdings() -> DataFrame:
-            last = F.struct("block_number", "to_address", "from_address")
-            return stored("holdings", view.transfers().groupBy(*TOKEN).agg(
-                F.count(F.lit(1)).alias("transfers"), F.max(last).alias("last")
+            return stored("holdings", latest_per_key(
+                view.transfers(), TOKEN, order=["block_number"],
+                values=["to_address", "from_address"], transfers=F.count(F.lit(1)),
             ))
 
         try:
@@ -250,4 +250,4 @@ class StoredView(MarketView):
         return self._tokens.groupBy("contract_address").agg(F.count(F.lit(1)).alias("tokens"))
 
     def holders(self) -> DataFrame:
-        return self._tokens.select(*TOKEN, "last.to_address", "last.from_address")
+        return self._tokens.select(*TOKEN, "to_address", "from_address")
