@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -192,13 +193,12 @@ def scored(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text"
     """All columns of ``docs`` and the score."""
 
     @F.pandas_udf("double")
-    def of(texts):
+    def of(texts: pd.Series) -> pd.Series:
         out = []
         for first in range(0, len(texts), 512):
             part = texts.iloc[first:first + 512]
             x = np.array([statistics((t or "").encode()) for t in part], float)
             out.append(score(model, x.reshape(len(part), len(FEATURES))))
-        import pandas as pd
         return pd.Series(np.concatenate(out) if out else np.empty(0))
 
     return docs.withColumn(score_col, of(F.col(text_col).cast("string")))
