@@ -36,10 +36,13 @@ def _outline(text: Column) -> list[Column]:
 
 def doubtful_keys(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The (n_bytes, prefix) that more than one row has; written, so its size is known."""
-    outline = staged(docs.select(*_outline(text_or_empty(text_col))), "dedup-outline")
-    lengths = outline.groupBy("n_bytes").count().where("count > 1").select("n_bytes")
-    shared = outline.join(lengths, "n_bytes", "left_semi")
-    keys = shared.groupBy("n_bytes", "prefix").count().where("count > 1")
+    # Counted before they are compared, so a hot length or text is one row a task.
+    pairs = staged(
+        docs.select(*_outline(text_or_empty(text_col))).groupBy("n_bytes", "prefix").count(),
+        "dedup-outline",
+    )
+    lengths = pairs.groupBy("n_bytes").agg(F.sum("count").alias("n")).where("n > 1").select("n_bytes")
+    keys = pairs.join(lengths, "n_bytes", "left_semi").where("count > 1")
     return staged(keys.select("n_bytes", "prefix"), "dedup-keys")
 
 
