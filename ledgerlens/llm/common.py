@@ -23,14 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """``df`` written to the shared scratch folder and read back.
 
     Cuts the lineage: a lost executor costs the tasks it ran, not the steps before,
     and what was random or dear is computed once.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(nullable(df.schema)).parquet(path)
 
 

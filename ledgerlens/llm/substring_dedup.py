@@ -97,8 +97,8 @@ def segments(data: np.ndarray, window: int = WINDOW, gram: int = GRAM
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def _digest(data: bytes) -> bytes:
-    return hashlib.blake2b(data, digest_size=16).digest()
+def _digest(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
 def outlines(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int) -> DataFrame:
@@ -109,41 +109,44 @@ def outlines(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int
 
     def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in cut(batches, "text", BATCH_BYTES):
-            found = [segments(np.frombuffer(t.as_buffer(), np.uint8), window, gram)
-                     for t in batch.column("text")]
-            lists = [pa.array([f[k] for f in found], pa.list_(pa.int64())) for k in range(4)]
+            found: list[list] = [[], [], [], [], []]
+            for text in batch.column("text"):
+                data = text.as_buffer()
+                h, at, first, last = segments(np.frombuffer(data, np.uint8), window, gram)
+                whole = memoryview(data)
+                digests = [_digest(whole[a:b + window]) for a, b in zip(first.tolist(), last.tolist())]
+                for values, own in zip(found, (h, digests, at - first, first, last - first)):
+                    values.append(own)
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+            lists = [pa.array(values, pa.list_(kind)) for values, kind in zip(found, kinds)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text"), *lists],
-                ["doc_id", "text", "h", "at", "first", "last"])
+                ["doc_id", "text", *SEGMENT])
 
-    shape = (f"doc_id {id_type}, text STRING, h ARRAY<BIGINT>, at ARRAY<BIGINT>, "
-             "first ARRAY<BIGINT>, last ARRAY<BIGINT>")
+    shape = (f"doc_id {id_type}, text STRING, key ARRAY<BIGINT>, digest ARRAY<BIGINT>, at ARRAY<INT>, "
+             "first ARRAY<INT>, hi ARRAY<INT>")
     return staged(rows.mapInArrow(outline, shape).withColumns({
         "n_bytes": F.octet_length("text").cast("bigint"), "sha": F.sha2("text", 256),
         "row": F.monotonically_increasing_id(),
-    }), "passages")
+    }), "passages", "zstd")
 
 
-def _cut_out(live: DataFrame, texts: DataFrame, window: int) -> DataFrame:
-    """The live segments with their bytes: key, digest, row, first, at, content."""
+def _cut_out(wanted: DataFrame, texts: DataFrame, window: int) -> DataFrame:
+    """The wanted segments (row, first, hi, key, digest, at) with their bytes."""
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in cut(batches, "text", BATCH_BYTES):
-            for row, text, wanted in zip(batch.column("row").to_pylist(), batch.column("text"),
-                                         batch.column("wanted").to_pylist()):
+            for text, parts in zip(batch.column("text"), batch.column("wanted").to_pylist()):
                 data = text.as_buffer().to_pybytes()
-                parts = [data[w["first"]:w["last"] + window] for w in wanted]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([w["h"] for w in wanted], pa.int64()),
-                    pa.array([_digest(p) for p in parts], pa.binary()),
-                    pa.array([row] * len(parts), pa.int64()),
-                    pa.array([w["first"] for w in wanted], pa.int64()),
-                    pa.array([w["at"] - w["first"] for w in wanted], pa.int64()),
-                    pa.array(parts, pa.binary())], ["key", "digest", "row", "first", "at", "content"])
+                    *(pa.array([p[c] for p in parts], pa.int64()) for c in ("key", "digest", "at")),
+                    pa.array([data[p["first"]:p["first"] + p["hi"] + window] for p in parts], pa.binary())],
+                    ["key", "digest", "at", "content"])
 
-    wanted = live.groupBy("row").agg(F.collect_list(F.struct("h", "at", "first", "last")).alias("wanted"))
-    return texts.select("row", "text").join(wanted, "row").mapInArrow(
-        cut_out, "key BIGINT, digest BINARY, row BIGINT, first BIGINT, at BIGINT, content BINARY")
+    listed = wanted.groupBy("row").agg(F.collect_list(
+        F.struct("key", "digest", "at", "first", "hi")).alias("wanted"))
+    return texts.select("row", "text").join(listed, "row").mapInArrow(
+        cut_out, "key BIGINT, digest BIGINT, at BIGINT, content BINARY")
 
 
 def _merged(parts: DataFrame) -> DataFrame:
@@ -162,7 +165,10 @@ def _runs(at: np.ndarray) -> list[dict]:
     return [{"lo": int(a), "hi": int(b)} for a, b in zip(first, last)]
 
 
-_FOUND = "key BIGINT, digest BINARY, runs ARRAY<STRUCT<lo: BIGINT, hi: BIGINT>>"
+_FOUND = "key BIGINT, digest BIGINT, runs ARRAY<STRUCT<lo: BIGINT, hi: BIGINT>>"
+#: Arrays of a text's segments: the smallest hash and a digest of all bytes, the place of the
+#: hash in the segment, the first window, and how many windows follow it.
+SEGMENT = ("key", "digest", "at", "first", "hi")
 
 
 def _search_shards(contents: DataFrame, window: int) -> DataFrame:
@@ -199,18 +205,18 @@ def _narrower(hot: DataFrame, window: int, width: int) -> DataFrame:
                     low, high = place * width, (place + 1) * width
                     core = content[max(0, at - low):at - high + 1 + window]
                     lo, hi = max(0, at - high + 1), min(last, at - low)
-                    new = int.from_bytes(_digest(b"%d,%d," % (key, place) + core)[:8], "little", signed=True)
+                    new = _digest(b"%d,%d," % (key, place) + core)
                     part = content[lo:hi + window]
                     rows.append((key, digest, lo, new, _digest(part), at - lo, part))
             names = ["of", "whole", "base", "key", "digest", "at", "content"]
-            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
+            kinds = [*[pa.int64()] * 6, pa.binary()]
             for i in range(0, len(rows), 20_000):
                 columns = zip(*rows[i:i + 20_000])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
     return hot.select("key", "digest", "at", "content").mapInArrow(
-        narrow, "of BIGINT, whole BINARY, base BIGINT, key BIGINT, digest BINARY, at BIGINT, content BINARY")
+        narrow, "of BIGINT, whole BIGINT, base BIGINT, key BIGINT, digest BIGINT, at BIGINT, content BINARY")
 
 
 def repeated_runs(contents: DataFrame, window: int, widths: tuple[int, ...] = WIDTHS,
@@ -262,15 +268,21 @@ def removed_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spare = texts.select("row", "sha").join(
         copies.where("copies > 1").select("sha", F.col("row").alias("kept")), "sha"
     ).where(F.col("row") != F.col("kept")).select("row")
-    single = texts.select("row", "h", "at", "first", "last").join(
-        staged(spare, "passage-copies"), "row", "left_anti")
-    single = staged(single.select("row", F.inline(F.arrays_zip("h", "at", "first", "last"))),
-                    "passage-hashes")
-    shared = staged(single.groupBy("h").count().where("count > 1").select("h"), "passage-shared")
-    live = single.join(shared, "h", "left_semi")
-    parts = staged(_cut_out(live, texts, window), "passage-segments")
-    found = repeated_runs(_merged(parts), window, hot_bytes=hot_bytes)
-    ranges = parts.select("key", "digest", "row", "first").join(found, ["key", "digest"]).select(
+    single = texts.select("row", *SEGMENT).join(
+        staged(spare, "passage-copies"), "row", "left_anti"
+    ).select("row", F.inline(F.arrays_zip(*SEGMENT)))
+    shared = staged(single.groupBy("key").count().where("count > 1").select("key"), "passage-shared")
+    live = staged(single.join(shared, "key", "left_semi"), "passage-live")
+    merged = staged(live.groupBy("key", "digest").agg(
+        F.count(F.lit(1)).alias("m"), F.min(F.struct("row", "first", "at", "hi")).alias("one"),
+    ).select("key", "digest", "m", "one.*"), "passage-merged")
+    # Only keys with different segments need their bytes, and each segment once.
+    varied = merged.groupBy("key").count().where("count > 1").select("key")
+    contents = staged(_cut_out(merged.join(varied, "key", "left_semi"), texts, window), "passage-bytes")
+    every = F.array(F.struct(F.lit(0).cast("bigint").alias("lo"), F.col("hi").cast("bigint").alias("hi")))
+    found = merged.where("m > 1").select("key", "digest", every.alias("runs")).unionByName(
+        repeated_runs(contents.withColumn("m", F.lit(1)), window, hot_bytes=hot_bytes))
+    ranges = live.join(found, ["key", "digest"]).select(
         "row", F.inline(F.transform("runs", lambda r: F.struct(
             (r.lo + F.col("first")).alias("lo"), (r.hi + F.col("first")).alias("hi")))))
     hit = staged(ranges.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")),
