@@ -8,10 +8,14 @@ windows than the threshold; every vector beyond the threshold is verified by its
 true inner product. No bucket or candidate is cut off.
 
 Largest inner products become nearest points by one more coordinate: a vector gets
-sqrt(M^2 - |v|^2), M the largest norm, and a query, scaled to norm M, gets 0.
-
-The table is dealt at random into blocks of about ``BLOCK`` vectors, each with its own
-sorted arrays, built by the task that searches them. The stated queries, in batches of
+sqrt(M^2 - |v|^2), M the largest norm, and a query, scaled to norm M, gets 0. A few long
+vectors must not make all others look alike, so a block is cut into ranges of norm, each
+with the M of its own and with sorted arrays of its own. Ranges are searched by falling
+norm; one whose |q| M is below the query's k-th score holds no better vector and is left
+out, which loses nothing. A range of at most ``LEAST`` times k vectors is verified whole.
+
+The table is dealt at random into blocks of about ``BLOCK`` vectors, with ranges and
+arrays built by the task that searches them. The stated queries, in batches of
 about ``QUERY_BATCH``, meet all blocks; a block returns its best k a query, and the best
 of these are taken by a grouped merge. A task holds one block and one batch.
 
@@ -24,6 +28,8 @@ Several query rows with one id give one answer, that of the vector first in orde
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -39,7 +45,9 @@ QUERY_BATCH = 8192
 TOGETHER = 256
 #: Share of the windows a vector must collide in.
 THRESHOLD = 0.56
-#: Windows grow until this share of a block's vectors, and ``LEAST`` times k, are verified.
+#: A range of norms ends below this share of its largest.
+NORM_RANGE = 0.85
+#: Windows grow until this share of a range's vectors, and ``LEAST`` times k, are verified.
 VERIFIED = 0.45
 LEAST = 16
 FIRST_WINDOW = 0.6
@@ -60,34 +68,37 @@ def directions(width: int, hashes: int = HASHES, seed: int = 5) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((width + 1, hashes))
 
 
+def norms(vectors: np.ndarray) -> np.ndarray:
+    """Lengths of vectors that are not zero, without squares out of range."""
+    most = np.abs(vectors).max(1)
+    return most * np.sqrt(((vectors / most[:, None])**2).sum(1))
+
+
 class SortedProjections:
-    """The sorted arrays of a block, and the search in them."""
+    """The sorted arrays of a range of norms, and the search in them."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, norm: float, hashes: int = HASHES):
-        self.ids, self.vectors, self.norm = ids, vectors, norm
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, lengths: np.ndarray, hashes: int = HASHES):
+        self.ids, self.vectors, self.norm = ids, vectors, lengths.max()
         self.directions = directions(vectors.shape[1], hashes)
-        lift = np.sqrt(np.maximum(norm**2 - (vectors**2).sum(1), 0))
-        values = np.column_stack([vectors, lift]) @ self.directions
+        lift = np.sqrt(np.maximum(1 - (lengths / self.norm)**2, 0))
+        values = np.column_stack([vectors / self.norm, lift]) @ self.directions
         self.order = np.ascontiguousarray(values.argsort(0).T)
         self.values = np.take_along_axis(values.T, self.order, 1)
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int,
-               threshold: float = THRESHOLD, verified: float = VERIFIED) -> pd.DataFrame:
-        """The best ``k`` found for each query."""
-        frames = [self._search(query_ids[i:i + TOGETHER], queries[i:i + TOGETHER], k, threshold, verified)
-                  for i in range(0, len(query_ids), TOGETHER)]
-        return pd.concat(frames, ignore_index=True)
-
-    def _search(self, query_ids, queries, k, threshold, verified) -> pd.DataFrame:
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, threshold: float,
+               verified: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Position of each query, and the ids and scores of the best ``k`` found for it."""
         n, hashes = self.order.shape[::-1]
+        if n <= LEAST * k:
+            for q in range(len(queries)):
+                yield q, *self._verified(query_ids[q], queries[q], np.arange(n), k)
+            return
         need = int(np.ceil(threshold * hashes))
         wanted = min(n, max(LEAST * k, int(verified * n)))
-        lengths = np.sqrt((queries**2).sum(1))
-        projected = (queries * (self.norm / lengths)[:, None]) @ self.directions[:-1]
+        projected = (queries / norms(queries)[:, None]) @ self.directions[:-1]
         counts = np.zeros((len(queries), n), np.int16)
         low = high = np.zeros((len(queries), hashes), np.int64)
-        half, fresh, active = FIRST_WINDOW * self.norm, True, np.arange(len(queries))
-        frames = []
+        half, fresh, active = FIRST_WINDOW, True, np.arange(len(queries))
         while len(active):  # all windows grow together
             at = projected[active]
             new_low = np.column_stack([v.searchsorted(x) for v, x in zip(self.values, (at - half).T)])
@@ -103,21 +114,60 @@ class SortedProjections:
                 found = np.flatnonzero(counts[q] >= need)
                 whole = not new_low[i].any() and (new_high[i] == n).all()
                 if len(found) >= wanted or whole:
-                    frames.append(self._verified(query_ids[q], queries[q], found, k))
+                    yield q, *self._verified(query_ids[q], queries[q], found, k)
                 else:
                     still.append(i)
             low, high, active, fresh = new_low[still], new_high[still], active[still], False
             half *= GROWTH
-        return pd.concat(frames, ignore_index=True)
 
-    def _verified(self, own: int, query: np.ndarray, found: np.ndarray, k: int) -> pd.DataFrame:
+    def _verified(self, own: int, query: np.ndarray, found: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         found = found[self.ids[found] != own]
         scores = self.vectors[found] @ query
-        if len(found) > k:  # all that reach the k-th score, so that ties are seen
-            near = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
-            found, scores = found[near], scores[near]
-        best = np.lexsort((self.ids[found], -scores))[:k]
-        return pd.DataFrame({"query_id": own, "vec_id": self.ids[found[best]], "score": scores[best]})
+        return best(self.ids[found], scores, k)
+
+
+def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` largest scores and their ids, ties by the smaller id."""
+    if len(ids) > k:  # all that reach the k-th score, so that ties are seen
+        near = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+        ids, scores = ids[near], scores[near]
+    first = np.lexsort((ids, -scores))[:k]
+    return ids[first], scores[first]
+
+
+class NormRanges:
+    """A block cut into ranges of norm, the largest first."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, hashes: int = HASHES):
+        lengths = norms(vectors)
+        falling = np.argsort(-lengths, kind="stable")
+        sizes, first, self.ranges = lengths[falling], 0, []
+        while first < len(sizes):
+            last = int(np.searchsorted(-sizes, -NORM_RANGE * sizes[first], "right"))
+            at = falling[first:last]
+            self.ranges.append(SortedProjections(ids[at], vectors[at], lengths[at], hashes))
+            first = last
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int,
+               threshold: float = THRESHOLD, verified: float = VERIFIED) -> pd.DataFrame:
+        """The best ``k`` found for each query."""
+        lengths = norms(queries)
+        kept = [(np.empty(0, np.int64), np.empty(0))] * len(queries)
+        reached = np.full(len(queries), -np.inf)
+        for part in self.ranges:
+            # The last digits of a score may lie beyond the bound.
+            hopeful = np.flatnonzero(lengths * part.norm * (1 + 1e-9) >= reached)
+            for i in range(0, len(hopeful), TOGETHER):
+                asked = hopeful[i:i + TOGETHER]
+                for at, ids, scores in part.search(query_ids[asked], queries[asked], k, threshold, verified):
+                    q = asked[at]
+                    kept[q] = best(np.concatenate([kept[q][0], ids]), np.concatenate([kept[q][1], scores]), k)
+                    if len(kept[q][1]) == k:
+                        reached[q] = kept[q][1][-1]
+        return pd.DataFrame({
+            "query_id": np.repeat(query_ids, [len(ids) for ids, _ in kept]),
+            "vec_id": np.concatenate([ids for ids, _ in kept]),
+            "score": np.concatenate([scores for _, scores in kept])})
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, id_col: str = "vec_id",
@@ -126,9 +176,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, id_col: st
     rows = staged(usable(vectors, id_col, vec_col).where("vec_id IS NOT NULL"), "ann-vectors")
     asked = usable(queries, id_col, vec_col).where("vec_id IS NOT NULL")
     asked = staged(asked.groupBy("vec_id").agg(F.min("v").alias("v")), "ann-queries")
-    size, norm = rows.agg(F.count(F.lit(1)), F.max(F.sqrt(F.aggregate(
-        "v", F.lit(0.0), lambda a, x: a + x * x)))).first()
-    blocks = max(1, -(-size // block))
+    blocks = max(1, -(-rows.count() // block))
     batches = max(1, -(-asked.count() // QUERY_BATCH))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)))
     # Every batch of queries meets every block: the stated query set against all rows.
@@ -142,7 +190,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, id_col: st
     def find(held: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         if not len(held) or not len(wanted):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        index = SortedProjections(held["vec_id"].to_numpy(), np.stack(held["v"]), norm)
+        index = NormRanges(held["vec_id"].to_numpy(), np.stack(held["v"]))
         return index.search(wanted["vec_id"].to_numpy(), np.stack(wanted["v"]), k)
 
     found = dealt.groupBy("block", "batch").cogroup(

@@ -63,3 +63,27 @@ def test_empty_tables(spark):
     assert ann.nearest(frame, frame).collect() == []
     some = vectors(spark, [(1, [1.0, 1.0])])
     assert ann.nearest(some, frame).collect() == [] and ann.nearest(some, some).collect() == []
+
+
+def test_recall_with_uneven_norms(spark):
+    rng = np.random.default_rng(6)
+    even = rng.standard_normal((4000, 64))
+    even /= np.linalg.norm(even, axis=1)[:, None]
+    one_long = even.copy()
+    one_long[17] *= 1000
+    for v in (even * np.exp(rng.standard_normal(4000))[:, None], one_long):
+        rows = [(i, x.tolist()) for i, x in enumerate(v)]
+        frame = vectors(spark, rows)
+        found = ann.nearest(frame, frame.where("vec_id % 100 = 0"), 20).collect()
+        want = brute(rows, range(0, 4000, 100), 20)
+        hits = sum(len({r.vec_id for r in found if r.query_id == q} & {i for _, i in best})
+                   for q, best in want.items())
+        assert hits / (20 * len(want)) >= 0.9
+
+
+def test_norms_out_of_range_of_squares(spark):
+    rows = [(i, [s * (1 + i % 7), s * (i % 5)]) for i, s in enumerate([1e-170] * 400 + [1e150] * 400)]
+    frame = spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<DOUBLE>")
+    got = ann.nearest(frame, frame.where("vec_id = 7"), 20).orderBy("rank").collect()
+    want = sorted((-np.dot(v, rows[7][1]), i) for i, v in rows if i != 7)[:20]
+    assert [r.vec_id for r in got] == [i for _, i in want]
