@@ -156,9 +156,11 @@ class WordEncoder:
 
 
 @functools.lru_cache(maxsize=4)
-def encoder(path: str) -> WordEncoder:
-    """One encoder for each vocabulary and worker process."""
-    return WordEncoder(path)
+def encoder(path: str, specials_as_text: bool = False) -> WordEncoder:
+    """One encoder for each vocabulary, treatment of special-token strings and worker process."""
+    words = WordEncoder(path)
+    words.tokenizer.encode_special_tokens = specials_as_text
+    return words
 
 
 def with_ends(flat: np.ndarray, lengths: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:

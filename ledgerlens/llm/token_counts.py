@@ -51,8 +51,7 @@ def write_flat(docs: DataFrame, path: str, tokenizer: str, separator: int = SEPA
         store, base = filesystem(path)
         out, name, held, ordinal = None, "", 0, 0
         for batch in cut(batches, "text", BATCH_BYTES):
-            words = encoder(tokenizer)
-            words.tokenizer.encode_special_tokens = True
+            words = encoder(tokenizer, specials_as_text=True)
             flat, lengths = with_ends(*words.encode(texts_of(batch)), separator)
             if out is None:
                 store.create_dir(base, recursive=True)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from ledgerlens.llm import encoding
+from ledgerlens.llm import encoding, packing, token_counts
 from ledgerlens.llm.queries import vocabulary
 
 TEXTS = [
@@ -29,3 +29,16 @@ def test_ids_are_those_of_the_tokenizer(name, documents, monkeypatch):
 def test_ends():
     flat, lengths = encoding.with_ends(np.array([5, 6, 7], np.uint32), np.array([0, 2, 1, 0]), 9)
     assert flat.tolist() == [9, 5, 6, 9, 7, 9, 9] and lengths.tolist() == [1, 3, 2, 1]
+
+
+def test_special_tokens_do_not_depend_on_the_query_before(spark, tmp_path):
+    path = vocabulary("byte_bpe_50k.json")
+    texts = [f"a <|endoftext|> {i}" for i in range(64)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING").repartition(16)
+    plain = Tokenizer.from_file(path)
+    want = {i: len(plain.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+    for _ in range(2):
+        token_counts.write_flat(docs, str(tmp_path), path).count()
+        assert {r.doc_id: r.doc_tokens for r in packing.pieces(docs, path).collect()} == want
+    as_text = encoding.encoder(path, specials_as_text=True).encode(texts)[1]
+    assert (as_text + 1 > [want[i] for i in range(64)]).all()
