@@ -4,15 +4,16 @@ Method: a size-weighted sample of keys gives quantile splitters, many ranges a
 shard. The ranges are measured on all rows. An overfull range is divided: a key that
 alone fills a range gets a range of its own, the others get splitters from a sample
 within the range. A key larger than a whole shard is dealt over several pieces by
-row. Pieces are then given to shards, largest first, each to the lightest shard.
+row. Pieces are then given to shards, largest first, each to the lightest shard. A
+piece of many small rows stays in its shard, but is ranked in several subpieces.
 
 The key of the query is the hash of the text, so equal texts share a piece and a
 shard unless they outweigh one. Keys are compared as signed 64-bit numbers.
 
 Scale: rows are carried without their texts. The driver sees the sample
 (``SAMPLE`` rows), and one row for each range; both bounds are parameters, neither
-grows with a hot key. A slot is a rank within a piece, and pieces grow in number
-with the table.
+grows with a hot key. A slot is a rank within a subpiece of about ``ROWS_PER_RANGE``
+rows at most, and these grow in number with the table.
 
 Defined cases: a null text has size 1 (no bytes, plus one) and the checksum of the
 empty text. Null ids sort first. Repeated rows are placed each on its own. No rows
@@ -96,6 +97,16 @@ def splitters_of(rows: DataFrame, total: int, ranges: int, sample: int) -> tuple
     return splitters, alone
 
 
+def subdivided(placed: DataFrame, rows_of: dict[tuple[int, int], int]) -> DataFrame:
+    """``placed`` with ``sub``: pieces (range, part) of many rows are dealt by row."""
+    wide = [(*piece, -(-n // ROWS_PER_RANGE)) for piece, n in rows_of.items() if n > ROWS_PER_RANGE]
+    if not wide:
+        return placed.withColumn("sub", F.lit(0).cast("bigint"))
+    subs = placed.sparkSession.createDataFrame(wide, "range INT, part BIGINT, subs BIGINT")
+    sub = F.pmod(F.xxhash64(F.lit(13), "doc_id", "row"), F.coalesce("subs", F.lit(1)))
+    return placed.join(F.broadcast(subs), ["range", "part"], "left").withColumn("sub", sub).drop("subs")
+
+
 def shard(
     docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text",
     sample: int = SAMPLE,
@@ -127,18 +138,25 @@ def shard(
 
     pieces = placed.groupBy("range", "part").agg(
         F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()
+    rows_of = {(p.range, p.part): p.n for p in pieces}
+    placed = subdivided(placed, rows_of)
+    inside = {piece: {0: n} for piece, n in rows_of.items() if n <= ROWS_PER_RANGE}
+    if len(inside) < len(rows_of):
+        for r in placed.groupBy("range", "part", "sub").count().collect():
+            inside.setdefault((r.range, r.part), {})[r.sub] = r["count"]
     load, filled, table = [(0, s) for s in range(shards)], [0] * shards, []
     for p in sorted(pieces, key=lambda p: (-p.bytes, p.range, p.part)):
         held, s = heapq.heappop(load)
         heapq.heappush(load, (held + p.bytes, s))
-        table.append((p.range, p.part, s, filled[s]))
-        filled[s] += p.n
-    # One row for each range and for each part of a key above a shard's share.
+        for sub, n in sorted(inside[p.range, p.part].items()):
+            table.append((p.range, p.part, sub, s, filled[s]))
+            filled[s] += n
+    # One row for each range, part of a key above a shard's share and subpiece.
     deal = docs.sparkSession.createDataFrame(
-        table, "range INT, part BIGINT, shard INT, base BIGINT")
-    order = Window.partitionBy("range", "part").orderBy("key", F.col("doc_id").asc_nulls_first(), "row")
+        table, "range INT, part BIGINT, sub BIGINT, shard INT, base BIGINT")
+    order = Window.partitionBy("range", "part", "sub").orderBy("key", F.col("doc_id").asc_nulls_first(), "row")
     ranked = placed.withColumn("rank", F.row_number().over(order) - 1)
-    return ranked.join(F.broadcast(deal), ["range", "part"]).select(
+    return ranked.join(F.broadcast(deal), ["range", "part", "sub"]).select(
         "doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("rank")).alias("slot"))
 
 

@@ -53,3 +53,23 @@ def test_files_hold_every_row_once(documents, tmp_path):
 
 def test_empty_table(nothing):
     assert sharding.shard(nothing, 4).collect() == []
+
+
+def test_many_small_copies_are_ranked_in_bounded_subpieces(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ROWS_PER_RANGE", 100)
+    seen = []
+
+    def kept(placed, rows_of, f=sharding.subdivided):
+        seen.append(f(placed, rows_of))
+        return seen[-1]
+
+    monkeypatch.setattr(sharding, "subdivided", kept)
+    docs = [(i, None if i % 3 == 0 else f"text {i} " * 20) for i in range(3000)]
+    rows = sharding.shard(spark.createDataFrame(docs, "doc_id BIGINT, text STRING"), 4).collect()
+    sizes = [r["count"] for r in seen[0].groupBy("range", "part", "sub").count().collect()]
+    assert max(sizes) < 200 and sum(sizes) == 3000
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+    assert len(rows) == 3000 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert len({r.shard for r in rows if r.size == 1}) == 1
