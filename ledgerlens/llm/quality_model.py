@@ -166,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
           label_col: str = "quality", max_rows: int = 20_000, **options) -> dict[str, np.ndarray]:
     """Trees fitted on labelled documents that are not held out, at most ``max_rows``."""
     known = labels.where(F.col(label_col).isin(0, 1)).select(
-        F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
+        F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).distinct()
     # The earliest ids by hash: the same sample in every run. About two samples pass the
     # first filter, so that one task never sorts all labels.
     known = known.where(F.col("id").isNotNull() & ~held_out(F.col("id")))
@@ -181,8 +181,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 [batch.column("id").cast(pa.string()), batch.column("y"),
                  pa.array(list(x), pa.list_(pa.float64()))], ["id", "y", "x"])
 
+    # Of repeated rows of a document one counts, so the driver gets a row for each label.
     sample = texts.join(chosen, "id").select("id", "y", "text").mapInArrow(
-        numbers, "id STRING, y INT, x ARRAY<DOUBLE>").toPandas()
+        numbers, "id STRING, y INT, x ARRAY<DOUBLE>").groupBy("id", "y").agg(F.min("x").alias("x")).toPandas()
     sample = sample.sort_values(["id", "y"], kind="stable")
     x = np.array(sample["x"].tolist(), float).reshape(len(sample), len(FEATURES))
     return fit(x, sample["y"].to_numpy(float), **options)

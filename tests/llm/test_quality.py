@@ -74,3 +74,12 @@ def test_training_does_not_depend_on_partitions(documents, spark):
 def test_empty_table(nothing, spark):
     model = qm.train(nothing, spark.createDataFrame([], "doc_id BIGINT, quality INT"))
     assert qm.scored(nothing, model, score_col="new").collect() == []
+
+
+def test_repeated_documents_count_once(documents, spark):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").where("quality IN (0, 1)")
+    often = labels.where(~qm.held_out(F.col("doc_id"))).orderBy("doc_id").limit(1)
+    copies = documents.join(often.select("doc_id"), "doc_id").crossJoin(spark.range(300)).select(documents.columns)
+    once = qm.train(documents, labels)
+    again = qm.train(documents.unionByName(copies), labels.unionByName(often).unionByName(often))
+    assert all(np.array_equal(once[k], again[k]) for k in once)
