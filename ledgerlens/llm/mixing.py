@@ -15,7 +15,8 @@ reruns agree whatever the partitioning.
 
 Defined cases: a null text has size 0; size 0 takes nothing. A null source is a source
 of its own, ranked last. Rows with the same id, source and size are counted first and
-then told apart by an ordinal, so repeated rows get a decision each. No rows give no
+then told apart by an ordinal, so repeated rows get a decision each. Above ``REPEATS``
+of them the ordinals are made and matched in ranges, each by a task. No rows give no
 rows. Columns other than id, source and text are not read by ``mix``.
 """
 
@@ -30,6 +31,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_COPIES = 2
 FANIN = 64
+#: Rows with the same id, source and size that one task counts out or numbers.
+REPEATS = 100_000
 
 # Two documents meet: the one carried on (a) and the next (x).
 _FOLD = """
@@ -102,20 +105,28 @@ def source_targets(
 
     The shares that exceed ``most`` times their source go back to the others by
     weight. Each round is one aggregate of two numbers over the table of sources; a
-    round can only add capped sources, so the rounds end. Ranking sorts the sources
-    in one task: a row for each source, never the documents.
+    round can only add capped sources, so the rounds end. Ranking sorts ranges of
+    sources by themselves; one task only sees their counts.
     """
-    ranks = Window.orderBy(F.col("source").asc_nulls_last())
-    totals = staged(
+    order = F.col("source").asc_nulls_last()
+    ranges = staged(
         sizes.groupBy("source").agg(
             F.sum(F.col("size") * F.col("m")).alias("source_size"),
             F.sum("m").alias("documents"),
-        ).withColumn("weight", F.element_at(
-            F.array(*[F.lit(float(w)) for w in weights]),
-            ((F.row_number().over(ranks) - 1) % len(weights) + 1).cast("int"),
-        )),
+        ).repartitionByRange(order).withColumn("part", F.spark_partition_id()),
         "mix-sources",
     )
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select(
+        "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
+    totals = staged(
+        ranges.withColumn("inside", inside).join(F.broadcast(offsets), "part").withColumn("weight", F.element_at(
+            F.array(*[F.lit(float(w)) for w in weights]),
+            ((F.col("first") + F.col("inside")) % len(weights) + 1).cast("int"),
+        )).select("source", "source_size", "documents", "weight"),
+        "mix-ranked",
+    )
     cap = F.col("source_size") * F.lit(float(most))
     row = totals.agg(F.sum("source_size"), F.sum("weight")).first()
     wanted = (row[0] or 0) * share
@@ -132,24 +143,48 @@ def source_targets(
     )
 
 
-def mix(
-    docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
-    weights=WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, seed: int = 7,
-) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, size, k, source_size, target, copies, taken."""
+def _counted(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
+    """doc_id, source, size and the number m of rows that share them."""
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("bigint").alias("size"),
     )
-    counted = staged(
+    return staged(
         rows.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("m")), "mix-sizes"
     )
+
+
+def _told_apart(counted: DataFrame) -> DataFrame:
+    """Each row of ``counted`` m times, with k from 1 to m."""
+    one = F.lit(1).cast("bigint")
+    few = counted.where(F.col("m") <= REPEATS).withColumn("k", F.explode(F.sequence(one, "m")))
+    many = counted.where(F.col("m") > REPEATS)
+    ranges = many.agg(F.sum(F.ceil(F.col("m") / REPEATS))).first()[0]
+    if not ranges:
+        return few
+    step = F.lit(REPEATS).cast("bigint")
+    many = many.withColumn("first", F.explode(F.sequence(one, "m", step))).repartition(
+        min(int(ranges), 10_000), "doc_id", "source", "size", "first")
+    last = F.least(F.col("m"), F.col("first") + step - 1)
+    return few.unionByName(many.withColumn("k", F.explode(F.sequence("first", last))).drop("first"))
+
+
+def mix(
+    docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+    weights=WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, seed: int = 7,
+) -> DataFrame:
+    """One row per row of ``docs``: doc_id, source, size, k, source_size, target, copies, taken."""
+    return _mix(_counted(docs, id_col, source_col, text_col), weights, share, most, seed)
+
+
+def _mix(counted: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST_COPIES,
+         seed: int = 7) -> DataFrame:
     id_type = counted.schema["doc_id"].dataType.simpleString()
     targets = staged(source_targets(counted, weights, share, most), "mix-targets")
-    wanted = counted.join(
+    wanted = _told_apart(counted).join(
         targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))
-    ).select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), "m")).alias("k"))
+    )
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     wanted = staged(wanted.select(
         "source", "source_size", "target", "documents",
@@ -191,19 +226,54 @@ def mix(
     return result.withColumn("taken", F.col("copies") * F.col("size"))
 
 
+def _numbered_in_ranges(rows: DataFrame, keys: list[str], text_col: str, to: str) -> DataFrame:
+    """``rows`` numbered from 1 within ``keys``, by hash of the text.
+
+    Ranges of the order, cut by row where texts are equal, number their own rows and
+    add the counts of the ranges before.
+    """
+    h, row, part, n, first = (fresh(rows, c) for c in ("__h", "__row", "__part", "__n", "__first"))
+    rows = staged(rows.withColumn(h, F.xxhash64(text_or_empty(text_col))).withColumn(
+        row, F.monotonically_increasing_id()), "mix-repeated")
+    ranges = max(2, 2 * -(-rows.count() // REPEATS))
+    dealt = staged(rows.repartitionByRange(min(ranges, 10_000), *keys, h, row).withColumn(
+        part, F.spark_partition_id()), "mix-ranges")
+    before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(*keys, part).agg(F.count(F.lit(1)).alias(n)).withColumn(
+        first, F.coalesce(F.sum(n).over(before), F.lit(0)))
+    names = {c: fresh(rows, f"__of_{i}") for i, c in enumerate([*keys, part])}
+    counts = counts.select(*[F.col(c).alias(a) for c, a in names.items()], first)
+    same = F.lit(True)
+    for c, a in names.items():
+        same = same & F.col(c).eqNullSafe(F.col(a))
+    inside = F.row_number().over(Window.partitionBy(*keys, part).orderBy(h, row))
+    return dealt.withColumn(n, inside).join(F.broadcast(counts), same).withColumn(
+        to, (F.col(first) + F.col(n)).cast("bigint")).drop(h, row, part, n, first, *names.values())
+
+
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
                text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
     size, k, copies, id_, source, size_, k_ = (fresh(docs, c) for c in (
         "__size", "__k", "__copies", "__mix_id", "__mix_source", "__mix_size", "__mix_k"))
     keys = [id_col, source_col]
-    chosen = staged(mix(docs, id_col, source_col, text_col, **options)
+    counted = _counted(docs, id_col, source_col, text_col)
+    chosen = staged(_mix(counted, **options)
                     .where("copies > 0").select("doc_id", "source", "size", "k", "copies"), "mix-chosen")
     # Rows that share id, source and size are numbered in a fixed order.
     numbers = Window.partitionBy(*keys, size).orderBy(F.xxhash64(text_or_empty(text_col)))
-    numbered = docs.withColumn(
-        size, F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("bigint")
-    ).withColumn(k, F.row_number().over(numbers).cast("bigint"))
+    sized = docs.withColumn(size, F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("bigint"))
+    hot = counted.where(F.col("m") > REPEATS).select(
+        F.col("doc_id").alias(id_), F.col("source").alias(source), F.col("size").alias(size_))
+    many = None
+    if not hot.isEmpty():
+        same = (F.col(id_col).eqNullSafe(F.col(id_)) & F.col(source_col).cast("string").eqNullSafe(F.col(source))
+                & (F.col(size) == F.col(size_)))
+        many = _numbered_in_ranges(sized.join(F.broadcast(hot), same, "left_semi"), [*keys, size], text_col, k)
+        sized = sized.join(F.broadcast(hot), same, "left_anti")
+    numbered = sized.withColumn(k, F.row_number().over(numbers).cast("bigint"))
+    if many is not None:
+        numbered = numbered.unionByName(many)
     match = chosen.select(
         F.col("doc_id").alias(id_), F.col("source").alias(source),
         F.col("size").alias(size_), F.col("k").alias(k_),

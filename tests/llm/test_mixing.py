@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlens.llm import mixing
 from tests.llm.conftest import NASTY, SCHEMA, as_rows
@@ -96,3 +97,39 @@ def test_empty_table(nothing):
 def test_only_native_operators(documents):
     plan = mixing.mix(documents)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_many_repeated_rows_are_told_apart_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "REPEATS", 50)
+    docs = [(None, None, None)] * 700 + [(None, f"a b {i % 9}", "s") for i in range(900)]
+    docs += [(i, "w " * (i % 7), "s" if i % 2 else "t") for i in range(300)]
+    frame = spark.createDataFrame(as_rows(docs), SCHEMA).repartition(5)
+    counted = mixing._counted(frame, "doc_id", "source", "text")
+    apart = mixing._told_apart(counted)
+    parts = [r["count"] for r in apart.where("doc_id IS NULL").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(parts) == 1600 and max(parts) < 800
+    ks = sorted(r.k for r in apart.where("doc_id IS NULL AND size = 3").collect())
+    assert ks == list(range(1, 901))
+    check(mixing.mix(frame).collect(), docs)
+    decided = Counter()
+    for r in mixing.mix(frame).collect():
+        decided[r.doc_id, r.source, r.size] += r.copies
+    rows = mixing.mixed_rows(frame)
+    assert rows.columns == frame.columns
+    texts = Counter((r.doc_id, r.source, r.text) for r in rows.collect())
+    got = Counter()
+    for (i, s, t), n in texts.items():
+        got[i, s, len((t or "").split())] += n
+    assert got == +decided
+    # The same rows whatever the partitioning, and the same as without ranges.
+    assert texts == Counter((r.doc_id, r.source, r.text) for r in mixing.mixed_rows(frame.repartition(9)).collect())
+    monkeypatch.setattr(mixing, "REPEATS", 10_000)
+    assert texts == Counter((r.doc_id, r.source, r.text) for r in mixing.mixed_rows(frame).collect())
+
+
+def test_sources_are_ranked_across_ranges(spark):
+    sizes = spark.createDataFrame([(f"s{i:04d}", 10, 1) for i in range(500)] + [(None, 10, 1)],
+                                  "source STRING, size BIGINT, m BIGINT")
+    got = {r.source: r.target for r in mixing.source_targets(sizes).collect()}
+    want = water_filling({r.source: 10 for r in sizes.collect()})
+    assert got == pytest.approx(want)
