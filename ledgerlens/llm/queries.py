@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import (
-    ann, exact_dedup, mixing, packing, quality_model, sharding, simhash, simple8b,
-    substring_dedup, token_counts,
+    ann, bpe, exact_dedup, merkle, mixing, packing, prefix_trie, quality_model, sharding, simhash,
+    simple8b, substring_dedup, token_counts,
 )
-from ledgerlens.llm.common import ship, table
+from ledgerlens.llm.common import ship, staged, table
 from ledgerlens.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,3 +109,54 @@ def op10_suffix_array(spark, sf_dir):
     return substring_dedup.removed_passages(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"),
         F.col("kept_sha").alias("kept_sha256"))
+
+
+def spliced_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rebuilt conversations of op11's contract: their turns in order, and all ids.
+
+    Conversation c starts with the first h turns of c - c % 5 and goes on with its own
+    after its first h. A conversation lends to five at most, and eight turns at most.
+    """
+    turns = staged(prefix_trie.in_order(prefix_trie.digested(conversations)), "own-turns")
+    sizes = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    known = staged(sizes.select(
+        "conv_id", "n", (F.crc32(F.col("conv_id").cast("string")) % 9).alias("h"),
+        (F.col("conv_id") - F.col("conv_id") % 5).alias("lender")), "conversations")
+    lent = F.least("h", F.coalesce("lender_n", F.lit(0)))
+    plan = staged(
+        known.join(known.select(F.col("conv_id").alias("lender"), F.col("n").alias("lender_n")), "lender", "left")
+        .select("conv_id", "h", "lender", lent.alias("lent")), "splices")
+    own = turns.join(plan.select("conv_id", "h", "lent"), "conv_id").where("depth > h").withColumn(
+        "depth", F.col("depth") - F.col("h") + F.col("lent"))
+    given = turns.where("depth <= 8").withColumnRenamed("conv_id", "lender").join(
+        plan.select("conv_id", "lender", "h"), "lender").where("depth <= h")
+    columns = ["conv_id", "depth", "t1", "t2", "n_bytes"]
+    return own.select(*columns).unionByName(given.select(*columns)), known.select("conv_id")
+
+
+@query
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.trie(*spliced_turns(table(spark, sf_dir, "conversations")))
+
+
+@query
+def op12_merkle(spark, sf_dir):
+    """Proofs of every row, held against rows whose texts may have lost their line breaks."""
+    docs = table(spark, sf_dir, "documents")
+    broken = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit("")))
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    leaves = docs.withColumn("leaf", merkle.leaf(*fields, F.col("text"))).withColumn(
+        "tampered", F.when(broken != F.col("text"), merkle.leaf(*fields, broken)).otherwise(F.col("leaf")))
+    proven = merkle.prove(leaves, "doc_id", "source", "leaf", ["tampered"])
+    folded = merkle.fold(F.col("tampered"), F.col("path"))
+    return proven.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"),
+        folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query
+def op13_bpe(spark, sf_dir):
+    coded = bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return coded.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

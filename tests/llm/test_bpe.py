@@ -1,0 +1,108 @@
+"""Ids and decoded texts against the tokenizers library itself."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from tokenizers import Tokenizer
+
+from ledgerlens.llm import bpe
+from ledgerlens.llm.queries import QUERIES, vocabulary
+from tests.llm.conftest import NASTY
+
+WORDS = "word_bpe_49k.json"
+
+ODD = [
+    "", " ", "don't WON'T it's'll ...'s", "a" * 3000, "ab" * 5000, "İstanbul ΣΑΣ ß ŉ ẞKÅ", "é é ́x",
+    "<|endoftext|>x <|startoftext|><|ENDOFTEXT|>", "x<|endoftext|", "1<|endoftext|>É", "y z\u0085w\x1cq",
+    "\t\r\n a\x0bb  c", "日本語 テスト 123 ４５６ ½ ²", "🙂👍🏽 zero​width ﻿", "\x00\x01 \x7f", "aaa aaaa aaaaa",
+]
+
+
+def library(name):
+    tokenizer = Tokenizer.from_file(vocabulary(name))
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
+
+def expected(tokenizer, text):
+    ids = tokenizer.encode(text or "", add_special_tokens=False).ids
+    return ids, tokenizer.decode(ids, skip_special_tokens=False)
+
+
+@pytest.mark.parametrize("name", [WORDS, "byte_bpe_50k.json"])
+def test_ids_and_texts_of_the_library(name):
+    letters = [chr(c) for c in [*range(0, 0x250), *range(0x300, 0x340), 0x3a3, 0x1100, 0x1161, 0xac00,
+                                0x2000, 0x2028, 0x3000, 0x1f600, 0xfb01]]
+    rnd = random.Random(5)
+    texts = ODD + ["".join(rnd.choices(letters, k=rnd.randint(1, 50))) for _ in range(1500)]
+    own, tokenizer = bpe.Bpe(vocabulary(name)), library(name)
+    for _ in range(2):  # the second time from what was kept
+        flat, sizes = own.encode(pa.array(texts, pa.string()))
+        decoded = own.decode(flat, sizes)
+        at = 0
+        for text, size, back in zip(texts, sizes, decoded):
+            assert (flat[at:at + size].tolist(), back) == expected(tokenizer, text), text
+            at += size
+
+
+def test_the_best_rank_goes_first_and_stale_entries_are_skipped():
+    names = {s: i for i, s in enumerate(["a", "b", "c", "ab", "bc", "abc", "aa", "aaaa"])}
+    merges = bpe.Merges(names, ["b c", "a b", "a bc", "a a", "aa aa"])
+    back = {i: s for s, i in names.items()}
+
+    def merged(text):
+        return [back[i] for i in merges.apply([names[c] for c in text])]
+
+    assert merged("abc") == ["abc"] and merged("abab") == ["ab", "ab"]
+    assert merged("aaaaa") == ["aaaa", "a"] and merged("bcbcab") == ["bc", "bc", "ab"] and merged("") == []
+
+
+def test_kept_words_are_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "MOST_WORDS", 10)
+    monkeypatch.setattr(bpe, "MOST_PIECES", 10)
+    own, tokenizer = bpe.Bpe(vocabulary(WORDS)), library(WORDS)
+    for n in range(20):
+        text = " ".join(f"word{n}x{i}" for i in range(30))
+        assert own.encode(pa.array([text]))[0].tolist() == expected(tokenizer, text)[0]
+    assert len(own.pieces) <= 10 and len(own.words.texts) < 100
+
+
+def test_ids_that_are_not_there_decode_to_nothing():
+    own = bpe.Bpe(vocabulary(WORDS))
+    ids = np.array([320, 4_000_000, 320], np.uint32)
+    assert own.decode(ids, np.array([2, 1, 0])) == [own.decode(ids[:1], np.array([1]))[0]] * 2 + [""]
+
+
+def test_nasty_rows(nasty):
+    tokenizer = library(WORDS)
+    for coded in (bpe.round_trip(nasty, vocabulary(WORDS)),
+                  bpe.decoded(bpe.encoded(nasty, vocabulary(WORDS)), vocabulary(WORDS))):
+        assert coded.columns == ["doc_id", "ids", "decoded"]
+        got = Counter((r.doc_id, bytes(r.ids), r.decoded) for r in coded.collect())
+        want = Counter()
+        for doc_id, text, _ in NASTY:
+            ids, back = expected(tokenizer, text)
+            want[doc_id, np.array(ids, "<u4").tobytes(), back] += 1
+        assert got == want
+
+
+def test_empty_table(nothing):
+    assert bpe.round_trip(nothing, vocabulary(WORDS)).collect() == []
+
+
+def test_query_equals_the_library(spark, documents):
+    tokenizer = library(WORDS)
+    want = set()
+    for row in documents.collect():
+        ids, back = expected(tokenizer, row.text)
+        want.add((row.doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(),
+                  hashlib.sha256(back.encode()).hexdigest()))
+    got = QUERIES["op13_bpe"](spark, "/root/testdata/sf0.001").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)

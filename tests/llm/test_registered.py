@@ -21,6 +21,8 @@ COLUMNS = {
     "op8_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
     "op9_simple8b": "doc_id start n_tokens ids_crc32",
     "op10_suffix_array": "doc_id n_bytes n_removed n_spans kept_sha256",
+    "op12_merkle": "doc_id leaf subroot root proof_sha256 folded_root verified",
+    "op13_bpe": "doc_id n_tokens ids_sha256 decoded_sha256",
 }
 
 
@@ -48,4 +50,4 @@ def test_columns_of_the_contract(spark, name):
 
 def test_all_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
-    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 11))
+    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 14))
