@@ -74,6 +74,7 @@ currency_address, price_value, market"""
 
 ORACLE: dict[str, str] = {
     "enrich_trades": sql(f"SELECT {E_COLUMNS} FROM e"),
+    "enrich_trades_by_range": sql(f"SELECT {E_COLUMNS} FROM e"),
     "week_window": sql("SELECT lo AS start_block, hi AS end_block FROM w"),
     "week_trades": sql(f"SELECT {E_COLUMNS} FROM e_week"),
     "week_transfers": sql("SELECT * FROM t_week"),
@@ -300,9 +301,30 @@ ORACLE["stream_enrich"] = sql("""
     SELECT currency_address, contract_address, price_value, block_number,
            CAST(date AS VARCHAR) AS date, eth_usd_rate, price_usd FROM priced""")
 
+# Minutes as blocks: those of some users' events only, every third one twice; two rates on
+# every third day.
+_MINUTE = "CAST(floor(epoch(ts) / 60) AS BIGINT)"
+_MINUTES = f"""WITH seen AS (
+      SELECT DISTINCT {_MINUTE} AS block_number, CAST(ts AS DATE) AS date FROM events WHERE user_id % 7 <> 0),
+    blocks AS (SELECT * FROM seen UNION ALL SELECT * FROM seen WHERE block_number % 3 = 0),
+    days AS (SELECT DISTINCT CAST(ts AS DATE) AS date, {DAY.format('ts')} AS day FROM events),
+    rates AS (SELECT date, CAST(1000 + day % 997 AS DOUBLE) AS eth_usd_rate FROM days WHERE day % 10 <> 0
+      UNION ALL SELECT date, 1.5 AS eth_usd_rate FROM days WHERE day % 3 = 0),
+    calendar AS (SELECT * FROM blocks JOIN rates USING (date)),
+    trades AS (SELECT event_id, {_MINUTE} AS block_number, value AS price_value FROM events)"""
+ORACLE["minute_prices"] = f"""{_MINUTES}
+    SELECT event_id, block_number, price_value, CAST(date AS VARCHAR) AS date,
+           CAST(eth_usd_rate AS DOUBLE) AS eth_usd_rate, price_value * eth_usd_rate AS price_usd
+    FROM trades JOIN calendar USING (block_number)"""
+ORACLE["unpriced_minutes"] = f"""{_MINUTES}
+    SELECT * FROM trades WHERE block_number NOT IN (SELECT block_number FROM calendar)"""
+
 ORACLE["table_row_counts"] = sql("\nUNION ALL\n".join(
     f"SELECT '{name}' AS table_name, count(*) AS rows FROM {name}"
     for name in ("contracts", "blocks", "rates", "trades", "transfers")))
+for _name in ("file_rows", "table_stat_rows"):
+    ORACLE[_name] = "\nUNION ALL\n".join(
+        f"SELECT '{name}' AS table_name, count(*) AS rows FROM {name}" for name in ("lineitem", "orders", "part"))
 ORACLE["table_pages"] = "\nUNION ALL\n".join(
     f"""SELECT '{name}' AS table_name, count(*) AS rows, CAST(1388 AS BIGINT) AS rows_per_page,
         CAST(ceil(count(*) / 1388.0) AS BIGINT) AS pages FROM {name}"""

@@ -50,6 +50,28 @@ def enrich_trades(spark, sf_dir):
     return iso(enrich.enriched_trades(testdata.snapshot(spark, sf_dir, parties=True)))
 
 
+@query
+def enrich_trades_by_range(spark, sf_dir):
+    """The same with the calendar as ranges of blocks, as for chains of many blocks."""
+    snapshot = enrich.with_price_ranges(testdata.snapshot(spark, sf_dir, parties=True))
+    return iso(enrich.enriched_trades(snapshot))
+
+
+@query
+def minute_prices(spark, sf_dir):
+    """Events priced by minute: ranges with gaps, repeated minutes and several rates a day."""
+    return iso(enrich.with_usd_price(testdata.minute_trades(spark, sf_dir), enrich.price_calendar(
+        enrich.with_price_ranges(testdata.minute_snapshot(spark, sf_dir)))))
+
+
+@query
+def unpriced_minutes(spark, sf_dir):
+    """Events whose minute has no price."""
+    snapshot = enrich.with_price_ranges(testdata.minute_snapshot(spark, sf_dir))
+    return enrich.on_block(
+        testdata.minute_trades(spark, sf_dir), enrich.price_calendar(snapshot), "left_anti")
+
+
 @query
 def week_window(spark, sf_dir):
     return view(spark, sf_dir).window.frame()
@@ -264,6 +286,22 @@ def table_stats(spark, sf_dir):
     ])
 
 
+@query
+def file_rows(spark, sf_dir):
+    """Rows of tables added up from those of their files."""
+    return sets.concat(*[
+        stats.file_stats(spark, f"{sf_dir}/{name}.parquet").agg(F.sum("rows").alias("rows"))
+        .select(F.lit(name).alias("table_name"), "rows")
+        for name in STAT_TABLES
+    ])
+
+
+@query
+def table_stat_rows(spark, sf_dir):
+    """The part of the table statistics that SQL knows too."""
+    return table_stats(spark, sf_dir).select("table_name", "rows")
+
+
 @query
 def table_pages(spark, sf_dir):
     """Rows of tables cut into pages."""

@@ -11,11 +11,13 @@ import argparse
 import json
 
 from ledgerlens.functions.dates import as_date
+from ledgerlens.operators.joins import BROADCAST_ROWS
+from ledgerlens.plans.enrich import with_price_ranges
 from ledgerlens.plans.report import weekly_report
 from ledgerlens.plans.snapshot import load_snapshot
 from ledgerlens.plans.totals import summary_lines
 from ledgerlens.plans.views import MarketView, StoredView
-from ledgerlens.session import build_session
+from ledgerlens.session import build_session, remove_path
 from ledgerlens.sources.sinks import show, write_report
 from ledgerlens.sources.tables import Source
 
@@ -34,6 +36,8 @@ def main(argv: list[str] | None = None) -> None:
         sources = {name: Source(**fields) for name, fields in json.load(file).items()}
     spark = build_session("ledgerlens")
     snapshot = load_snapshot(spark, sources)
+    if snapshot.calendar_bound > BROADCAST_ROWS:
+        snapshot = with_price_ranges(snapshot)
     cutoff = as_date(options.cutoff) if options.cutoff else None
     remote = any(source.format == "jdbc" for source in sources.values())
     market = MarketView(snapshot, options.start, options.days, cutoff, resolve=remote)
@@ -43,6 +47,8 @@ def main(argv: list[str] | None = None) -> None:
     written = spark.read.format(options.format).load(options.output)
     # The totals and the first places.
     show(written.where("rank IS NULL OR rank = 1").orderBy("scope", "metric"))
+    if snapshot.price_ranges:
+        remove_path(spark, snapshot.price_ranges.path)
 
 
 if __name__ == "__main__":

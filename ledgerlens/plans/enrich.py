@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.joins import broadcast_bounded
+from ledgerlens.operators.intervals import RangeTable, runs
+from ledgerlens.operators.joins import BROADCAST_ROWS, broadcast_bounded
 from ledgerlens.plans.snapshot import Snapshot
+from ledgerlens.session import remove_path, scratch_path
+
+#: Where trades find the date and rate of their block: by block, or by ranges of blocks.
+Calendar = DataFrame | RangeTable
 
 
-def price_calendar(snapshot: Snapshot) -> DataFrame:
+def price_calendar(snapshot: Snapshot) -> Calendar:
     """Date and ETH rate of every block that has one.
 
     Joining the two small tables first leaves one join on the trades, and no
-    shuffle of them at all when the calendar is provably small.
+    shuffle of them at all when the calendar is provably small, by itself or as ranges.
     """
+    if snapshot.price_ranges is not None:
+        return snapshot.price_ranges
     rates = broadcast_bounded(snapshot.rates.select("date", "eth_usd_rate"), snapshot.rate_bound)
     calendar = (
         snapshot.blocks.select("block_number", "date").join(rates, "date")
@@ -23,6 +32,26 @@ def price_calendar(snapshot: Snapshot) -> DataFrame:
     return broadcast_bounded(calendar, snapshot.calendar_bound)
 
 
+def with_price_ranges(snapshot: Snapshot, limit: int = BROADCAST_ROWS) -> Snapshot:
+    """The snapshot with its calendar as stored ranges of blocks, if they are at most ``limit``.
+
+    Dates change once in thousands of blocks, so this fits for any chain whose block
+    table has no more gaps than that; otherwise the snapshot stays as it is. One pass over
+    the blocks; the ranges are counted once written, and removed if they are too many.
+    """
+    spark = snapshot.blocks.sparkSession
+    dated = runs(snapshot.blocks.select("block_number", "date"), "block_number", ["date"])
+    rates = snapshot.rates.select("date", F.col("eth_usd_rate").cast("double").alias("eth_usd_rate"))
+    ranges = dated.join(rates, "date")
+    path = scratch_path(spark, "price-ranges")
+    ranges.write.parquet(path)
+    stored = spark.read.schema(ranges.schema).parquet(path)
+    if stored.count() > limit:
+        remove_path(spark, path)
+        return snapshot
+    return dataclasses.replace(snapshot, price_ranges=RangeTable(stored, path))
+
+
 # A price beyond this many ETH, more than there are, or no number at all is malformed.
 MOST_PRICE = 1e12
 
@@ -48,13 +77,20 @@ def malformed_trades(snapshot: Snapshot) -> DataFrame:
     return paid.where(~_well_formed())
 
 
-def with_usd_price(trades: DataFrame, calendar: DataFrame, how: str = "inner") -> DataFrame:
+def on_block(trades: DataFrame, calendar: Calendar, how: str = "inner") -> DataFrame:
+    """The join of trades and calendar; a kind that adds no columns keeps or drops trades."""
+    if isinstance(calendar, RangeTable):
+        return calendar.join(trades, "block_number", how)
+    return trades.join(calendar, "block_number", how)
+
+
+def with_usd_price(trades: DataFrame, calendar: Calendar, how: str = "inner") -> DataFrame:
     """Trades with date, rate and USD price; those without block or rate drop out.
 
     With ``how="left"`` they stay, with nulls.
     """
     return (
-        trades.join(calendar, "block_number", how)
+        on_block(trades, calendar, how)
         .withColumn("price_value", F.col("price_value").cast("double"))
         .withColumn("price_usd", F.col("price_value") * F.col("eth_usd_rate"))
     )

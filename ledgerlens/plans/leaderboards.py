@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.numeric import mean, money
 from ledgerlens.operators.aggregates import aggregate_all, sum_all
 from ledgerlens.operators.topk import top_k
-from ledgerlens.plans.views import ALL, TOKEN, MarketView
+from ledgerlens.plans.views import ALL, SCOPES, TOKEN, MarketView
 
 # Fixed value: length of a leaderboard.
 TOP = 10
@@ -48,11 +48,8 @@ def token_trades(view: MarketView, scope: str = ALL, k: int | None = TOP) -> Dat
     return top_k(measured, "count", TOKEN, k)
 
 
-def _price_stats(view: MarketView, keys: list[str], scope: str | None) -> DataFrame:
-    """Price statistics of one scope, or with None of both (then with their ``scope``)."""
-    measured = view.scoped(keys) if scope is None else view.measures(keys, scope)
-    return measured.select(
-        *["scope"] * (scope is None),
+def _price_stats(view: MarketView, keys: list[str], scope: str) -> DataFrame:
+    return view.measures(keys, scope).select(
         *keys,
         "contract_name",
         mean(F.col("eth"), F.col("eth_prices")).alias("price_value_avg"),
@@ -77,32 +74,31 @@ def price_extremes(view: MarketView) -> DataFrame:
 
     "Lowest maximum" looks at positive prices only. As in a descending sort with
     nulls first, a token without any price is the highest, and never the lowest
-    while another has one.
+    while another has one. Tokens are formed once, with the figures of both scopes side
+    by side; one aggregate without a key then holds the eight extremes, so tokens are
+    neither shuffled again nor sorted.
     """
-    tokens = _price_stats(view, TOKEN, None)
     named = [*TOKEN, "contract_name"]
-
-    def candidate(metric: str):
-        return F.struct(*named, F.col(metric).alias("price"))
-
-    def place(metric: str):
-        # Place in the leaderboard: nulls first, then descending, then by key.
-        return F.struct(F.col(metric).isNotNull(), -F.col(metric), *TOKEN)
-
-    top, mean_price = "price_value_max", "price_value_avg"
-    picks = {
-        "highest_max": F.min_by(candidate(top), place(top)),
-        "lowest_max": F.max_by(candidate(top), F.when(F.col(top) > 0, place(top))),
-        "highest_avg": F.min_by(candidate(mean_price), place(mean_price)),
-        "lowest_avg": F.max_by(candidate(mean_price), place(mean_price)),
-    }
-    found = tokens.groupBy("scope").agg(*[pick.alias(name) for name, pick in picks.items()])
-    rows = [
-        F.struct(F.lit(name).alias("extreme"), *[F.col(name)[c].alias(c) for c in [*named, "price"]])
-        for name in picks
-    ]
+    picks, rows = [], []
+    for scope in SCOPES:
+        traded = F.col(f"{scope}_trades") > 0
+        for metric, name in (("top", "max"), ("mean", "avg")):
+            value = F.col(f"{scope}_{metric}")
+            # Place in the leaderboard: nulls first, then descending, then by key.
+            place = F.struct(value.isNotNull(), -value, *TOKEN)
+            found = F.struct(*named, value.alias("price"))
+            low = traded & (value > 0) if metric == "top" else traded
+            picks += [
+                F.min_by(found, F.when(traded, place)).alias(f"{scope}_highest_{name}"),
+                F.max_by(found, F.when(low, place)).alias(f"{scope}_lowest_{name}"),
+            ]
+            rows += [
+                F.struct(F.lit(scope).alias("scope"), F.lit(f"{side}_{name}").alias("extreme"),
+                         *[F.col(f"{scope}_{side}_{name}")[c].alias(c) for c in [*named, "price"]])
+                for side in ("highest", "lowest")
+            ]
     # Without such a token there is no row to pick.
-    return found.select("scope", F.inline(F.array(*rows))).where(
+    return view.token_extents().agg(*picks).select(F.inline(F.array(*rows))).where(
         F.col("contract_address").isNotNull())
 
 

@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.intervals import RangeTable
 from ledgerlens.schemas import CURRENCIES, OPTIONAL, TABLES
 from ledgerlens.sources.tables import Source, conform, read_table
 
@@ -22,7 +23,8 @@ class Snapshot:
     ``block_bound`` and ``rate_bound`` are proven upper bounds of the row counts of
     ``blocks`` and ``rates``, and ``rates_per_day`` one of the rates of a date, or None
     when there is none. ``scale`` is the number of decimals in which money is added up.
-    ``raw`` has tables as they are stored, before the casts of ``conform``, so that a
+    ``price_ranges`` is the price calendar as ranges of blocks, see
+    ``enrich.with_price_ranges``. ``raw`` has tables as they are stored, before the casts of ``conform``, so that a
     block range can reach their scans; see :meth:`within`.
     """
 
@@ -36,6 +38,7 @@ class Snapshot:
     block_bound: int | None = None
     rate_bound: int | None = None
     rates_per_day: int | None = None
+    price_ranges: RangeTable | None = None
     raw: Mapping[str, DataFrame] = field(default_factory=dict)
     shapes: Mapping[str, tuple] = field(default_factory=dict)
 

@@ -10,6 +10,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.numeric import exact_sum, mean
 from ledgerlens.operators.aggregates import latest_per_key, merge_rollup, trade_rollup
 from ledgerlens.operators.windows import BlockWindow, block_at
 from ledgerlens.plans.enrich import eth_trades, price_calendar, with_usd_price
@@ -100,6 +101,23 @@ class MarketView:
         )
         return merge_rollup(by_scope(labelled), ["scope", *named(keys)])
 
+    def token_extents(self) -> DataFrame:
+        """Trades, highest and mean price of every token of a known collection, for both scopes.
+
+        Columns: the token, contract_name, and for each scope ``<scope>_trades``, ``_top`` and
+        ``_mean``. A token is one group, so it is shuffled once.
+        """
+        trades = self.trades().withColumn("in_week", self.in_week())
+        priced = trades.select(
+            *TOKEN, "in_week", F.col("price_value").alias(ALL),
+            F.when(F.col("in_week"), F.col("price_value")).alias(WEEK))
+        tokens = priced.groupBy(*TOKEN).agg(
+            F.count(F.lit(1)).alias(f"{ALL}_trades"), F.count_if("in_week").alias(f"{WEEK}_trades"),
+            *[f for s in SCOPES for f in (
+                exact_sum(s, self.scale).alias(f"{s}_sum"), F.count(s).alias(f"{s}_prices"), F.max(s).alias(f"{s}_top"))])
+        return tokens.join(self.labels, "contract_address").withColumns({
+            f"{s}_mean": mean(F.col(f"{s}_sum"), F.col(f"{s}_prices")) for s in SCOPES})
+
     def scoped_tokens(self) -> DataFrame:
         """Number of traded tokens by scope and known collection, from one pass."""
         tokens = self.trades().groupBy(*TOKEN).agg(F.max(self.in_week()).alias("in_week"))
@@ -232,6 +250,14 @@ class StoredView(MarketView):
         rows = self._measured[keys[-1] if keys else "market"].where(F.col("scope") == scope).drop("scope")
         return rows if keys else merge_rollup(rows, [])
 
+    def token_extents(self) -> DataFrame:
+        of_scope = {
+            s: {"trades": F.col("trades"), "top": F.col("price_max"),
+                "mean": mean(F.col("eth"), F.col("eth_prices"))} for s in SCOPES}
+        return self.scoped(TOKEN).select(*TOKEN, "contract_name", *[
+            F.when(F.col("scope") == s, value).alias(f"{s}_{name}")
+            for s, values in of_scope.items() for name, value in values.items()])
+
     def scoped_tokens(self) -> DataFrame:
         return self.scoped(TOKEN).groupBy("scope", "contract_address").agg(
             F.count(F.lit(1)).alias("tokens"))

@@ -1,4 +1,4 @@
-"""Table statistics from file listings and row counts."""
+"""Table statistics from file listings and file footers."""
 
 from __future__ import annotations
 
@@ -10,20 +10,40 @@ from ledgerlens.functions.numeric import page_count
 TARGET_BYTES = 128 * 1024 * 1024
 
 
+def _listed(spark: SparkSession, path: str) -> DataFrame:
+    """The data files below ``path``, also those without rows; no file is opened."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "[!._]*").load(path)
+
+
+def file_stats(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
+    """One row per file: file, bytes, rows.
+
+    No column is read, so columnar formats are counted from their footers, each in the
+    task that reads its file. Listing and counts meet in one aggregate by file.
+    """
+    nothing = F.lit(0).cast("bigint")
+    files = _listed(spark, path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"), nothing.alias("rows"))
+    rows = spark.read.format(format).load(path).select(
+        F.col("_metadata.file_path").alias("file"), nothing.alias("bytes"), F.lit(1).cast("bigint").alias("rows"))
+    return files.unionByName(rows).groupBy("file").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))
+
+
 def table_stats(
     spark: SparkSession, path: str, format: str = "parquet", target_bytes: int = TARGET_BYTES
 ) -> DataFrame:
     """Rows, files, bytes and a suggested partition count of a file-based table.
 
-    Files and bytes come from the listing, so files without rows count; rows from one
-    count, which columnar formats answer from their footers.
+    A file counts once with its size, a row once as a row: one aggregate over both,
+    combined in each task, so that one row a task is shuffled.
     """
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", "[!._]*").load(path)
-    files = listed.select("length").agg(
-        F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
-    rows = spark.read.format(format).load(path).agg(F.count(F.lit(1)).alias("rows"))
-    # Two rows of one line each, put side by side.
-    totals = rows.select("rows", F.lit(1).alias("one")).join(files.withColumn("one", F.lit(1)), "one")
+    nothing = F.lit(0).cast("bigint")
+    files = _listed(spark, path).select(
+        nothing.alias("rows"), F.lit(1).cast("bigint").alias("files"), F.col("length").alias("bytes"))
+    rows = spark.read.format(format).load(path).select(
+        F.lit(1).cast("bigint").alias("rows"), nothing.alias("files"), nothing.alias("bytes"))
+    totals = files.unionByName(rows).agg(*[
+        F.coalesce(F.sum(c), nothing).alias(c) for c in ("rows", "files", "bytes")])
     return totals.select(
         "rows", "files", "bytes",
         page_count(F.col("bytes"), F.lit(target_bytes)).alias("suggested_partitions"),

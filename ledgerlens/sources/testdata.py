@@ -122,3 +122,30 @@ def snapshot(
         rate_bound=CALENDAR_DAYS,
         rates_per_day=1,
     )
+
+
+def _minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").selectExpr(
+        "*", "CAST(floor(unix_micros(CAST(ts AS TIMESTAMP)) / 60000000) AS BIGINT) AS block_number", "CAST(ts AS DATE) AS date")
+
+
+def minute_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as trades; a block is a minute."""
+    return _minutes(spark, sf_dir).selectExpr("event_id", "block_number", "value AS price_value")
+
+
+def minute_snapshot(spark: SparkSession, sf_dir: str) -> Snapshot:
+    """Blocks with gaps and repeats, and days with no, one or two rates."""
+    minutes = _minutes(spark, sf_dir)
+    seen = minutes.where("user_id % 7 <> 0").select("block_number", "date").distinct()
+    days = minutes.select("date").distinct().selectExpr("date", f"{day_number('date')} AS day")
+    rates = days.where("day % 10 <> 0").selectExpr("date", "CAST(1000 + day % 997 AS DOUBLE) AS eth_usd_rate")
+    trades = minute_trades(spark, sf_dir)
+    return Snapshot(
+        contracts=contracts(spark, sf_dir),
+        blocks=seen.unionByName(seen.where("block_number % 3 = 0")),
+        rates=rates.unionByName(days.where("day % 3 = 0").selectExpr("date", "1.5D AS eth_usd_rate")),
+        trades=trades,
+        transfers=trades,
+        scale=SCALE,
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ledgerlens.plans.enrich import with_usd_price
+from ledgerlens.plans.enrich import Calendar, on_block, with_usd_price
 
 
 def trade_stream(
@@ -22,7 +22,7 @@ def trade_stream(
 
 
 def append_trades(
-    trades: DataFrame, calendar: DataFrame, output: str, checkpoint: str
+    trades: DataFrame, calendar: Calendar, output: str, checkpoint: str
 ) -> StreamingQuery:
     """Append the waiting trades to ``output``, priced if the calendar can, then stop.
 
@@ -41,7 +41,7 @@ def append_trades(
     )
 
 
-def priced_output(trades: DataFrame, calendar: DataFrame, output: str) -> DataFrame:
+def priced_output(trades: DataFrame, calendar: Calendar, output: str) -> DataFrame:
     """All priced trades in ``output``: those stored, and those that ``calendar`` prices by now."""
     schema = with_usd_price(trades, calendar).schema
     stored = trades.sparkSession.read.schema(schema.add("priced", "boolean")).parquet(output)
@@ -49,15 +49,15 @@ def priced_output(trades: DataFrame, calendar: DataFrame, output: str) -> DataFr
     return stored.where("priced").drop("priced").unionByName(with_usd_price(waiting, calendar))
 
 
-def pending(trades: DataFrame, calendar: DataFrame, output: str) -> DataFrame:
+def pending(trades: DataFrame, calendar: Calendar, output: str) -> DataFrame:
     """Trades in ``output`` that still lack a block or a rate."""
     schema = with_usd_price(trades, calendar).schema
     stored = trades.sparkSession.read.schema(schema.add("priced", "boolean")).parquet(output)
     waiting = stored.where("NOT priced").select(*trades.columns)
-    return waiting.join(calendar, "block_number", "left_anti")
+    return on_block(waiting, calendar, "left_anti")
 
 
-def ingest(trades: DataFrame, calendar: DataFrame, output: str, checkpoint: str) -> DataFrame:
+def ingest(trades: DataFrame, calendar: Calendar, output: str, checkpoint: str) -> DataFrame:
     """Run :func:`append_trades` to its end and read everything that has a price.
 
     Trades appended earlier without a price are priced by the calendar as it is now.

@@ -1,13 +1,14 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import dates, numeric, text
-from ledgerlens.operators import aggregates, joins, quality, sets, topk
+from ledgerlens.operators import aggregates, intervals, joins, quality, sets, topk
 from ledgerlens.sources import tables
 
 
@@ -224,3 +225,25 @@ def test_validation_rules(spark):
     assert {r.rule: (r.checked, r.violations) for r in quality.violation_counts(parcels, rules).collect()} == {
         "parcel_required": (4, 1), "grams_integer": (4, 2), "route_choice": (4, 1), "link_url": (4, 1),
     }
+
+
+def test_runs_end_at_gaps_other_values_and_bins(spark):
+    rows = [(b, "x") for b in [-3, -2, -1, 0, 1, 2, 5, 6, 6, 1023, 1024]] + [(7, "y"), (8, "y"), (2, "y"), (None, "x"), (9, None), (10, None)]
+    found = intervals.runs(spark.createDataFrame(rows, "n BIGINT, v STRING"), "n", ["v"]).collect()
+    assert sorted((r.range_low, r.range_high, r.v or "") for r in found) == [
+        (-3, -1, "x"), (0, 2, "x"), (2, 2, "y"), (5, 5, "x"), (6, 6, "x"), (6, 6, "x"), (7, 8, "y"), (9, 10, ""),
+        (1023, 1023, "x"), (1024, 1024, "x")]
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_range_join_equals_a_join_on_numbers(spark, how):
+    rnd = random.Random(3)
+    numbers = spark.createDataFrame(
+        [(n, rnd.choice("ab")) for n in range(-2000, 6000) if rnd.random() < 0.8 for _ in range(rnd.choice([1, 1, 1, 2]))],
+        "n BIGINT, v STRING")
+    rows = spark.range(-2500, 6500, 3).selectExpr("id", "IF(id % 50 = 0, NULL, id) AS n")
+    table = intervals.RangeTable(intervals.runs(numbers, "n", ["v"]))
+    got, want = table.join(rows, "n", how), rows.join(numbers, "n", how)
+    assert set(got.columns) == set(want.columns)
+    assert Counter(got.select("id", *want.drop("id").columns).collect()) == Counter(
+        want.select("id", *want.drop("id").columns).collect())

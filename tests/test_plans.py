@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import datetime
 import re
 
@@ -126,6 +127,31 @@ def test_calendar_is_broadcast_only_within_its_bound(spark, chain):
     assert "ResolvedHint" not in broadcast_bounded(chain.rates, 400, limit=399)._jdf.queryExecution().analyzed().toString()
 
 
+def test_ranges_of_blocks_spare_the_shuffle_of_trades(spark, chain):
+    """A calendar too large to broadcast by block: its ranges are, and no trade moves."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        unbounded = dataclasses.replace(chain, block_bound=None)
+        assert "SortMergeJoin" in plan(enrich.with_usd_price(chain.trades, enrich.price_calendar(unbounded)))
+        ranged = enrich.with_price_ranges(unbounded)
+        priced = enrich.with_usd_price(chain.trades, enrich.price_calendar(ranged))
+        physical = priced._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in physical and "hashpartitioning" not in physical and "SortMergeJoin" not in physical
+        # 400 days, cut at 40 borders of bins, against 40,000 blocks.
+        assert ranged.price_ranges.ranges.count() <= 440
+        assert priced.agg(F.count("price_usd"), F.sum("eth_usd_rate")).first() == enrich.with_usd_price(
+            chain.trades, enrich.price_calendar(unbounded)).agg(F.count("price_usd"), F.sum("eth_usd_rate")).first()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_too_many_ranges_leave_the_calendar_as_it_is(chain):
+    gaps = dataclasses.replace(chain, blocks=chain.blocks.where("block_number % 2 = 0"))
+    assert enrich.with_price_ranges(gaps, limit=10_000) is gaps
+    assert enrich.with_price_ranges(gaps, limit=20_000).price_ranges.ranges.count() == 20_000
+
+
 def test_hot_collection_is_split_in_the_join(spark, chain):
     """A third of the rows under one key: the adaptive join splits its partition."""
     settings = {
@@ -206,6 +232,13 @@ def test_pages_take_one_scan(spark, chain):
     assert sorted(read)[-1] == 800_000 and sum(n == 800_000 for n in read) == 1
 
 
+def test_extremes_shuffle_tokens_once(chain):
+    text = plan(leaderboards.price_extremes(MarketView(chain, FIRST + datetime.timedelta(200))))
+    physical = text[text.index("== Physical Plan"):]
+    assert physical.count("hashpartitioning(contract_address") <= 2  # tokens, and labels if they are not broadcast
+    assert "hashpartitioning(scope" not in physical and physical.count("hashpartitioning(contract_address#") >= 1
+
+
 def test_both_scopes_take_one_scan(chain):
     view = MarketView(chain, FIRST + datetime.timedelta(200))
     for report in (leaderboards.price_extremes, totals.volume_totals, totals.contributors,

@@ -73,6 +73,15 @@ def test_table_stats(spark, tmp_path):
     assert tuple(stats.table_stats(spark, str(next(path.glob("*.parquet")))).first())[1] == 1
 
 
+def test_file_stats(spark, tmp_path):
+    path = tmp_path / "t"
+    spark.range(0, 1000, 1, 5).write.parquet(str(path))
+    spark.range(0).coalesce(1).write.mode("append").parquet(str(path))
+    got = {r.file.rsplit("/", 1)[1]: r for r in stats.file_stats(spark, str(path)).collect()}
+    assert {name: r.bytes for name, r in got.items()} == {f.name: f.stat().st_size for f in path.glob("*.parquet")}
+    assert sorted(r.rows for r in got.values()) == [0, 200, 200, 200, 200, 200]
+
+
 def test_table_pages(spark):
     for n, pages in ((0, 0), (1, 1), (10, 1), (11, 2)):
         assert tuple(stats.table_pages(spark.range(n), 10).first()) == (n, 10, pages)
