@@ -490,3 +490,9 @@ def _weekly_report() -> str:
 
 
 ORACLE["weekly_report"] = _weekly_report()
+
+# The same figures, whatever the rollups they come from.
+for _name in ("volume_collections_week", "volume_collections_all", "price_stats_tokens_all", "price_extremes",
+              "volume_totals", "contributors", "new_collections", "market_cap", "transfer_totals",
+              "holder_summary", "weekly_report"):
+    ORACLE[f"rolled_{_name}"] = ORACLE[_name]

@@ -11,6 +11,7 @@ from ledgerlens.functions import dates, numeric, text
 from ledgerlens.operators import aggregates, joins, quality, sets, topk
 from ledgerlens.operators.windows import block_at
 from ledgerlens.plans import cohorts, enrich, leaderboards, report, totals
+from ledgerlens.plans.rollups import HoldingStore, RolledView, TradeStore
 from ledgerlens.plans.views import ALL, TOKEN, WEEK, MarketView
 from ledgerlens.session import scratch_path
 from ledgerlens.sources import stats, tables, testdata
@@ -141,6 +142,35 @@ def token_price_summary(spark, sf_dir):
     return prices.join(market.labels, "contract_address").drop("contract_name")
 
 
+# -- reports from rollups that grow -------------------------------------------------------
+
+def rolled_view(spark: SparkSession, sf_dir: str, parties: bool = False) -> RolledView:
+    """Stores that are brought up to date twice: to the end of 1996, then to the newest block."""
+    market = view(spark, sf_dir, parties)
+    path = scratch_path(spark, "rollups")
+    stores = [kind(spark, f"{path}/{kind.__name__}", market.snapshot) for kind in (TradeStore, HoldingStore)[:1 + parties]]
+    for store in stores:
+        store.cover(market.snapshot, upto=testdata.FIRST_UPDATE)
+    return RolledView(market, *stores)
+
+
+def register_rolled(name: str, report, parties: bool = False, **options) -> None:
+    QUERIES[f"rolled_{name}"] = lambda spark, sf_dir: report(rolled_view(spark, sf_dir, parties), **options)
+
+
+for _scope in (WEEK, ALL):
+    register_rolled(f"volume_collections_{_scope}", leaderboards.collection_volume, scope=_scope)
+register_rolled("price_stats_tokens_all", leaderboards.token_prices, scope=ALL)
+register_rolled("price_extremes", leaderboards.price_extremes)
+register_rolled("volume_totals", totals.volume_totals)
+register_rolled("contributors", totals.contributors)
+register_rolled("new_collections", cohorts.new_collections)
+register_rolled("market_cap", totals.market_cap, parties=True)
+register_rolled("transfer_totals", totals.transfer_totals, parties=True)
+register_rolled("holder_summary", cohorts.holder_summary, parties=True)
+register_rolled("weekly_report", report.weekly_report, parties=True)
+
+
 # -- totals ------------------------------------------------------------------------------
 
 register("market_cap", totals.market_cap)

@@ -25,8 +25,8 @@ def trade_rollup(trades: DataFrame, keys: Sequence[str], scale: int) -> DataFram
     )
 
 
-def merge_rollup(rollup: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Roll measures up to fewer ``keys``; without keys, to one row."""
+def merge_rollup(rollup: DataFrame, keys: Sequence[str], **others: Column) -> DataFrame:
+    """Roll measures up to fewer ``keys``; without keys, to one row. ``others`` are further aggregates."""
     return rollup.groupBy(*keys).agg(
         F.coalesce(F.sum("trades"), F.lit(0)).alias("trades"),
         F.coalesce(F.sum("eth_prices"), F.lit(0)).alias("eth_prices"),
@@ -36,6 +36,7 @@ def merge_rollup(rollup: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.max("price_max").alias("price_max"),
         F.min("price_min").alias("price_min"),
         F.min("first_block").alias("first_block"),
+        *[c.alias(name) for name, c in others.items()],
     )
 
 

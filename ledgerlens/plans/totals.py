@@ -16,7 +16,7 @@ from ledgerlens.sources.tables import row_count
 MEAN_SCALE = 8
 
 
-def _every_scope(view: MarketView, figures: DataFrame, counts: list[str]) -> DataFrame:
+def every_scope(view: MarketView, figures: DataFrame, counts: list[str]) -> DataFrame:
     """``figures`` with a row for each scope; where there were no trades, counts are 0."""
     scopes = view.snapshot.trades.sparkSession.createDataFrame([(s,) for s in SCOPES], "scope STRING")
     filled = scopes.join(figures, "scope", "left")
@@ -35,6 +35,11 @@ def market_cap(view: MarketView, weight: str = "transfers") -> DataFrame:
         weights = view.tokens_by_contract().withColumnRenamed("tokens", "weight")
     else:
         raise ValueError(f"unknown weight: {weight}")
+    return capped(view, weights, {"": "weight"})
+
+
+def capped(view: MarketView, weights: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Market caps by the columns of ``weights`` (one row a collection) that ``names`` maps their infixes to."""
     prices = view.measures(["contract_address"]).select(
         "contract_address",
         mean(F.col("eth"), F.col("eth_prices")).alias("eth_avg"),
@@ -43,10 +48,9 @@ def market_cap(view: MarketView, weight: str = "transfers") -> DataFrame:
     # A mean has more digits than the prices it comes from; cutting the products to
     # the price scale would move the total by some of its cents.
     scale = max(view.scale, MEAN_SCALE)
-    return weights.join(prices, "contract_address").agg(
-        money(exact_sum("(weight * eth_avg)", scale)).alias("market_cap_eth"),
-        money(exact_sum("(weight * usd_avg)", scale)).alias("market_cap_usd"),
-    )
+    return weights.join(prices, "contract_address").agg(*[
+        money(exact_sum(f"({weight} * {unit}_avg)", scale)).alias(f"market_cap_{infix}{unit}")
+        for infix, weight in names.items() for unit in ("eth", "usd")])
 
 
 def volume_totals(view: MarketView) -> DataFrame:
@@ -56,7 +60,7 @@ def volume_totals(view: MarketView) -> DataFrame:
         money(F.sum("usd")).alias("volume_usd"),
         F.count(F.lit(1)).alias("collections"),
     )
-    return _every_scope(view, figures, ["collections"])
+    return every_scope(view, figures, ["collections"])
 
 
 def contributors(view: MarketView) -> DataFrame:
@@ -64,7 +68,7 @@ def contributors(view: MarketView) -> DataFrame:
     figures = view.scoped_tokens().groupBy("scope").agg(
         F.count(F.lit(1)).alias("collections"), F.sum("tokens").alias("tokens")
     )
-    return _every_scope(view, figures, ["collections", "tokens"])
+    return every_scope(view, figures, ["collections", "tokens"])
 
 
 def transfer_totals(view: MarketView) -> DataFrame:
@@ -74,7 +78,7 @@ def transfer_totals(view: MarketView) -> DataFrame:
 
 def trade_totals(view: MarketView) -> DataFrame:
     """Number of enriched trades."""
-    return _every_scope(view, view.scoped([]).select("scope", "trades"), ["trades"])
+    return every_scope(view, view.scoped([]).select("scope", "trades"), ["trades"])
 
 
 def market_mean(view: MarketView) -> DataFrame:
@@ -83,7 +87,7 @@ def market_mean(view: MarketView) -> DataFrame:
         "scope", mean(F.col("eth"), F.col("eth_prices")).alias("price_mean"),
         money("eth").alias("price_sum"),
     )
-    return _every_scope(view, figures, [])
+    return every_scope(view, figures, [])
 
 
 def _line(df: DataFrame, template: str, *columns: str) -> DataFrame:

@@ -95,11 +95,7 @@ class MarketView:
     def scoped(self, keys: Sequence[str]) -> DataFrame:
         """Measures of both scopes (column ``scope``) from one pass over all trades."""
         fine = list(dict.fromkeys([*keys, "contract_address"]))
-        trades = self.trades().withColumn("in_week", self.in_week())
-        labelled = trade_rollup(trades, [*fine, "in_week"], self.scale).join(
-            self.labels, "contract_address"
-        )
-        return merge_rollup(by_scope(labelled), ["scope", *named(keys)])
+        return merge_rollup(by_scope(self.finest(fine)), ["scope", *named(keys)])
 
     def token_extents(self) -> DataFrame:
         """Trades, highest and mean price of every token of a known collection, for both scopes.
@@ -147,6 +143,18 @@ class MarketView:
         tokens = self.transfers().groupBy(*TOKEN).agg(F.count(F.lit(1)).alias("transfers"))
         return tokens.groupBy("contract_address").agg(F.count(F.lit(1)).alias("tokens"))
 
+    def finest(self, keys: Sequence[str]) -> DataFrame:
+        """Measures by ``keys`` (the collection among them) and ``in_week``, labelled; from one pass."""
+        flagged = self.trades().withColumn("in_week", self.in_week())
+        return trade_rollup(flagged, [*keys, "in_week"], self.scale).join(self.labels, "contract_address")
+
+    def held(self) -> DataFrame:
+        """Last receiver and last sender of every token, and the number of its transfers."""
+        return latest_per_key(
+            self.transfers(), TOKEN, order=["block_number"],
+            values=["to_address", "from_address"], transfers=F.count(F.lit(1)),
+        )
+
     def holders(self) -> DataFrame:
         """Last sender and last receiver of every token."""
         return latest_per_key(
@@ -184,6 +192,8 @@ class StoredView(MarketView):
         self, view: MarketView, measured: dict[str, DataFrame], tokens: DataFrame, paths: list[str]
     ) -> None:
         self.__dict__.update(view.__dict__)
+        # Those of the week come from wherever the view has them.
+        self._week_transfers = view.transfers_by
         self._measured = measured
         self._tokens = tokens
         self._paths = paths
@@ -200,23 +210,17 @@ class StoredView(MarketView):
             return spark.read.schema(df.schema).parquet(path)
 
         def trades() -> dict[str, DataFrame]:
-            keys = [*TOKEN, "market"]
-            flagged = view.trades().withColumn("in_week", view.in_week())
-            finest = stored("trades", trade_rollup(flagged, [*keys, "in_week"], view.scale).join(
-                view.labels, "contract_address"))
+            finest = stored("trades", view.finest([*TOKEN, "market"]))
             tokens = stored("tokens", merge_rollup(by_scope(finest), ["scope", *TOKEN, "contract_name"]))
             return {
                 "token_id": tokens,
                 "contract_address": stored("collections", merge_rollup(
-                    tokens, ["scope", "contract_address", "contract_name"])),
+                    tokens, ["scope", "contract_address", "contract_name"], tokens=F.count(F.lit(1)))),
                 "market": stored("markets", merge_rollup(by_scope(finest), ["scope", "market"])),
             }
 
         def holdings() -> DataFrame:
-            return stored("holdings", latest_per_key(
-                view.transfers(), TOKEN, order=["block_number"],
-                values=["to_address", "from_address"], transfers=F.count(F.lit(1)),
-            ))
+            return stored("holdings", view.held())
 
         try:
             # The two do not depend on each other; run together they share the executors.
@@ -259,15 +263,17 @@ class StoredView(MarketView):
             for s, values in of_scope.items() for name, value in values.items()])
 
     def scoped_tokens(self) -> DataFrame:
-        return self.scoped(TOKEN).groupBy("scope", "contract_address").agg(
-            F.count(F.lit(1)).alias("tokens"))
+        return self.scoped(["contract_address"]).select("scope", "contract_address", "tokens")
 
     def first_trades(self) -> DataFrame:
         return self.measures(["contract_address"])
 
+    def held(self) -> DataFrame:
+        return self._tokens
+
     def transfers_by(self, keys: Sequence[str], scope: str = ALL) -> DataFrame:
         if scope == WEEK:
-            return super().transfers_by(keys, scope)
+            return self._week_transfers(keys, scope)
         return self._tokens.groupBy(*keys).agg(
             F.coalesce(F.sum("transfers"), F.lit(0)).alias("transfers")
         )

@@ -15,6 +15,7 @@ from ledgerlens.plans.snapshot import Snapshot
 WEEK_START = "1995-03-06"
 WEEK_DAYS = 7
 LATE_CUTOFF = "1998-11-15"
+FIRST_UPDATE = 9861  # the day 1996-12-31
 CURRENCIES = ("A", "N")
 FIRST_BLOCK = 9131  # the day 1995-01-01
 SCALE = 4
