@@ -496,3 +496,4 @@ for _name in ("volume_collections_week", "volume_collections_all", "price_stats_
               "volume_totals", "contributors", "new_collections", "market_cap", "transfer_totals",
               "holder_summary", "weekly_report"):
     ORACLE[f"rolled_{_name}"] = ORACLE[_name]
+ORACLE["arrived_holders"] = ORACLE["holders"]

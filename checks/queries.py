@@ -11,7 +11,7 @@ from ledgerlens.functions import dates, numeric, text
 from ledgerlens.operators import aggregates, joins, quality, sets, topk
 from ledgerlens.operators.windows import block_at
 from ledgerlens.plans import cohorts, enrich, leaderboards, report, totals
-from ledgerlens.plans.rollups import HoldingStore, RolledView, TradeStore
+from ledgerlens.plans.rollups import ArrivalStore, HoldingStore, RolledView, TradeStore
 from ledgerlens.plans.views import ALL, TOKEN, WEEK, MarketView
 from ledgerlens.session import scratch_path
 from ledgerlens.sources import stats, tables, testdata
@@ -171,6 +171,16 @@ register_rolled("holder_summary", cohorts.holder_summary, parties=True)
 register_rolled("weekly_report", report.weekly_report, parties=True)
 
 
+@query
+def arrived_holders(spark, sf_dir):
+    """Holders from transfers that arrive in three batches, each with late blocks; one comes twice."""
+    transfers = testdata.snapshot(spark, sf_dir, parties=True).transfers
+    store = ArrivalStore(spark, scratch_path(spark, "arrivals"), transfers)
+    for batch in (0, 1, 1, 2):
+        store.absorb(transfers.where(F.pmod(F.xxhash64("transaction_hash"), F.lit(3)) == batch), batch)
+    return store.holders()
+
+
 # -- totals ------------------------------------------------------------------------------
 
 register("market_cap", totals.market_cap)

@@ -29,6 +29,9 @@ from ledgerlens.plans.snapshot import Snapshot
 from ledgerlens.plans.views import ALL, SCOPES, TOKEN, WEEK, MarketView, by_scope
 from ledgerlens.session import path_exists, remove_path
 
+#: Where the first segment begins: it also holds rows without a block.
+FIRST = -(2**63)
+
 MANIFEST = "version BIGINT, first_block BIGINT, last_block BIGINT, folder STRING, piece INT"
 
 
@@ -100,14 +103,14 @@ class SegmentStore:
         No segment reaches over a block of ``cuts`` from below it: a window's first block
         and the one after its last make it a set of whole segments.
         """
-        oldest, newest = snapshot.blocks.agg(F.min("block_number"), F.max("block_number")).first()
-        if oldest is None:
+        newest = snapshot.blocks.agg(F.max("block_number")).first()[0]
+        if newest is None:
             return False
         newest = newest if upto is None else min(newest, upto)
         held = self.segments()
         split = [s for s in held if any(s.first < c <= s.last for c in cuts)]
         wanted = [(s.first, s.last) for s in split]
-        begin = held[-1].last + 1 if held else oldest
+        begin = held[-1].last + 1 if held else FIRST
         if begin <= newest:
             wanted.append((begin, newest))
         return self._roll(snapshot, [r for first, last in wanted for r in _cut(first, last, cuts)],
@@ -124,7 +127,8 @@ class SegmentStore:
         if not ranges:
             return False
         block = F.col("block_number")
-        inside = [block.between(first, last) for first, last in ranges]
+        inside = [
+            block.between(first, last) if first > FIRST else block.isNull() | (block <= last) for first, last in ranges]
         wanted, piece = inside[0], F.when(inside[0], 0)
         for i, test in enumerate(inside[1:], 1):
             wanted, piece = wanted | test, piece.when(test, i)
@@ -221,13 +225,62 @@ class HoldingStore(SegmentStore):
         return snapshot.transfers
 
     def rolled(self, snapshot: Snapshot, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+        return self._grouped(rows, keys)
+
+    def _grouped(self, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         return rows.groupBy(*TOKEN, *keys).agg(
             F.max(F.struct(*self._VALUES)).alias("last"), F.count(F.lit(1)).alias("transfers"))
 
+    def everything(self, snapshot: Snapshot, window: tuple[int, int]) -> DataFrame:
+        """All segments, and the transfers of blocks beyond them, which the block table lacks so far."""
+        held = self.segments()
+        beyond = F.col("block_number") > held[-1].last if held else F.lit(True)
+        rest = self._grouped(snapshot.transfers.where(beyond), []).withColumn("in_week", F.lit(False))
+        return self.read(held, window).unionByName(rest)
+
     def merged(self, rollup: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         return rollup.groupBy(*TOKEN, *keys).agg(F.max("last").alias("last"), F.sum("transfers").alias("transfers"))
 
 
+class ArrivalStore(HoldingStore):
+    """Last transfers fed by batches of arriving rows, in whatever order their blocks come.
+
+    A segment holds a range of batches here. The last transfer is the largest by block,
+    not by arrival, so late blocks need no special case.
+    """
+
+    #: Segments beyond this many are merged, so a report reads few files a token.
+    MOST_SEGMENTS = 32
+
+    def __init__(self, spark: SparkSession, path: str, transfers: DataFrame) -> None:
+        SegmentStore.__init__(self, spark, path)
+        self._schema = self._grouped(transfers, []).schema
+
+    def absorb(self, arrived: DataFrame, batch: int) -> bool:
+        """Add the rows of batch number ``batch``; a batch that is held already changes nothing."""
+        held = self.segments()
+        if any(s.first <= batch <= s.last for s in held):
+            return False
+        rollup = self._grouped(arrived, []).withColumn("piece", F.lit(0))
+        self._commit([*held, *self._write(rollup, [(batch, batch)])])
+        if len(held) >= self.MOST_SEGMENTS:
+            self.compact(self._unbroken())
+        return True
+
+    def _unbroken(self) -> int:
+        """The first batch after those held without a gap; only these may become one range."""
+        after = 0
+        for i, s in enumerate(self.segments()):
+            if i and s.first != after:
+                break
+            after = s.last + 1
+        return after
+
+    def holders(self) -> DataFrame:
+        """Last receiver and sender of every token in the batches so far."""
+        return self.merged(self.read(self.segments())).select(*TOKEN, "last.to_address", "last.from_address")
+
+
 class RolledView(MarketView):
     """A market view that answers from stores which cover its window; only labels and
     what stores do not hold is read from the tables."""
@@ -283,7 +336,7 @@ class RolledView(MarketView):
     def held(self) -> DataFrame:
         if self._holdings is None:
             return super().held()
-        merged = self._holdings.merged(self._holdings.read(self._holdings.segments()))
+        merged = self._holdings.merged(self._holdings.everything(self.snapshot, self._bounds))
         return merged.select(*TOKEN, "last.to_address", "last.from_address", "transfers")
 
     def holders(self) -> DataFrame:
@@ -292,7 +345,7 @@ class RolledView(MarketView):
     def transfers_by(self, keys: Sequence[str], scope: str = ALL) -> DataFrame:
         if self._holdings is None or not set(keys) <= set(TOKEN):
             return super().transfers_by(keys, scope)
-        rows = self._holdings.read(self._holdings.segments(), self._bounds)
+        rows = self._holdings.everything(self.snapshot, self._bounds)
         rows = rows.where("in_week") if scope == WEEK else rows
         return rows.groupBy(*keys).agg(F.coalesce(F.sum("transfers"), F.lit(0)).alias("transfers"))
 

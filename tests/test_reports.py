@@ -9,6 +9,7 @@ from market import START, Market, average, total
 
 from ledgerlens.plans import cohorts, enrich, leaderboards, totals
 from ledgerlens.plans.report import weekly_report
+from ledgerlens.plans.rollups import HoldingStore, RolledView, TradeStore
 from ledgerlens.plans.views import MarketView, StoredView
 from ledgerlens.schemas import CURRENCIES
 
@@ -20,9 +21,15 @@ def market():
     return Market(1)
 
 
-@pytest.fixture(scope="module", params=["direct", "resolved", "stored"])
-def view(request, spark, market):
+@pytest.fixture(scope="module", params=["direct", "resolved", "stored", "rolled"])
+def view(request, spark, market, tmp_path_factory):
     view = MarketView(market.snapshot(spark), START, resolve=request.param == "resolved")
+    if request.param == "rolled":
+        base = str(tmp_path_factory.mktemp("rolled"))
+        stores = TradeStore(spark, base + "/trades", view.snapshot), HoldingStore(spark, base + "/holdings", view.snapshot)
+        for store in stores:
+            store.cover(view.snapshot, upto=130)
+        return RolledView(view, *stores)
     return StoredView.store(view) if request.param == "stored" else view
 
 
