@@ -14,6 +14,13 @@ boundary lies within the radius. Each shard grows its own tree below and compare
 64 bits at the leaves, so the links are exact. A link found in several bands counts
 in the first.
 
+Points whose band is equal, or nearly, cannot be parted by that band's tree: a family of
+near copies would be compared all to all. Their other bits are cut into ``BLOCKS`` blocks, of
+which four differing bits leave two untouched, so only points that agree in some two
+blocks are compared. Where many do, they are joined through hubs, and only what is then
+still apart is compared with the rest. Shards are counted once dealt, and one of more
+than ``MOST_POINTS`` is dealt again by those pairs of blocks.
+
 Of the links of a shard only a spanning forest is returned, at most one for each
 fingerprint, which loses no connection and keeps dense groups from emitting all their
 pairs. Components are then joined by stars of smallest labels, in shuffles of links;
@@ -27,7 +34,7 @@ smallest id of a component, which is null if all its ids are. No rows give no ro
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -49,6 +56,12 @@ SHARD_POINTS = 65_536
 MOST_LEVELS = 16
 LEAF = 128
 PAIRS_AT_ONCE = 1 << 21
+#: A branch of more points is searched by blocks if its band does not part it.
+DENSE = 1024
+UNPARTED = 1.7
+BLOCKS = 6
+HUBS = 16
+MOST_POINTS = 1 << 20
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -137,11 +150,13 @@ def descend(points: np.ndarray, nodes: list[tuple[np.uint64, int]], levels: int,
     return rows, leaf
 
 
-def links_within(points: np.ndarray, asked: np.ndarray, band: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def links_within(points: np.ndarray, asked: np.ndarray, band: int,
+                 dense: Callable[[np.ndarray], None] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (asked, point) of links whose first band within the radius is ``band``.
 
     Grows a vantage-point tree over the points and takes all askers down together; a
-    branch is left out for those whose distance proves it too far.
+    branch is left out for those whose distance proves it too far. Branches that the band
+    does not part go to ``dense``, if there is one, as positions of askers.
     """
     mask = BANDS[band]
     todo = [(np.arange(len(points)), np.arange(len(asked)))]
@@ -158,8 +173,13 @@ def links_within(points: np.ndarray, asked: np.ndarray, band: int) -> Iterator[t
                 near = d <= boundary
             if near.any() and not near.all():
                 dq = distances(asked[q], points[p[len(p) // 2]], mask)
-                todo.append((p[near], q[dq - RADIUS <= boundary]))
-                todo.append((p[~near], q[dq + RADIUS > boundary]))
+                inner, outer = q[dq - RADIUS <= boundary], q[dq + RADIUS > boundary]
+                if dense is None or len(p) <= DENSE or len(inner) + len(outer) < UNPARTED * len(q):
+                    todo.append((p[near], inner))
+                    todo.append((p[~near], outer))
+                    continue
+            if dense is not None and len(p) > DENSE:
+                dense(q)
                 continue
         step = max(1, PAIRS_AT_ONCE // len(p))
         for i in range(0, len(q), step):
@@ -196,19 +216,79 @@ class Forest:
                 self.label = up
 
 
+def block_pairs(band: int) -> list[int]:
+    """Masks of any two blocks of the bits outside a band."""
+    rest = [i for i in range(64) if not BANDS[band] >> i & 1]
+    masks = [sum(1 << int(i) for i in block) for block in np.array_split(rest, BLOCKS)]
+    return [a | b for i, a in enumerate(masks) for b in masks[i + 1:]]
+
+
+def join_by_blocks(points: np.ndarray, own: np.ndarray, band: int, forest: Forest) -> None:
+    """Join all links among ``own`` (positions), found by two equal blocks outside the band."""
+    for mask in block_pairs(band):
+        join_equal(points, own, mask, forest)
+
+
+def join_equal(points: np.ndarray, own: np.ndarray, mask: int, forest: Forest) -> None:
+    """Join the links among those of ``own`` that agree in the bits of ``mask``."""
+    key = points[own] & np.uint64(mask)
+    order = np.argsort(key, kind="stable")
+    key, at = key[order], own[order]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    sizes = np.diff(np.append(starts, len(key)))
+    for start, size in zip(starts[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist()):
+        join_through_hubs(points, at[start:start + size], forest)
+    left = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= LEAF), sizes))
+    for step in range(1, LEAF):  # each with the one ``step`` places on, while that has its key
+        left = left[left + step < len(key)]
+        left = left[key[left] == key[left + step]]
+        if not len(left):
+            break
+        a, b = at[left], at[left + step]
+        near = np.bitwise_count(points[a] ^ points[b]) <= DISTANCE
+        forest.join(a[near], b[near])
+
+
+def join_through_hubs(points: np.ndarray, own: np.ndarray, forest: Forest) -> None:
+    """Join all links among ``own``: through hubs first, then what is apart from the largest tree."""
+    for _ in range(HUBS):
+        trees, of, sizes = np.unique(forest.label[own], return_inverse=True, return_counts=True)
+        if len(trees) == 1:
+            return
+        outside = np.flatnonzero(of != sizes.argmax())
+        hub = own[outside[len(outside) // 2]]
+        near = own[np.bitwise_count(points[own] ^ points[hub]) <= DISTANCE]
+        forest.join(near, np.full(len(near), hub))
+    _, of, sizes = np.unique(forest.label[own], return_inverse=True, return_counts=True)
+    apart = own[of != sizes.argmax()]
+    step = max(1, PAIRS_AT_ONCE // len(own))
+    for i in range(0, len(apart), step):
+        part = apart[i:i + step]
+        a, b = np.nonzero(np.bitwise_count(points[part][:, None] ^ points[own][None, :]) <= DISTANCE)
+        forest.join(part[a], own[b])
+
+
 def _shard_links(frame: pd.DataFrame) -> pd.DataFrame:
-    """A spanning forest of the links of one shard: pairs of fingerprints."""
+    """A spanning forest of the links of one shard, or of a part of a large one: pairs of fingerprints."""
     band = int(frame["band"].iloc[0])
     fp = frame["fp"].to_numpy(np.int64)
     stored = frame["stored"].to_numpy(bool)
     every = fp.view(np.uint64)
     point_at = np.flatnonzero(stored)
     forest = Forest(len(fp))
+    pair = int(frame["pair"].iloc[0])
+    if pair >= 0:
+        join_equal(every, np.arange(len(fp)), block_pairs(band)[pair], forest)
+        return _forest_links(fp, forest)
     # Askers include the points themselves: each stored point is asked in its own shard.
-    for q, p in links_within(every[point_at], every, band):
+    for q, p in links_within(every[point_at], every, band, lambda own: join_by_blocks(every, own, band, forest)):
         other = point_at[p]
         apart = q != other
         forest.join(q[apart], other[apart])
+    return _forest_links(fp, forest)
+
+
+def _forest_links(fp: np.ndarray, forest: Forest) -> pd.DataFrame:
     linked = np.flatnonzero(forest.label != np.arange(len(fp)))
     return pd.DataFrame({"a": fp[linked], "b": fp[forest.label[linked]]})
 
@@ -236,9 +316,22 @@ def links(points: DataFrame) -> DataFrame:
                     pa.array(np.full(len(rows), band, np.int32)), pa.array(leaf),
                     pa.array(fp[rows]), pa.array(home[rows] == leaf)], ["band", "shard", "fp", "stored"])
 
-    dealt = points.select("fp").mapInArrow(
-        deal, "band INT, shard BIGINT, fp BIGINT, stored BOOLEAN")
-    return dealt.groupBy("band", "shard").applyInPandas(_shard_links, "a BIGINT, b BIGINT")
+    dealt = staged(points.select("fp").mapInArrow(
+        deal, "band INT, shard BIGINT, fp BIGINT, stored BOOLEAN"), "dealt-points")
+    # Few rows: one for MOST_POINTS points each.
+    large = staged(dealt.groupBy("band", "shard").count().where(F.col("count") > MOST_POINTS).select(
+        "band", "shard", F.ceil(F.col("count") / SHARD_POINTS).alias("parts")), "large-shards")
+    whole = F.array(F.struct(F.lit(-1).alias("pair"), F.lit(0).cast("bigint").alias("part")))
+    again = whole
+    for band in range(len(BANDS)):
+        masks = np.array(block_pairs(band), np.uint64).view(np.int64).tolist()
+        again = F.when(F.col("band") == band, F.array(*[
+            F.struct(F.lit(i).alias("pair"), F.pmod(F.xxhash64(
+                F.col("fp").bitwiseAND(F.lit(mask).cast("bigint"))), F.col("parts")).alias("part"))
+            for i, mask in enumerate(masks)])).otherwise(again)
+    keyed = dealt.join(large, ["band", "shard"], "left").select(
+        "band", "shard", "fp", "stored", F.inline(F.when(F.col("parts").isNotNull(), again).otherwise(whole)))
+    return keyed.groupBy("band", "shard", "pair", "part").applyInPandas(_shard_links, "a BIGINT, b BIGINT")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -246,12 +339,13 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large and small stars: every point's larger neighbours, then all its
     neighbours, move to the smallest it knows, until nothing moves. Each step is
-    written, and smallest neighbours are aggregates, so a hub is not a hot group.
+    written, and so are the smallest neighbours before they are joined, so that
+    adaptive execution can split the links of a hub.
     """
     def to_smallest(both: DataFrame) -> DataFrame:
         low = both.groupBy("a").agg(F.min("b").alias("low")).withColumn(
             "low", F.least("a", "low"))
-        return both.join(low, "a")
+        return both.join(staged(low, "star-smallest"), "a")
 
     edges = staged(edges.where("a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
@@ -261,7 +355,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = to_smallest(both).where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         large = staged(large.where("a <> b").distinct(), "large-star")
         # Small star: a point and its smaller neighbours all point at the smallest.
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
+        low = staged(large.groupBy("a").agg(F.min("b").alias("low")), "star-smallest")
         small = large.join(low, "a").select(
             F.explode(F.array(F.struct("a", F.col("low").alias("b")),
                               F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")
@@ -281,7 +375,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     points = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("smallest")), "points")
     roots = components(links(points))
     rooted = points.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("smallest").alias("component_id"))
+    least = staged(rooted.groupBy("root").agg(F.min("smallest").alias("component_id")), "component-ids")
     of_point = staged(rooted.join(least, "root").select("fp", "component_id"), "point-groups")
     return rows.join(of_point, "fp").select("doc_id", "fp", "component_id")
 

@@ -2,9 +2,12 @@ from __future__ import annotations
 
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
+import pytest
 import xxhash
 
 from ledgerlens.llm import simhash
@@ -135,3 +138,78 @@ def test_one_document_of_each_group_stays(nasty, spark):
 def test_empty_table(nothing):
     assert simhash.near_groups(nothing).collect() == []
     assert simhash.keep_one(nothing).collect() == []
+
+
+def family(n, seed, noise=0):
+    """Fingerprints with one value, up to ``noise`` bits, in the lowest band, and some near pairs."""
+    rng = random.Random(seed)
+    out = set()
+    while len(out) < n:
+        p = 0x12345 | rng.getrandbits(43) << 21
+        for _ in range(rng.randrange(noise + 1)):
+            p ^= 1 << rng.randrange(21)
+        out.add(p)
+        if rng.random() < 0.1:
+            for _ in range(rng.randrange(1, 6)):
+                p ^= 1 << rng.randrange(64)
+            out.add(p)
+    return np.array(sorted(out), np.uint64)
+
+
+def exact_trees(points):
+    """The smallest position that each point is linked to, by comparing all pairs."""
+    forest = simhash.Forest(len(points))
+    for i in range(0, len(points), 500):
+        a, b = np.nonzero(np.bitwise_count(points[i:i + 500, None] ^ points[None, :]) <= 4)
+        forest.join(a + i, b)
+    return forest.label
+
+
+def shard(points, band=0):
+    frame = pd.DataFrame({"band": band, "shard": 0, "fp": points.view(np.int64), "stored": True, "pair": -1, "part": 0})
+    found = simhash._shard_links(frame)
+    at = {p: i for i, p in enumerate(points.view(np.int64).tolist())}
+    forest = simhash.Forest(len(points))
+    forest.join(found["a"].map(at).to_numpy(np.int64), found["b"].map(at).to_numpy(np.int64))
+    return forest.label
+
+
+@pytest.mark.parametrize("noise", [0, 2])
+def test_a_family_with_one_band_value(noise):
+    points = family(5000, 3, noise)
+    forest = simhash.Forest(len(points))
+    for band in range(3):
+        label = shard(points, band)
+        moved = np.flatnonzero(label != np.arange(len(points)))
+        forest.join(moved, label[moved])
+    assert np.array_equal(forest.label, exact_trees(points)) and len(np.unique(forest.label)) < len(points)
+
+
+def test_a_dense_cluster():
+    """Thousands of points within a few bits of each other."""
+    rng = random.Random(4)
+    points = {0}
+    while len(points) < 4000:
+        p = 0
+        for _ in range(rng.randrange(5)):
+            p ^= 1 << rng.randrange(21, 64)
+        points.add(p)
+    points = np.array(sorted(points), np.uint64)
+    assert np.array_equal(shard(points), exact_trees(points))
+
+
+def test_time_grows_with_the_family():
+    """40,000 points of one band value take far less than all their pairs would."""
+    points = family(40_000, 6)
+    begun = time.process_time()
+    shard(points)
+    assert time.process_time() - begun < 4
+
+
+def test_large_shards_are_dealt_again(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "MOST_POINTS", 200)
+    monkeypatch.setattr(simhash, "SHARD_POINTS", 500)
+    points = sorted({*clustered(600, 9), *family(900, 5, 1).tolist()})
+    frame = spark.createDataFrame([(int(np.uint64(p).view(np.int64)),) for p in points], "fp BIGINT")
+    pairs = [(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash.links(frame).collect()]
+    assert linked(points, pairs) == groups(points)
