@@ -13,8 +13,9 @@ gives an empty result. Other columns are neither read nor returned by
 
 Scale: all groupings are combined before their shuffles, so a text that a third of
 the rows share is one partial row a task. Texts ride a shuffle only when the list of
-doubtful keys is too large to broadcast by its measured size; hot keys of that join
-are split by adaptive execution.
+doubtful keys is too large to broadcast by its measured size. The tables joined to rows,
+doubtful keys and groups of several rows, are written first, so neither join reuses the
+partitions of a grouping and adaptive execution splits the hot keys of both.
 """
 
 from __future__ import annotations
@@ -75,11 +76,14 @@ def exact_groups(
         ),
         "dedup-hashed",
     )
-    groups = hashed.join(_elect(hashed), ["n_bytes", "prefix", "sha"]).select(
+    # Written first, so that the join shuffles its rows anew and can split a hot text.
+    several = staged(_elect(hashed).where("group_size > 1"), "dedup-groups")
+    single = F.col("group_size").isNull()
+    groups = hashed.join(several, ["n_bytes", "prefix", "sha"], "left").select(
         "id",
-        F.col("best.id").alias("keep_id"),
-        "group_size",
-        (F.col("row") == F.col("best.row")).alias("kept"),
+        F.when(single, F.col("id")).otherwise(F.col("best.id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1).cast("bigint")).alias("group_size"),
+        (single | (F.col("row") == F.col("best.row"))).alias("kept"),
         "sha",
     )
     sha = F.sha2("text", 256) if digests else F.lit(None).cast("string")
