@@ -14,7 +14,7 @@ occur within a text.
 Writing: rows are range-partitioned by document id, encoded, and written by each task
 under names of its own; the table of files that the tasks return is what counts, so a
 repeated task leaves a file that nobody reads. A hot id is divided by the hash of its
-texts. Positions are sums over the table of files.
+texts, and repeated rows by their numbers. Positions are sums over the table of files.
 
 Defined cases: a null text counts as empty and still has its end id. Null ids come
 first. Rows of the same id follow each other in the order of their texts' hashes. No
@@ -33,9 +33,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import cut, filesystem, staged
+from ledgerlens.llm.common import cut, filesystem, new_path, staged
 from ledgerlens.llm.encoding import encoder, texts_of, with_ends
-from ledgerlens.session import scratch_path
 
 MAGIC = b"S8BTOK01"
 BLOCK = 256
@@ -191,8 +190,10 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2,
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The row number parts rows that are equal, so that many of them fill several ranges.
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc(), F.col("row").asc()]
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("row")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = filesystem(path)
@@ -262,5 +263,5 @@ def read_files(files: DataFrame, path: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     """Write ``docs`` to the shared scratch folder and read the files back."""
-    path = scratch_path(docs.sparkSession, "s8b")
+    path = new_path(docs.sparkSession, "s8b")
     return read_files(write_files(docs, path, tokenizer, end_id), path)
