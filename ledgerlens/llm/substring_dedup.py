@@ -277,7 +277,7 @@ def removed_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.count(F.lit(1)).alias("m"), F.min(F.struct("row", "first", "at", "hi")).alias("one"),
     ).select("key", "digest", "m", "one.*"), "passage-merged")
     # Only keys with different segments need their bytes, and each segment once.
-    varied = merged.groupBy("key").count().where("count > 1").select("key")
+    varied = staged(merged.groupBy("key").count().where("count > 1").select("key"), "passage-varied")
     contents = staged(_cut_out(merged.join(varied, "key", "left_semi"), texts, window), "passage-bytes")
     every = F.array(F.struct(F.lit(0).cast("bigint").alias("lo"), F.col("hi").cast("bigint").alias("hi")))
     found = merged.where("m > 1").select("key", "digest", every.alias("runs")).unionByName(
