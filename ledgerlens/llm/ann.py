@@ -19,7 +19,11 @@ arrays built by the task that searches them. The stated queries, in batches of
 about ``QUERY_BATCH``, meet all blocks; a block returns its best k a query, and the best
 of these are taken by a grouped merge. A task holds one block and one batch.
 
-Defined cases: vectors that are null, empty, of another length than most, zero, or
+What the index saves: counting costs one small integer a window that holds a vector, verifying
+one product a dimension. With ``HASHES`` windows and ``VERIFIED`` as they are, that pays for vectors of
+some hundred dimensions and more; for short ones a search with ``verified=1.0`` is as fast, and exact.
+
+Defined cases: vectors that are null, empty, of another length than most candidates, zero, or
 hold null or non-finite components take no part, neither as query nor as candidate.
 Rows with a null vec_id take no part either. Ties go to the smaller id. Fewer than k
 candidates: all of them. Repeated rows are each a candidate; a query's own id is not.
@@ -54,14 +58,19 @@ FIRST_WINDOW = 0.6
 GROWTH = 1.15
 
 
-def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """vec_id and v (array of doubles) of the vectors that take part."""
+def finite(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """vec_id and v (array of doubles) of the vectors of any length that could take part."""
     rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"),
                           F.col(vec_col).cast("array<double>").alias("v"))
-    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = rows.where(F.coalesce(finite & (F.size("v") > 0) & F.exists("v", lambda x: x != 0), F.lit(False)))
+    numbers = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return rows.where(F.col("vec_id").isNotNull() & F.coalesce(
+        numbers & (F.size("v") > 0) & F.exists("v", lambda x: x != 0), F.lit(False)))
+
+
+def usual_width(rows: DataFrame) -> int:
+    """The length that most vectors have; of equally frequent ones the smallest."""
     width = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("v") == (width.n if width else 0))
+    return width.n if width else 0
 
 
 def directions(width: int, hashes: int = HASHES, seed: int = 5) -> np.ndarray:
@@ -89,7 +98,7 @@ class SortedProjections:
                verified: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Position of each query, and the ids and scores of the best ``k`` found for it."""
         n, hashes = self.order.shape[::-1]
-        if n <= LEAST * k:
+        if n <= LEAST * k or verified >= 1:
             for q in range(len(queries)):
                 yield q, *self._verified(query_ids[q], queries[q], np.arange(n), k)
             return
@@ -171,10 +180,17 @@ class NormRanges:
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, id_col: str = "vec_id",
-            vec_col: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score: the ``k`` nearest found of each query."""
-    rows = staged(usable(vectors, id_col, vec_col).where("vec_id IS NOT NULL"), "ann-vectors")
-    asked = usable(queries, id_col, vec_col).where("vec_id IS NOT NULL")
+            vec_col: str = "embedding", block: int = BLOCK, threshold: float = THRESHOLD,
+            verified: float = VERIFIED) -> DataFrame:
+    """query_id, rank, vec_id, score: the ``k`` nearest found of each query.
+
+    A vector is verified if it collides in a ``threshold`` of the windows, and windows grow
+    until a share ``verified`` of a range is; 1.0 verifies every vector and is exact.
+    """
+    rows = finite(vectors, id_col, vec_col)
+    width = usual_width(rows)
+    rows = staged(rows.where(F.size("v") == width), "ann-vectors")
+    asked = finite(queries, id_col, vec_col).where(F.size("v") == width)
     asked = staged(asked.groupBy("vec_id").agg(F.min("v").alias("v")), "ann-queries")
     blocks = max(1, -(-rows.count() // block))
     batches = max(1, -(-asked.count() // QUERY_BATCH))
@@ -191,7 +207,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, id_col: st
         if not len(held) or not len(wanted):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         index = NormRanges(held["vec_id"].to_numpy(), np.stack(held["v"]))
-        return index.search(wanted["vec_id"].to_numpy(), np.stack(wanted["v"]), k)
+        return index.search(wanted["vec_id"].to_numpy(), np.stack(wanted["v"]), k, threshold, verified)
 
     found = dealt.groupBy("block", "batch").cogroup(
         posed.groupBy("block", "batch")).applyInPandas(find, shape)

@@ -87,3 +87,23 @@ def test_norms_out_of_range_of_squares(spark):
     got = ann.nearest(frame, frame.where("vec_id = 7"), 20).orderBy("rank").collect()
     want = sorted((-np.dot(v, rows[7][1]), i) for i, v in rows if i != 7)[:20]
     assert [r.vec_id for r in got] == [i for _, i in want]
+
+
+def test_queries_of_another_width_take_no_part(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.standard_normal(4).tolist()) for i in range(300)]
+    asked = [(1000 + i, rng.standard_normal(3).tolist()) for i in range(20)] + rows[:5]
+    schema = "vec_id BIGINT, embedding ARRAY<DOUBLE>"
+    got = ann.nearest(spark.createDataFrame(rows, schema), spark.createDataFrame(asked, schema), 3).collect()
+    assert {r.query_id for r in got} == {0, 1, 2, 3, 4} and len(got) == 15
+
+
+def test_all_verified_is_exact(spark):
+    rng = np.random.default_rng(3)
+    vectors = rng.standard_normal((900, 12)) * np.exp(rng.standard_normal(900))[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id BIGINT, embedding ARRAY<DOUBLE>")
+    got = ann.nearest(df, df.where("vec_id % 20 = 0"), 10, block=300, verified=1.0).collect()
+    for q in range(0, 900, 20):
+        scores = vectors @ vectors[q]
+        scores[q] = -np.inf
+        assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == np.argsort(-scores)[:10].tolist()
