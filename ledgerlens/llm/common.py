@@ -6,6 +6,7 @@ import os
 import tempfile
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyarrow import fs
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ledgerlens.session import scratch_path
+from ledgerlens.session import remove_path, scratch_path
 
 #: A word of the contracts: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,13 +24,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_open_scratch: list[list[str]] = []
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared scratch folder; removed at the end of a :func:`scratch` block."""
+    path = scratch_path(spark, label)
+    for paths in _open_scratch:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove the intermediate tables and files written in the block when it ends.
+
+    Results that read them have to be written elsewhere before. Without such a block they
+    stay, as results may be read at any time.
+    """
+    paths: list[str] = []
+    _open_scratch.append(paths)
+    try:
+        yield
+    finally:
+        _open_scratch.remove(paths)
+        for path in paths:
+            remove_path(spark, path)
+
+
 def staged(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """``df`` written to the shared scratch folder and read back.
 
     Cuts the lineage: a lost executor costs the tasks it ran, not the steps before,
     and what was random or dear is computed once.
     """
-    path = scratch_path(df.sparkSession, label)
+    path = new_path(df.sparkSession, label)
     df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(nullable(df.schema)).parquet(path)
 

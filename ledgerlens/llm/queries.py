@@ -11,8 +11,7 @@ from ledgerlens.llm import (
     ann, bpe, exact_dedup, merkle, mixing, packing, prefix_trie, quality_model, sharding, simhash,
     simple8b, substring_dedup, token_counts,
 )
-from ledgerlens.llm.common import ship, staged, table
-from ledgerlens.session import scratch_path
+from ledgerlens.llm.common import new_path, ship, staged, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,7 +40,7 @@ def vocabulary(name: str) -> str:
 @query
 def op1_token_counts(spark, sf_dir):
     """Ids of each document, found by the separators of flat files."""
-    path = scratch_path(spark, "flat")
+    path = new_path(spark, "flat")
     rows = token_counts.write_flat(
         table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
     counted = token_counts.count_tokens(rows.select("file").distinct(), path)

@@ -14,7 +14,8 @@ task's rows are in the table of files.
 
 Defined cases: a null text counts as empty and has 0 ids. Ids after the last separator
 are a document that is not ended (``ended`` false); an empty file holds none. An odd
-number of bytes is an error. Special-token strings in texts are ordinary text, so
+number of bytes is an error, and so is a text with an id that does not fit in 16 bits or
+is the separator. Special-token strings in texts are ordinary text, so
 the separator cannot occur in one.
 """
 
@@ -43,6 +44,8 @@ BATCH_BYTES = 8 << 20
 def write_flat(docs: DataFrame, path: str, tokenizer: str, separator: int = SEPARATOR,
                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write flat files under ``path``; where each row went: file, ordinal, doc_id."""
+    if not 0 <= separator < 1 << 8 * WIDTH:
+        raise ValueError(f"a separator of {WIDTH} bytes cannot be {separator}")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = StructType([StructField("file", StringType()), StructField("ordinal", LongType()),
                          rows.schema["doc_id"]])
@@ -52,7 +55,12 @@ def write_flat(docs: DataFrame, path: str, tokenizer: str, separator: int = SEPA
         out, name, held, ordinal = None, "", 0, 0
         for batch in cut(batches, "text", BATCH_BYTES):
             words = encoder(tokenizer, specials_as_text=True)
-            flat, lengths = with_ends(*words.encode(texts_of(batch)), separator)
+            flat, lengths = words.encode(texts_of(batch))
+            if len(flat) and flat.max() >= 1 << 8 * WIDTH:
+                raise ValueError(f"id {flat.max()} does not fit in {WIDTH} bytes")
+            if (flat == separator).any():
+                raise ValueError(f"the separator {separator} is an id of a text")
+            flat, lengths = with_ends(flat, lengths, separator)
             if out is None:
                 store.create_dir(base, recursive=True)
                 name = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.bin"

@@ -75,11 +75,20 @@ def random_rows(seed, convs=60):
     return rows
 
 
-@pytest.mark.parametrize("cells", [prefix_trie.CELLS, 256, 8])
-def test_random_conversations(spark, cells):
-    """A small sketch takes nearly all prefixes for shared, also below proven tails."""
-    rows = random_rows(cells)
-    assert nodes(spark, rows, cells) == expected(talks(rows))
+@pytest.mark.parametrize("cells", [prefix_trie.CELLS, 8])
+def test_irregular_conversations(spark, monkeypatch, cells):
+    """Nulls, ties, repeats, long texts, one long conversation, and many ends at one node,
+    whose ids lie in several chunks. A small sketch takes nearly all prefixes for shared."""
+    monkeypatch.setattr(prefix_trie, "CHUNK", 16)
+    rows = random_rows(cells) + [
+        (101, None, "user", "first"), (101, 0, None, None), (101, 3, "user", "x" * 100_000),
+        (102, None, "user", "first"), (102, 0, "", ""), (102, 3, "user", "x" * 100_000), (102, 3, "user", "x" * 100_000),
+        (-4, 1, "user", "first"), (107, 1, "us", "erfirst"), (None, 1, "user", "lost"), (None, None, None, None),
+    ]
+    rows += [(c, 1, "user", "same" if c % 3 else f"own {c}") for c in range(200, 300)]
+    rows += [(400, t, "user", str(t)) for t in range(150)] + [(c, 0, "user", "0") for c in range(401, 410)]
+    found = nodes(spark, rows, cells)
+    assert found == expected(talks(rows)) and any(r[6] > 100_000 for r in found)
 
 
 def test_screening_keeps_tails_out_of_the_groups(spark):
@@ -91,34 +100,9 @@ def test_screening_keeps_tails_out_of_the_groups(spark):
         d: (50 * (d > 3), 50 * (d > 2)) for d in range(1, 21)}
 
 
-def test_nulls_ties_repeats_and_long_texts(spark):
-    rows = [
-        (1, None, "user", "first"), (1, 0, None, None), (1, 3, "user", "x" * 100_000),
-        (2, None, "user", "first"), (2, 0, "", ""), (2, 3, "user", "x" * 100_000), (2, 3, "user", "x" * 100_000),
-        (-4, 1, "user", "first"), (7, 1, "us", "erfirst"), (None, 1, "user", "lost"), (None, None, None, None),
-    ]
-    found = nodes(spark, rows)
-    assert found == expected(talks(rows)) and any(r[6] > 100_000 for r in found)
-    assert nodes(spark, rows, 8) == found
-
-
-def test_many_ends_at_one_node(spark, monkeypatch):
-    """The ids of a node lie in several chunks."""
-    monkeypatch.setattr(prefix_trie, "CHUNK", 16)
-    rows = [(c, 1, "user", "same" if c % 3 else f"own {c}") for c in range(200)]
-    assert nodes(spark, rows) == expected(talks(rows))
-
-
-def test_one_conversation_holds_most_rows(spark):
-    rows = [(0, t, "user", str(t)) for t in range(2000)] + [(c, 0, "user", "0") for c in range(1, 20)]
-    assert nodes(spark, rows) == expected(talks(rows))
-
-
 def test_conversations_without_turns_and_an_empty_table(spark):
     some = frame(spark, [(3, 1, "user", "a"), (4, 1, "user", "b")])
     turns = prefix_trie.in_order(prefix_trie.digested(some))
-    got = prefix_trie.trie(turns.where("conv_id = 3"), some.select("conv_id")).collect()
-    assert sorted(map(tuple, got)) == expected({3: [("user", "a")], 4: []})
     bare = prefix_trie.trie(turns.where("false"), some.select("conv_id")).collect()
     assert sorted(map(tuple, bare)) == expected({3: [], 4: []})
     assert nodes(spark, []) == []

@@ -7,7 +7,10 @@ import pytest
 from tokenizers import Tokenizer
 
 from ledgerlens.llm import token_counts
+from ledgerlens.llm.common import scratch, staged
+from ledgerlens.llm.encoding import encoder
 from ledgerlens.llm.queries import vocabulary
+from ledgerlens.session import path_exists
 from tests.llm.conftest import NASTY
 
 PATH = vocabulary("byte_bpe_50k.json")
@@ -70,3 +73,21 @@ def test_special_strings_are_text(spark, tmp_path):
 def test_empty_table(nothing, tmp_path):
     rows = token_counts.write_flat(nothing, str(tmp_path / "e"), PATH)
     assert token_counts.count_tokens(rows.select("file").distinct(), str(tmp_path / "e")).collect() == []
+
+
+def test_ids_that_the_files_cannot_hold_are_errors(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "one two")], "doc_id BIGINT, text STRING")
+    path = vocabulary("byte_bpe_50k.json")
+    with pytest.raises(ValueError):
+        token_counts.write_flat(docs, str(tmp_path / "a"), path, separator=70_000)
+    used = encoder(path, specials_as_text=True).encode(["one two"])[0]
+    with pytest.raises(Exception, match="is an id of a text"):
+        token_counts.write_flat(docs, str(tmp_path / "b"), path, separator=int(used[0]))
+
+
+def test_scratch_is_removed(spark, tmp_path):
+    with scratch(spark):
+        kept = staged(spark.range(5), "gone")
+        assert kept.count() == 5
+        (path,) = {f.rsplit("/", 1)[0] for f in kept.inputFiles()}
+    assert not path_exists(spark, path)
