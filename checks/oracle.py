@@ -301,6 +301,13 @@ ORACLE["stream_enrich"] = sql("""
     SELECT currency_address, contract_address, price_value, block_number,
            CAST(date AS VARCHAR) AS date, eth_usd_rate, price_usd FROM priced""")
 
+ORACLE["stream_repriced"] = ORACLE["stream_enrich"]
+
+ORACLE["stream_waiting"] = sql("""
+    SELECT currency_address, contract_address, price_value, block_number FROM trades t
+    WHERE currency_address IN ('A', 'N') AND NOT EXISTS (
+      SELECT 1 FROM blocks JOIN rates USING (date) WHERE blocks.block_number = t.block_number)""")
+
 # Minutes as blocks: those of some users' events only, every third one twice; two rates on
 # every third day.
 _MINUTE = "CAST(floor(epoch(ts) / 60) AS BIGINT)"

@@ -16,6 +16,7 @@ from ledgerlens.plans.views import ALL, TOKEN, WEEK, MarketView
 from ledgerlens.session import scratch_path
 from ledgerlens.sources import stats, tables, testdata
 from ledgerlens.streaming import ingest
+from ledgerlens.streaming.priced import PricedStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -271,10 +272,8 @@ def chunked_enrich(spark, sf_dir):
     return iso(enrich.paged_trades(snapshot, bounds))
 
 
-@query
-def stream_enrich(spark, sf_dir):
+def _arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trades arriving as several files, two of them a micro-batch."""
-    snapshot = testdata.snapshot(spark, sf_dir)
     arrived = scratch_path(spark, "arrived")
     lines = testdata.table(spark, sf_dir, "lineitem")
     lines.select("l_returnflag", "l_partkey", "l_extendedprice", "l_shipdate").repartition(6).write.parquet(arrived)
@@ -282,20 +281,49 @@ def stream_enrich(spark, sf_dir):
         spark, arrived, lines.select("l_returnflag", "l_partkey", "l_extendedprice", "l_shipdate").schema,
         files_per_batch=2,
     )
-    trades = tables.where_in(
+    return tables.where_in(
         stream.selectExpr(
             "l_returnflag AS currency_address",
             "l_partkey AS contract_address",
             "l_extendedprice AS price_value",
             f"{testdata.day_number('l_shipdate')} AS block_number",
         ),
-        "currency_address", snapshot.currencies,
+        "currency_address", testdata.CURRENCIES,
     )
-    done = ingest.ingest(
-        trades, enrich.price_calendar(snapshot),
+
+
+@query
+def stream_enrich(spark, sf_dir):
+    """Arriving trades, priced."""
+    return iso(ingest.ingest(
+        _arriving(spark, sf_dir), enrich.price_calendar(testdata.snapshot(spark, sf_dir)),
         scratch_path(spark, "priced"), scratch_path(spark, "priced-progress"),
-    )
-    return iso(done)
+    ))
+
+
+def _repriced(spark: SparkSession, sf_dir: str) -> PricedStore:
+    """A store of arriving trades whose later blocks are known only after all batches."""
+    trades = _arriving(spark, sf_dir)
+    calendar = enrich.price_calendar(testdata.snapshot(spark, sf_dir))
+    store = PricedStore(scratch_path(spark, "priced-store"), trades, calendar)
+    early = calendar.where(F.col("block_number") <= testdata.FIRST_UPDATE)
+    store.follow(trades, early, scratch_path(spark, "priced-progress")).awaitTermination()
+    store.reprice(calendar)
+    return store
+
+
+@query
+def stream_repriced(spark, sf_dir):
+    """Trades priced on arrival or once their block was known, each once, in merged parts."""
+    store = _repriced(spark, sf_dir)
+    store.compact(testdata.SMALL_PART)
+    return iso(store.priced())
+
+
+@query
+def stream_waiting(spark, sf_dir):
+    """Trades that wait on when all blocks are known: those of days without a rate."""
+    return _repriced(spark, sf_dir).waiting()
 
 
 # -- sources -----------------------------------------------------------------------------------

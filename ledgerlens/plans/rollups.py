@@ -27,12 +27,12 @@ from ledgerlens.operators.sets import concat
 from ledgerlens.plans.enrich import eth_trades, price_calendar, with_usd_price
 from ledgerlens.plans.snapshot import Snapshot
 from ledgerlens.plans.views import ALL, SCOPES, TOKEN, WEEK, MarketView, by_scope
-from ledgerlens.session import path_exists, remove_path
+from ledgerlens.sources.manifest import Manifest
 
 #: Where the first segment begins: it also holds rows without a block.
 FIRST = -(2**63)
 
-MANIFEST = "version BIGINT, first_block BIGINT, last_block BIGINT, folder STRING, piece INT"
+MANIFEST = "first_block BIGINT, last_block BIGINT, folder STRING, piece INT"
 
 
 @dataclass(frozen=True)
@@ -51,6 +51,7 @@ class SegmentStore:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark = spark
         self.path = path.rstrip("/")
+        self.manifest = Manifest(spark, path, MANIFEST)
 
     def rows(self, snapshot: Snapshot) -> DataFrame:
         """The rows to roll up, with their ``block_number`` as it is stored."""
@@ -66,29 +67,17 @@ class SegmentStore:
 
     # -- manifest ----------------------------------------------------------------
 
-    def _manifests(self) -> list:
-        folder = f"{self.path}/manifest"
-        if not path_exists(self.spark, folder):
-            return []
-        found = self.spark.read.schema(MANIFEST).option("recursiveFileLookup", True).json(folder)
-        return found.collect()
-
     def version(self) -> int:
         """How often the store has changed."""
-        return max((r.version for r in self._manifests()), default=0)
+        return self.manifest.version()
 
     def segments(self) -> list[Segment]:
         """What the newest manifest holds, by block."""
-        rows = self._manifests()
-        newest = max((r.version for r in rows), default=0)
-        return sorted((Segment(r.first_block, r.last_block, r.folder, r.piece) for r in rows if r.version == newest),
-                      key=lambda s: s.first)
+        held = [Segment(r.first_block, r.last_block, r.folder, r.piece) for r in self.manifest.rows()]
+        return sorted(held, key=lambda s: s.first)
 
     def _commit(self, segments: Sequence[Segment]) -> None:
-        version = self.version() + 1
-        rows = [(version, s.first, s.last, s.folder, s.piece) for s in segments]
-        # The writer's own commit makes the folder visible as a whole.
-        self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.json(f"{self.path}/manifest/v{version:09d}")
+        self.manifest.commit([(s.first, s.last, s.folder, s.piece) for s in segments])
 
     def _write(self, rollup: DataFrame, ranges: Sequence[tuple[int, int]]) -> list[Segment]:
         folder = f"segments/{uuid.uuid4().hex}"
@@ -149,9 +138,7 @@ class SegmentStore:
 
     def vacuum(self) -> None:
         """Remove the folders that only older manifests name; reports that still read them will fail."""
-        named = {r.folder for r in self._manifests()}
-        for folder in named - {s.folder for s in self.segments()}:
-            remove_path(self.spark, f"{self.path}/{folder}")
+        self.manifest.vacuum()
 
     # -- reading -----------------------------------------------------------------
 

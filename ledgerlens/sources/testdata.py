@@ -19,6 +19,7 @@ FIRST_UPDATE = 9861  # the day 1996-12-31
 CURRENCIES = ("A", "N")
 FIRST_BLOCK = 9131  # the day 1995-01-01
 SCALE = 4
+SMALL_PART = 1 << 20  # rows
 
 
 # Declared, so that building a plan reads no file footers.
