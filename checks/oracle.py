@@ -301,6 +301,10 @@ ORACLE["stream_enrich"] = sql("""
     SELECT currency_address, contract_address, price_value, block_number,
            CAST(date AS VARCHAR) AS date, eth_usd_rate, price_usd FROM priced""")
 
+ORACLE["balanced_enrich"] = sql("""
+    SELECT transaction_hash, block_number, contract_address, token_id, seller, currency_address, price_value,
+           CAST(date AS VARCHAR) AS date, eth_usd_rate, price_usd FROM priced""")
+
 ORACLE["stream_repriced"] = ORACLE["stream_enrich"]
 
 ORACLE["stream_waiting"] = sql("""

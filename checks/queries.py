@@ -14,7 +14,7 @@ from ledgerlens.plans import cohorts, enrich, leaderboards, report, totals
 from ledgerlens.plans.rollups import ArrivalStore, HoldingStore, RolledView, TradeStore
 from ledgerlens.plans.views import ALL, TOKEN, WEEK, MarketView
 from ledgerlens.session import scratch_path
-from ledgerlens.sources import stats, tables, testdata
+from ledgerlens.sources import balance, stats, tables, testdata
 from ledgerlens.streaming import ingest
 from ledgerlens.streaming.priced import PricedStore
 
@@ -326,6 +326,16 @@ def stream_waiting(spark, sf_dir):
     return _repriced(spark, sf_dir).waiting()
 
 
+@query
+def balanced_enrich(spark, sf_dir):
+    """Priced trades read part by part, the parts being equal in rows."""
+    snapshot = testdata.snapshot(spark, sf_dir)
+    parts = balance.balanced_predicates(snapshot.trades, "block_number", 6, spread="token_id")
+    calendar = enrich.price_calendar(snapshot)
+    return iso(sets.concat(*[
+        enrich.with_usd_price(enrich.eth_trades(snapshot, snapshot.trades.where(part)), calendar) for part in parts]))
+
+
 # -- sources -----------------------------------------------------------------------------------
 
 @query
