@@ -508,3 +508,31 @@ for _name in ("volume_collections_week", "volume_collections_all", "price_stats_
               "holder_summary", "weekly_report"):
     ORACLE[f"rolled_{_name}"] = ORACLE[_name]
 ORACLE["arrived_holders"] = ORACLE["holders"]
+
+# Traders are sellers and buyers; the week before ends where the window begins.
+ORACLE["bitmap_contributors"] = ORACLE["contributors"]
+_PARTIES = "SELECT seller AS trader, block_number FROM e UNION ALL SELECT buyer, block_number FROM e"
+ORACLE["bitmap_traders"] = sql("""
+    SELECT 'week' AS scope, count(DISTINCT trader) AS traders FROM p, w WHERE block_number BETWEEN lo AND hi
+    UNION ALL SELECT 'all', count(DISTINCT trader) FROM p""", f"p AS ({_PARTIES})")
+
+
+def _returning() -> str:
+    kinds = {"collections": ("e", "contract_address"), "tokens": ("e", "contract_address || '/' || token_id"),
+             "traders": ("p", "trader")}
+    ctes = [f"p AS ({_PARTIES})", """
+b AS (SELECT min(block_number) AS blo, max(block_number) AS bhi FROM blocks
+      WHERE date BETWEEN DATE '1995-02-27' AND DATE '1995-03-05')"""]
+    for kind, (source, key) in kinds.items():
+        ctes.append(f"""
+{kind}_seen AS (
+  SELECT {key} AS k, bool_or(block_number BETWEEN lo AND hi) AS a, bool_or(block_number BETWEEN blo AND bhi) AS b
+  FROM {source}, w, b GROUP BY 1)""")
+    tests = {"week": "a", "before": "b", "any": "a OR b", "both": "a AND b"}
+    return sql(" UNION ALL ".join(
+        f"SELECT '{scope}' AS scope, " + ", ".join(
+            f"(SELECT count(*) FROM {kind}_seen WHERE {test}) AS {kind}" for kind in kinds)
+        for scope, test in tests.items()), *ctes)
+
+
+ORACLE["bitmap_returning"] = _returning()

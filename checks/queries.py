@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import dates, numeric, text
 from ledgerlens.operators import aggregates, joins, quality, sets, topk
 from ledgerlens.operators.windows import block_at
-from ledgerlens.plans import cohorts, enrich, leaderboards, report, totals
+from ledgerlens.plans import bitmaps, cohorts, enrich, leaderboards, report, totals
 from ledgerlens.plans.rollups import ArrivalStore, HoldingStore, RolledView, TradeStore
 from ledgerlens.plans.views import ALL, TOKEN, WEEK, MarketView
 from ledgerlens.session import scratch_path
@@ -182,6 +182,35 @@ def arrived_holders(spark, sf_dir):
     return store.holders()
 
 
+# -- distinct counts from bitmaps ---------------------------------------------------------
+
+def member_store(spark: SparkSession, sf_dir: str, market: MarketView, *kinds: str) -> bitmaps.MemberStore:
+    """Bitmaps of the blocks to the end of 1996; reports bring the rest up to date."""
+    store = bitmaps.MemberStore(spark, scratch_path(spark, "bitmaps"), market.snapshot, kinds)
+    store.cover(market.snapshot, upto=testdata.FIRST_UPDATE)
+    return store
+
+
+@query
+def bitmap_contributors(spark, sf_dir):
+    market = view(spark, sf_dir)
+    return bitmaps.members(member_store(spark, sf_dir, market, "collections", "tokens"), market)
+
+
+@query
+def bitmap_traders(spark, sf_dir):
+    market = view(spark, sf_dir, parties=True)
+    return bitmaps.members(member_store(spark, sf_dir, market, "traders"), market)
+
+
+@query
+def bitmap_returning(spark, sf_dir):
+    """Collections, tokens and traders of two weeks, of either and of both."""
+    market = view(spark, sf_dir, parties=True)
+    before = MarketView(market.snapshot, testdata.WEEK_BEFORE, testdata.WEEK_DAYS)
+    return bitmaps.returning(member_store(spark, sf_dir, market, *bitmaps.MEMBERS), market, before)
+
+
 # -- totals ------------------------------------------------------------------------------
 
 register("market_cap", totals.market_cap)

@@ -14,6 +14,7 @@ from ledgerlens.plans.snapshot import Snapshot
 # Fixed values of the fixtures.
 WEEK_START = "1995-03-06"
 WEEK_DAYS = 7
+WEEK_BEFORE = "1995-02-27"
 LATE_CUTOFF = "1998-11-15"
 FIRST_UPDATE = 9861  # the day 1996-12-31
 CURRENCIES = ("A", "N")
