@@ -174,11 +174,10 @@ class MemberStore(SegmentStore):
 
     def _counts(self, bitmaps: DataFrame, scopes: Sequence[str]) -> DataFrame:
         """Members by scope, a column for each kind; 0 where there are none."""
-        counted = bitmaps.groupBy("scope").agg(*[
-            F.sum(F.when(F.col("kind") == kind, F.bitmap_count("bits"))).alias(kind) for kind in self.kinds])
-        listed = self.spark.createDataFrame([(s,) for s in scopes], "scope STRING")
-        return listed.join(counted, "scope", "left").select(
-            "scope", *[F.coalesce(kind, F.lit(0)).alias(kind) for kind in self.kinds])
+        none = self.spark.createDataFrame([(s, None, 0) for s in scopes], "scope STRING, kind STRING, n BIGINT")
+        counts = bitmaps.select("scope", "kind", F.bitmap_count("bits").alias("n")).unionByName(none)
+        return counts.groupBy("scope").agg(*[
+            F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0)).alias(kind) for kind in self.kinds])
 
     def distinct(self, scopes: Mapping[str, tuple[int, int] | None]) -> DataFrame:
         """Distinct members of each scope."""
