@@ -508,6 +508,8 @@ for _name in ("volume_collections_week", "volume_collections_all", "price_stats_
               "holder_summary", "weekly_report"):
     ORACLE[f"rolled_{_name}"] = ORACLE[_name]
 ORACLE["arrived_holders"] = ORACLE["holders"]
+for _name in ("price_stats_tokens_all", "volume_collections_week", "contributors"):
+    ORACLE[f"clustered_{_name}"] = ORACLE[_name]
 
 # Traders are sellers and buyers; the week before ends where the window begins.
 ORACLE["bitmap_contributors"] = ORACLE["contributors"]

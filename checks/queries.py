@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from ledgerlens.plans import bitmaps, cohorts, enrich, leaderboards, report, tot
 from ledgerlens.plans.rollups import ArrivalStore, HoldingStore, RolledView, TradeStore
 from ledgerlens.plans.views import ALL, TOKEN, WEEK, MarketView
 from ledgerlens.session import scratch_path
-from ledgerlens.sources import balance, stats, tables, testdata
+from ledgerlens.sources import balance, layout, stats, tables, testdata
 from ledgerlens.streaming import ingest
 from ledgerlens.streaming.priced import PricedStore
 
@@ -182,6 +183,28 @@ def arrived_holders(spark, sf_dir):
     return store.holders()
 
 
+# -- reports on trades in buckets ---------------------------------------------------------
+
+def clustered_view(spark: SparkSession, sf_dir: str) -> MarketView:
+    """Trades in eight buckets by collection, or by token if a collection is hot."""
+    snapshot = testdata.snapshot(spark, sf_dir)
+    path = scratch_path(spark, "clustered")
+    name = "trades_" + path.rsplit("-", 1)[1]
+    layout.write_clustered(
+        snapshot.trades, name, [["contract_address"], TOKEN], ["block_number"], buckets=8, path=path)
+    clustered = dataclasses.replace(snapshot, trades=spark.table(name))
+    return MarketView(clustered, testdata.WEEK_START, testdata.WEEK_DAYS)
+
+
+def register_clustered(name: str, report, **options) -> None:
+    QUERIES[f"clustered_{name}"] = lambda spark, sf_dir: report(clustered_view(spark, sf_dir), **options)
+
+
+register_clustered("price_stats_tokens_all", leaderboards.token_prices, scope=ALL)
+register_clustered("volume_collections_week", leaderboards.collection_volume, scope=WEEK)
+register_clustered("contributors", totals.contributors)
+
+
 # -- distinct counts from bitmaps ---------------------------------------------------------
 
 def member_store(spark: SparkSession, sf_dir: str, market: MarketView, *kinds: str) -> bitmaps.MemberStore:
