@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -128,14 +130,19 @@ class MemberStore(SegmentStore):
         priced = self._written(
             with_usd_price(rows, price_calendar(snapshot)).join(known, "contract_address", "left_semi")
             .select(*used, *keys), "priced")
-        numbered = []
-        for kind, numbers in self.numbers.items():
+
+        def numbered(kind: str) -> DataFrame:
+            numbers = self.numbers[kind]
             members = self._written(priced.selectExpr(*MEMBERS[kind], *keys).distinct(), kind)
             distinct = self._written(members.select(*numbers.names).distinct(), f"{kind}-keys")
             found = numbers.numbered(distinct, self._written)
-            numbered.append(members.join(found, numbers._same(members, found)).select(
-                F.lit(kind).alias("kind"), *keys, "number"))
-        placed = concat(*numbered).withColumn("bucket", F.bitmap_bucket_number("number"))
+            return members.join(found, numbers._same(members, found)).select(F.lit(kind).alias("kind"), *keys, "number")
+
+        # The kinds do not depend on each other; run together they share the executors.
+        with ThreadPoolExecutor(max_workers=len(self.kinds)) as pool:
+            asked = [pool.submit(inheritable_thread_target(self.spark)(numbered), kind) for kind in self.kinds]
+            frames = [a.result() for a in asked]
+        placed = concat(*frames).withColumn("bucket", F.bitmap_bucket_number("number"))
         by = ["kind", "bucket", *keys]
         return placed.repartition(*by).groupBy(*by).agg(
             F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits")).select("kind", "bucket", "bits", *keys)
