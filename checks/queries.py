@@ -186,12 +186,12 @@ def arrived_holders(spark, sf_dir):
 # -- reports on trades in buckets ---------------------------------------------------------
 
 def clustered_view(spark: SparkSession, sf_dir: str) -> MarketView:
-    """Trades in eight buckets by collection, or by token if a collection is hot."""
+    """Trades in eight buckets or more by collection, or by token if a collection is hot."""
     snapshot = testdata.snapshot(spark, sf_dir)
     path = scratch_path(spark, "clustered")
     name = "trades_" + path.rsplit("-", 1)[1]
     layout.write_clustered(
-        snapshot.trades, name, [["contract_address"], TOKEN], ["block_number"], buckets=8, path=path)
+        snapshot.trades, name, [["contract_address"], TOKEN], ["block_number"], path=path, least=8)
     clustered = dataclasses.replace(snapshot, trades=spark.table(name))
     return MarketView(clustered, testdata.WEEK_START, testdata.WEEK_DAYS)
 

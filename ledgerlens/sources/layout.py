@@ -41,17 +41,19 @@ def write_clustered(
     order: Sequence[str] = (),
     buckets: int | None = None,
     path: str | None = None,
+    least: int = 1,
 ) -> list[str]:
     """Write ``df`` as ``table`` in buckets by the first balanced one of ``choices``; the chosen keys.
 
     Rows of a bucket are one sorted file, so bounds on the first column of ``order`` skip row
     groups in each. ``path`` makes an external table. Without ``buckets`` their number follows
-    from the rows. An empty list says that every choice has a hot key: then the table has no
+    from the rows and is at least ``least``: a fixed number lets the memory of the task that
+    groups a bucket grow with the table. An empty list says that every choice has a hot key: then the table has no
     buckets, and readers shuffle as they do elsewhere.
     """
     rows = df.count()
     most = int(df.sparkSession.conf.get("spark.sql.sources.bucketing.maxBuckets"))
-    buckets = buckets or min(max(1, -(-rows // ROWS_PER_BUCKET)), most)
+    buckets = buckets or min(max(least, -(-rows // ROWS_PER_BUCKET)), most)
     bound = max(MOST_SHARE * rows / buckets, 1)
     sizes = largest_buckets(df, choices, buckets)
     keys = next((list(keys) for keys, size in zip(choices, sizes) if size <= bound), [])

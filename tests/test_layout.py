@@ -9,8 +9,10 @@ import pytest
 from market import START, Market
 from pyspark.sql import functions as F
 
+from checks import queries
 from ledgerlens.plans import leaderboards
 from ledgerlens.plans.views import TOKEN, MarketView
+from ledgerlens.sources import layout
 from ledgerlens.sources.layout import largest_buckets, write_clustered
 
 CHOICES = [["contract_address"], TOKEN]
@@ -88,3 +90,30 @@ def test_reports_do_not_shuffle_trades(spark, name, tmp_path):
     assert not tokens and any(shuffled in f and "token_id" in f for f in physical(reports[0]).splitlines())
     plain, stored = ([tuple(r) for r in df.collect()] for df in reports)
     assert sorted(plain, key=repr) == sorted(stored, key=repr) and plain
+
+
+def bucket_count(spark, name) -> int:
+    found = spark.sql(f"DESCRIBE EXTENDED {name}").where("col_name = 'Num Buckets'").first()
+    return int(found.data_type)
+
+
+@pytest.mark.parametrize(("per_bucket", "buckets"), [(100_000, 8), (1_000, 40)])
+def test_buckets_grow_with_the_rows_from_the_least(spark, name, tmp_path, monkeypatch, per_bucket, buckets):
+    monkeypatch.setattr(layout, "ROWS_PER_BUCKET", per_bucket)
+    rows = trades(spark, "id % 1000", "id % 7000")
+    write_clustered(rows, name, CHOICES, [], path=str(tmp_path / "t"), least=8)
+    assert bucket_count(spark, name) == buckets and spark.table(name).count() == 40_000
+
+
+def test_the_clustered_query_holds_its_rows_a_bucket(spark, tmp_path, monkeypatch):
+    lines = spark.range(3_000).selectExpr(
+        "id AS l_orderkey", "id % 500 AS l_partkey", "id % 11 AS l_suppkey", "1 AS l_linenumber", "1D AS l_quantity",
+        "id * 0.5D AS l_extendedprice", "0D AS l_discount", "0D AS l_tax", "'A' AS l_returnflag", "'O' AS l_linestatus",
+        "TIMESTAMP_NTZ'1995-03-07' AS l_shipdate")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    for table in ("part", "orders"):
+        spark.createDataFrame([], queries.testdata.SCHEMAS[table]).write.parquet(str(tmp_path / f"{table}.parquet"))
+    monkeypatch.setattr(layout, "ROWS_PER_BUCKET", 250)
+    stored = queries.clustered_view(spark, str(tmp_path)).snapshot.trades
+    files = [r.n for r in stored.groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n")).collect()]
+    assert sum(files) == 3_000 and max(files) <= 250 * layout.MOST_SHARE
