@@ -146,18 +146,24 @@ def token_price_summary(spark, sf_dir):
 
 # -- reports from rollups that grow -------------------------------------------------------
 
-def rolled_view(spark: SparkSession, sf_dir: str, parties: bool = False) -> RolledView:
+STORES = {"trades": TradeStore, "holdings": HoldingStore}
+
+
+def rolled_view(market: MarketView, *kinds: str) -> RolledView:
     """Stores that are brought up to date twice: to the end of 1996, then to the newest block."""
-    market = view(spark, sf_dir, parties)
+    spark = market.snapshot.trades.sparkSession
     path = scratch_path(spark, "rollups")
-    stores = [kind(spark, f"{path}/{kind.__name__}", market.snapshot) for kind in (TradeStore, HoldingStore)[:1 + parties]]
-    for store in stores:
+    stores = {kind: STORES[kind](spark, f"{path}/{kind}", market.snapshot) for kind in kinds}
+    for store in stores.values():
         store.cover(market.snapshot, upto=testdata.FIRST_UPDATE)
-    return RolledView(market, *stores)
+    return RolledView(market, **stores)
 
 
-def register_rolled(name: str, report, parties: bool = False, **options) -> None:
-    QUERIES[f"rolled_{name}"] = lambda spark, sf_dir: report(rolled_view(spark, sf_dir, parties), **options)
+def register_rolled(name: str, report, *kinds: str, **options) -> None:
+    """A report from the stores of ``kinds``, those that it asks for figures."""
+    kinds = kinds or ("trades",)
+    QUERIES[f"rolled_{name}"] = lambda spark, sf_dir: report(
+        rolled_view(view(spark, sf_dir, "holdings" in kinds), *kinds), **options)
 
 
 for _scope in (WEEK, ALL):
@@ -167,10 +173,10 @@ register_rolled("price_extremes", leaderboards.price_extremes)
 register_rolled("volume_totals", totals.volume_totals)
 register_rolled("contributors", totals.contributors)
 register_rolled("new_collections", cohorts.new_collections)
-register_rolled("market_cap", totals.market_cap, parties=True)
-register_rolled("transfer_totals", totals.transfer_totals, parties=True)
-register_rolled("holder_summary", cohorts.holder_summary, parties=True)
-register_rolled("weekly_report", report.weekly_report, parties=True)
+register_rolled("market_cap", totals.market_cap, "trades", "holdings")
+register_rolled("transfer_totals", totals.transfer_totals, "holdings")
+register_rolled("holder_summary", cohorts.holder_summary, "holdings")
+register_rolled("weekly_report", report.weekly_report, "trades", "holdings")
 
 
 @query

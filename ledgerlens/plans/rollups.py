@@ -272,8 +272,13 @@ class RolledView(MarketView):
     """A market view that answers from stores which cover its window; only labels and
     what stores do not hold is read from the tables."""
 
-    def __init__(self, view: MarketView, trades: TradeStore, holdings: HoldingStore | None = None) -> None:
-        """Bring the stores up to date and cut them at the view's window."""
+    def __init__(
+        self, view: MarketView, trades: TradeStore | None = None, holdings: HoldingStore | None = None
+    ) -> None:
+        """Bring the stores up to date and cut them at the view's window.
+
+        Reports that ask for trades only, or for transfers only, need but that store.
+        """
         self.__dict__.update(view.__dict__)
         bounds = view.window.frame().first()
         self._bounds = (0, -1) if bounds.start_block is None else (bounds.start_block, bounds.end_block)
@@ -289,15 +294,21 @@ class RolledView(MarketView):
         return F.col("block_number").between(*self._bounds)
 
     def measures(self, keys: Sequence[str], scope: str = ALL) -> DataFrame:
+        if self._trades is None:
+            return super().measures(keys, scope)
         fine = list(dict.fromkeys([*keys, "contract_address"]))
         rows = self._rolled().where("in_week") if scope == WEEK else self._rolled()
         labelled = merge_rollup(rows, fine).join(self.labels, "contract_address")
         return labelled if set(fine) == set(keys) else merge_rollup(labelled, keys)
 
     def finest(self, keys: Sequence[str]) -> DataFrame:
+        if self._trades is None:
+            return super().finest(keys)
         return merge_rollup(self._rolled(), [*keys, "in_week"]).join(self.labels, "contract_address")
 
     def token_extents(self) -> DataFrame:
+        if self._trades is None:
+            return super().token_extents()
         of_scope = {ALL: F.lit(True), WEEK: F.col("in_week")}
 
         def within(scope: str, column: str) -> Column:
@@ -310,11 +321,15 @@ class RolledView(MarketView):
             f"{s}_mean": mean(F.col(f"{s}_sum"), F.col(f"{s}_prices")) for s in SCOPES})
 
     def scoped_tokens(self) -> DataFrame:
+        if self._trades is None:
+            return super().scoped_tokens()
         tokens = self._rolled().groupBy(*TOKEN).agg(F.max("in_week").alias("in_week"))
         counted = by_scope(tokens).groupBy("scope", "contract_address").agg(F.count(F.lit(1)).alias("tokens"))
         return counted.join(self.labels, "contract_address")
 
     def first_trades(self) -> DataFrame:
+        if self._trades is None:
+            return super().first_trades()
         first = self._rolled().groupBy("contract_address").agg(F.min("first_block").alias("first_block"))
         return first.join(self.labels, "contract_address")
 

@@ -10,7 +10,8 @@ import pytest
 from market import START, Market
 from pyspark.sql import functions as F
 
-from ledgerlens.plans import leaderboards
+from checks import queries
+from ledgerlens.plans import cohorts, leaderboards, totals
 from ledgerlens.plans.rollups import FIRST, ArrivalStore, HoldingStore, RolledView, TradeStore
 from ledgerlens.plans.views import MarketView
 
@@ -141,3 +142,16 @@ def test_holders_after_each_batch_with_late_blocks(spark, snapshot, tmp_path, mo
         assert sorted(store.holders().collect(), key=repr) == sorted(
             MarketView(so_far, START).holders().collect(), key=repr)
     assert len(store.segments()) < 4
+
+
+def test_reports_on_transfers_need_no_store_of_trades(spark, snapshot, tmp_path):
+    direct = MarketView(snapshot, START)
+    rolled = RolledView(direct, holdings=HoldingStore(spark, str(tmp_path / "h"), snapshot))
+    for report in (cohorts.holder_summary, totals.contributors, totals.volume_totals):
+        assert sorted(report(rolled).collect(), key=repr) == sorted(report(direct).collect(), key=repr)
+
+
+@pytest.mark.parametrize("name", ["rolled_holder_summary", "rolled_transfer_totals"])
+def test_queries_on_transfers_roll_no_trades_up(spark, monkeypatch, name):
+    monkeypatch.setattr(TradeStore, "cover", lambda *a, **b: pytest.fail("trades are not asked for"))
+    assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() >= 1
