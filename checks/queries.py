@@ -159,6 +159,13 @@ def rolled_view(market: MarketView, *kinds: str) -> RolledView:
     return RolledView(market, **stores)
 
 
+def laid_out_view(spark: SparkSession, sf_dir: str) -> MarketView:
+    """A view for reports that read trades and transfers many times: sales joined once, in buckets."""
+    path = scratch_path(spark, "sales")
+    sales = testdata.clustered_trades(spark, sf_dir, "sales_" + path.rsplit("-", 1)[1], path)
+    return MarketView(testdata.snapshot(spark, sf_dir, sales=sales), testdata.WEEK_START, testdata.WEEK_DAYS)
+
+
 def register_rolled(name: str, report, *kinds: str, **options) -> None:
     """A report from the stores of ``kinds``, those that it asks for figures."""
     kinds = kinds or ("trades",)
@@ -176,7 +183,11 @@ register_rolled("new_collections", cohorts.new_collections)
 register_rolled("market_cap", totals.market_cap, "trades", "holdings")
 register_rolled("transfer_totals", totals.transfer_totals, "holdings")
 register_rolled("holder_summary", cohorts.holder_summary, "holdings")
-register_rolled("weekly_report", report.weekly_report, "trades", "holdings")
+
+
+@query
+def rolled_weekly_report(spark, sf_dir):
+    return report.weekly_report(rolled_view(laid_out_view(spark, sf_dir), "trades", "holdings"))
 
 
 @query
@@ -294,7 +305,9 @@ def distinct_holders(spark, sf_dir):
     return aggregates.distinct_count(holders, ["to_address"], "holders")
 
 
-register("weekly_report", report.weekly_report, parties=True)
+@query
+def weekly_report(spark, sf_dir):
+    return report.weekly_report(laid_out_view(spark, sf_dir))
 
 
 # -- samples, pages, ingest ------------------------------------------------------------------

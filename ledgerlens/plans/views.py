@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
@@ -148,6 +148,12 @@ class MarketView:
         flagged = self.trades().withColumn("in_week", self.in_week())
         return trade_rollup(flagged, [*keys, "in_week"], self.scale).join(self.labels, "contract_address")
 
+    def rollups(self, stored: Callable[[str, DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+        """Measures of both scopes by token and by market, from one pass over all trades that ``stored`` keeps."""
+        finest = stored("trades", self.finest([*TOKEN, "market"]))
+        return (merge_rollup(by_scope(finest), ["scope", *TOKEN, "contract_name"]),
+                merge_rollup(by_scope(finest), ["scope", "market"]))
+
     def held(self) -> DataFrame:
         """Last receiver and last sender of every token, and the number of its transfers."""
         return latest_per_key(
@@ -206,17 +212,17 @@ class StoredView(MarketView):
         def stored(name: str, df: DataFrame) -> DataFrame:
             path = scratch_path(spark, name)
             paths.append(path)
-            df.write.parquet(path)
+            df.write.option("compression", "zstd").parquet(path)
             return spark.read.schema(df.schema).parquet(path)
 
         def trades() -> dict[str, DataFrame]:
-            finest = stored("trades", view.finest([*TOKEN, "market"]))
-            tokens = stored("tokens", merge_rollup(by_scope(finest), ["scope", *TOKEN, "contract_name"]))
+            by_token, by_market = view.rollups(stored)
+            tokens = stored("tokens", by_token)
             return {
                 "token_id": tokens,
                 "contract_address": stored("collections", merge_rollup(
                     tokens, ["scope", "contract_address", "contract_name"], tokens=F.count(F.lit(1)))),
-                "market": stored("markets", merge_rollup(by_scope(finest), ["scope", "market"])),
+                "market": stored("markets", by_market),
             }
 
         def holdings() -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.operators.joins import CALENDAR_DAYS
 from ledgerlens.plans.snapshot import Snapshot
+from ledgerlens.sources import layout
 
 # Fixed values of the fixtures.
 WEEK_START = "1995-03-06"
@@ -79,9 +80,17 @@ def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def trades(spark: SparkSession, sf_dir: str, parties: bool = True) -> DataFrame:
-    """Sales. Buyer and market come from the order, which every line has exactly one of;
-    without ``parties`` both columns are left out and the order table is not read."""
+def _lines(spark: SparkSession, sf_dir: str, parties: bool) -> DataFrame:
+    """Lines, with ``parties`` those that have an order, with its columns."""
+    lines = table(spark, sf_dir, "lineitem")
+    if parties:
+        orders = table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "l_orderkey")
+        lines = lines.join(orders, "l_orderkey")
+    return lines
+
+
+def _sales(lines: DataFrame) -> DataFrame:
+    """Lines as sales; those without an order have no buyer and market."""
     columns = [
         "'T' || l_orderkey AS transaction_hash",
         f"{day_number('l_shipdate')} AS block_number",
@@ -91,14 +100,32 @@ def trades(spark: SparkSession, sf_dir: str, parties: bool = True) -> DataFrame:
         "l_returnflag AS currency_address",
         "l_extendedprice AS price_value",
     ]
-    lines = table(spark, sf_dir, "lineitem")
-    if parties:
-        orders = table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "l_orderkey")
-        lines = lines.join(orders, "l_orderkey")
+    if "o_custkey" in lines.columns:
         columns += ["'C' || o_custkey AS buyer", "o_orderpriority AS market"]
     return lines.selectExpr(*columns)
 
 
+def trades(spark: SparkSession, sf_dir: str, parties: bool = True) -> DataFrame:
+    """Sales. Buyer and market come from the order, which every line has exactly one of;
+    without ``parties`` both columns are left out and the order table is not read."""
+    return _sales(_lines(spark, sf_dir, parties))
+
+
+def clustered_trades(spark: SparkSession, sf_dir: str, name: str, path: str) -> DataFrame:
+    """Sales with ``parties`` as table ``name``, in buckets by collection, or by token if one is hot.
+
+    For what asks for sales many times: lines meet their orders once, and groupings by token
+    or collection move none of them. Buckets are measured on the lines alone, since the join
+    leaves these as they are.
+    """
+    lines = _lines(spark, sf_dir, parties=True).select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_shipdate", "l_returnflag", "l_extendedprice", "o_custkey", "o_orderpriority")
+    keys = ["l_partkey", "l_suppkey"]
+    layout.write_clustered(
+        lines, name, [keys[:1], keys], keys, path=path, least=8, measured=table(spark, sf_dir, "lineitem"))
+    return _sales(spark.table(name))
+
+
 def transfers(sales: DataFrame) -> DataFrame:
     """The same rows as the trades, in any currency."""
     receiver = ["buyer AS to_address"] if "buyer" in sales.columns else []
@@ -109,9 +136,10 @@ def transfers(sales: DataFrame) -> DataFrame:
 
 
 def snapshot(
-    spark: SparkSession, sf_dir: str, parties: bool = False, blocks: DataFrame | None = None
+    spark: SparkSession, sf_dir: str, parties: bool = False, blocks: DataFrame | None = None,
+    sales: DataFrame | None = None,
 ) -> Snapshot:
-    sales = trades(spark, sf_dir, parties)
+    sales = trades(spark, sf_dir, parties) if sales is None else sales
     return Snapshot(
         contracts=contracts(spark, sf_dir),
         blocks=ship_blocks(spark, sf_dir) if blocks is None else blocks,

@@ -117,3 +117,13 @@ def test_the_clustered_query_holds_its_rows_a_bucket(spark, tmp_path, monkeypatc
     stored = queries.clustered_view(spark, str(tmp_path)).snapshot.trades
     files = [r.n for r in stored.groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n")).collect()]
     assert sum(files) == 3_000 and max(files) <= 250 * layout.MOST_SHARE
+
+
+def test_the_weekly_queries_join_sales_once_and_group_them_without_a_shuffle(spark):
+    sf = "/root/testdata/sf0.001"
+    laid_out, plain = queries.laid_out_view(spark, sf), queries.view(spark, sf, parties=True)
+    for ask in (MarketView.held, MarketView.active_tokens, lambda v: v.finest([*TOKEN, "market"])):
+        plan = physical(ask(laid_out))
+        assert "l_orderkey" not in "".join(f for f in plan.splitlines() if "Join" in f)
+        assert not [f for f in plan.splitlines() if "Exchange hashpartitioning(contract_address#" in f and "token_id" in f]
+        assert sorted(map(tuple, ask(laid_out).collect()), key=repr) == sorted(map(tuple, ask(plain).collect()), key=repr)
