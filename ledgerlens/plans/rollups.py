@@ -14,7 +14,7 @@ are not seen until ``refresh`` takes its segment up again.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -81,7 +81,7 @@ class SegmentStore:
 
     def _write(self, rollup: DataFrame, ranges: Sequence[tuple[int, int]]) -> list[Segment]:
         folder = f"segments/{uuid.uuid4().hex}"
-        rollup.write.partitionBy("piece").parquet(f"{self.path}/{folder}")
+        rollup.write.option("compression", "zstd").partitionBy("piece").parquet(f"{self.path}/{folder}")
         return [Segment(first, last, folder, i) for i, (first, last) in enumerate(ranges)]
 
     # -- growing -----------------------------------------------------------------
@@ -333,6 +333,28 @@ class RolledView(MarketView):
         first = self._rolled().groupBy("contract_address").agg(F.min("first_block").alias("first_block"))
         return first.join(self.labels, "contract_address")
 
+    def rollups(self, stored: Callable[[str, DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+        """The segments are stored already, so each rollup merges them, and only what it leaves meets the labels."""
+        if self._trades is None:
+            return super().rollups(stored)
+        rows = by_scope(self._rolled())
+        markets = merge_rollup(rows, ["scope", "contract_address", "market"]).join(self.labels, "contract_address")
+        return (self._labelled(merge_rollup(rows, ["scope", *TOKEN]), ["scope", *TOKEN]),
+                merge_rollup(markets, ["scope", "market"]))
+
+    def _labelled(self, rollup: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """``rollup`` (one row for each of ``keys``) by ``keys`` and collection name.
+
+        A collection that is listed several times under a name counts as often. Only such rows
+        are merged after the join, so that it stays free to split a hot collection.
+        """
+        names = self.labels.groupBy("contract_address", "contract_name").agg(F.count(F.lit(1)).alias("copies"))
+        found = rollup.join(names, "contract_address")
+        copies = F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")).alias("copy")
+        again = found.where("copies > 1").select("*", copies)
+        every = found.where("copies = 1").select(*keys, "contract_name", *[c for c in rollup.columns if c not in keys])
+        return every.unionByName(merge_rollup(again, [*keys, "contract_name"]))
+
     # -- transfers ---------------------------------------------------------------
 
     def held(self) -> DataFrame:

@@ -11,9 +11,9 @@ from market import START, Market
 from pyspark.sql import functions as F
 
 from checks import queries
-from ledgerlens.plans import cohorts, leaderboards, totals
+from ledgerlens.plans import cohorts, leaderboards, totals, views
 from ledgerlens.plans.rollups import FIRST, ArrivalStore, HoldingStore, RolledView, TradeStore
-from ledgerlens.plans.views import MarketView
+from ledgerlens.plans.views import TOKEN, MarketView, StoredView
 
 
 @pytest.fixture(scope="module")
@@ -155,3 +155,23 @@ def test_reports_on_transfers_need_no_store_of_trades(spark, snapshot, tmp_path)
 def test_queries_on_transfers_roll_no_trades_up(spark, monkeypatch, name):
     monkeypatch.setattr(TradeStore, "cover", lambda *a, **b: pytest.fail("trades are not asked for"))
     assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() >= 1
+
+
+def test_a_report_on_segments_stores_them_no_second_time(spark, snapshot, tmp_path, monkeypatch):
+    """Also where collections are listed twice, under one name or two."""
+    listed = snapshot.contracts
+    again = listed.where("init_block % 3 = 0").unionByName(
+        listed.where("init_block % 5 = 0").withColumn("contract_name", F.lit("second name")))
+    direct = MarketView(replace(snapshot, contracts=listed.unionByName(again)), START)
+    rolled = RolledView(direct, TradeStore(spark, str(tmp_path / "t"), direct.snapshot))
+    labels = []
+    path = views.scratch_path
+    monkeypatch.setattr(views, "scratch_path", lambda s, label: labels.append(label) or path(s, label))
+    with StoredView.store(rolled) as stored:
+        assert "trades" not in labels
+        with StoredView.store(direct) as expected:
+            for keys in (TOKEN, ["contract_address"], ["market"]):
+                columns = expected.scoped(keys).columns
+                assert stored.scoped(keys).columns == columns
+                assert sorted(map(tuple, stored.scoped(keys).collect()), key=repr) == sorted(
+                    map(tuple, expected.scoped(keys).collect()), key=repr)
